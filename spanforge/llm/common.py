@@ -90,26 +90,32 @@ def chunked(df: DataFrame, key: str, chunk: str, rows: int = CHUNK_ROWS) -> Data
 
 
 def prefix_sum(
-    df: DataFrame, group: str, key: str, ties: Sequence[str], value: str, out: str, rows: int = CHUNK_ROWS
+    df: DataFrame,
+    group: str,
+    key: str,
+    ties: Sequence[Column],
+    value: Column,
+    out: str,
+    per_group: DataFrame | None = None,
+    rows: int = CHUNK_ROWS,
 ) -> DataFrame:
     """Adds the inclusive running sum of value within group in order of key, without one task per group.
 
     Rows are cut into chunks of the key's range, running sums are taken inside each (group, chunk) and the sums of the
-    chunks before are added.  The rows are shuffled once, by (group, chunk).  Group must not be null."""
-    chunk, inner, total, before = (f"__{out}_{x}" for x in ("chunk", "inner", "total", "before"))
+    chunks before are added.  The rows are shuffled once, by (group, chunk).  Group must not be null.  per_group: a table
+    of group and more columns, which are added as well; it is joined with the sums of the chunks, not with the rows."""
+    chunk, inner, before = (f"__{out}_{x}" for x in ("chunk", "inner", "before"))
+    g, c = f"__{out}_g", f"__{out}_c"
     cut = chunked(df, key, chunk, rows)
-    totals = cut.groupBy(group, chunk).agg(F.sum(value).alias(total))
-    order = Window.partitionBy(group).orderBy(chunk).rowsBetween(Window.unboundedPreceding, -1)
-    offsets = totals.select(
-        F.col(group).alias(f"{total}_g"),
-        F.col(chunk).alias(f"{total}_c"),
-        F.coalesce(F.sum(total).over(order), F.lit(0)).alias(before),
-    )
-    running = Window.partitionBy(group, chunk).orderBy(F.col(key).asc_nulls_first(), *ties).rowsBetween(
-        Window.unboundedPreceding, 0
-    )
-    rows_ = cut.withColumn(inner, F.sum(value).over(running))
-    joined = rows_.join(offsets, (F.col(group) == F.col(f"{total}_g")) & (F.col(chunk) == F.col(f"{total}_c")))
-    return joined.withColumn(out, F.col(inner) + F.col(before)).drop(
-        chunk, inner, before, f"{total}_g", f"{total}_c"
+    order = Window.partitionBy(g).orderBy(c).rowsBetween(Window.unboundedPreceding, -1)
+    offsets = (
+        cut.groupBy(F.col(group).alias(g), F.col(chunk).alias(c))
+        .agg(F.sum(value).alias(before))
+        .withColumn(before, F.coalesce(F.sum(before).over(order), F.lit(0)))
     )
+    if per_group is not None:
+        offsets = offsets.join(per_group.withColumnRenamed(group, g), g)
+    running = Window.partitionBy(group, chunk).orderBy(F.col(key).asc_nulls_first(), *ties)
+    summed = cut.withColumn(inner, F.sum(value).over(running.rowsBetween(Window.unboundedPreceding, 0)))
+    joined = summed.join(offsets, (F.col(group) == F.col(g)) & (F.col(chunk) == F.col(c)))
+    return joined.withColumn(out, F.col(inner) + F.col(before)).drop(chunk, inner, before, g, c)

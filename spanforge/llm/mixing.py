@@ -58,14 +58,15 @@ def mix_sources(
     total = F.col("__mix_total") if total_size is None else F.lit(float(total_size))
     rate = F.floor(total * F.col("__mix_w") / (F.col("__mix_weights") * F.col(size).cast("double")) * F.lit(float(UNIT)))
     rates = sizes.crossJoin(whole).select(
-        F.col(src).alias("__mix_s"),
+        src,
         F.when(F.col(size) > 0, F.when(F.col("__mix_weights") > 0, rate).otherwise(F.lit(0)))
         .otherwise(F.lit(UNIT))
         .cast("bigint")
         .alias(units),
     )
-    rated = marked.join(rates, F.col(src) == F.col("__mix_s")).drop("__mix_s")
-    summed = prefix_sum(rated, src, id_col, [F.col(text_col).asc_nulls_first()], units, cum)
+    # all documents of a source expect the same number of copies, so the sum is their rank times that
+    ranked = prefix_sum(marked, src, id_col, [F.col(text_col).asc_nulls_first()], F.lit(1), "__mix_rank", rates)
+    summed = ranked.withColumn(cum, F.col("__mix_rank") * F.col(units))
     offset = hash_unit(F.concat(F.lit(seed), F.col(src)), UNIT)
     exact = F.expr(f"cast(({cum} + __mix_off) div {UNIT} - ({cum} - {units} + __mix_off) div {UNIT} as int)")
     drawn = summed.withColumn("__mix_off", offset).withColumn("__mix_n", exact).filter("__mix_n > 0")
