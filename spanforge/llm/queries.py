@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from spanforge.llm import mixing, ngram_join, sharding
+from spanforge.llm import mixing, ngram_join, packing, secrets, sharding
 from spanforge.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -24,11 +24,21 @@ def op5_shard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard_documents(table(spark, sf_dir, "documents"))
 
 
+def op7_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack_documents(table(spark, sf_dir, "documents"))
+
+
+def op8_scan_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secrets.find_secrets(table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Query]:
     return {
         "op1_ngram_jaccard_join": op1_ngram_jaccard_join,
         "op4_mix_sources": op4_mix_sources,
         "op5_shard": op5_shard,
+        "op7_pack": op7_pack,
+        "op8_scan_secrets": op8_scan_secrets,
     }
 
 
