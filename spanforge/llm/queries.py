@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from spanforge.llm import mixing, ngram_join, packing, secrets, sharding, toxicity
+from spanforge.llm import langid, mixing, ngram_join, packing, quality, secrets, sharding, toxicity
 from spanforge.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -20,6 +20,10 @@ def op2_score_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.score_toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op3_language_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return langid.identify_languages(table(spark, sf_dir, "documents"))
+
+
 def op4_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix_sources(table(spark, sf_dir, "documents"))
 
@@ -36,14 +40,20 @@ def op8_scan_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.find_secrets(table(spark, sf_dir, "documents"))
 
 
+def op9_score_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.score_quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def queries() -> dict[str, Query]:
     return {
         "op1_ngram_jaccard_join": op1_ngram_jaccard_join,
         "op2_score_toxicity": op2_score_toxicity,
+        "op3_language_spans": op3_language_spans,
         "op4_mix_sources": op4_mix_sources,
         "op5_shard": op5_shard,
         "op7_pack": op7_pack,
         "op8_scan_secrets": op8_scan_secrets,
+        "op9_score_quality": op9_score_quality,
     }
 
 
