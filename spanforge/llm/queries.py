@@ -5,8 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from spanforge.llm import langid, mixing, ngram_join, packing, quality, secrets, sharding, toxicity
+from spanforge.llm import knn, langid, mixing, ngram_join, packing, quality, secrets, sharding, toxicity
 from spanforge.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -32,6 +33,11 @@ def op5_shard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard_documents(table(spark, sf_dir, "documents"))
 
 
+def op6_exact_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = knn.nearest(table(spark, sf_dir, "embeddings"))
+    return found.withColumn("distance", F.round("distance", 6))
+
+
 def op7_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(table(spark, sf_dir, "documents"))
 
@@ -51,6 +57,7 @@ def queries() -> dict[str, Query]:
         "op3_language_spans": op3_language_spans,
         "op4_mix_sources": op4_mix_sources,
         "op5_shard": op5_shard,
+        "op6_exact_top_k": op6_exact_top_k,
         "op7_pack": op7_pack,
         "op8_scan_secrets": op8_scan_secrets,
         "op9_score_quality": op9_score_quality,
@@ -61,4 +68,5 @@ def oracle_sql() -> dict[str, str]:
     return {
         "op4_mix_sources": mixing.oracle(),
         "op5_shard": sharding.oracle(),
+        "op6_exact_top_k": knn.oracle(),
     }
