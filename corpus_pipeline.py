@@ -4,17 +4,44 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from spanforge.llm import mixing
+from spanforge.llm import mixing, ngram_join, packing, secrets, toxicity
 from spanforge.llm.common import shared_path, table
 
 
-def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Draws documents so that the sources have equal shares of the text."""
+def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Removes the documents that the toxicity classifier rejects."""
+    return toxicity.keep_clean(docs, table(spark, sf_dir, "labels"))
+
+
+def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Keeps one document of each group that the n-gram Jaccard join links."""
+    return ngram_join.drop_near_duplicates(docs)
+
+
+def redact_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Replaces secrets in the texts; all documents stay."""
+    return secrets.redact_secrets(docs)
+
+
+def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Draws documents so that the sources have equal shares of the text; a document drawn twice is there twice."""
     return mixing.mix_sources(docs).drop("copy_no")
 
 
-STAGES = [("mixing", mix)]
+def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Places the documents in sequences of fixed length."""
+    return packing.pack_documents(docs)
+
+
+STAGES = [
+    ("toxicity", drop_toxic),
+    ("near duplicates", drop_near_duplicates),
+    ("secrets", redact_secrets),
+    ("mixing", mix_sources),
+    ("packing", pack),
+]
 
+#: SQL can express neither the trained classifier nor column generation.
 ORACLE_SQL = None
 
 
@@ -22,8 +49,8 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Applies the stages to documents; each result is written to the shared folder and read again."""
     docs = table(spark, sf_dir, "documents")
     base = shared_path(spark, "pipeline")
-    for k, (name, stage) in enumerate(STAGES):
-        out = f"file://{base}/{k}-{name}"
+    for k, (_, stage) in enumerate(STAGES):
+        out = f"file://{base}/{k}"
         stage(spark, docs, sf_dir).write.parquet(out)
         docs = spark.read.parquet(out)
     return docs

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from spanforge.llm import knn, langid, mixing, ngram_join, packing, quality, secrets, sharding, toxicity
+from spanforge.llm import kneser_ney, knn, langid, mixing, ngram_join, packing, quality, secrets, sharding, toxicity
 from spanforge.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -50,6 +50,10 @@ def op9_score_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.score_quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op10_perplexity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return kneser_ney.score_perplexity(table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Query]:
     return {
         "op1_ngram_jaccard_join": op1_ngram_jaccard_join,
@@ -61,6 +65,7 @@ def queries() -> dict[str, Query]:
         "op7_pack": op7_pack,
         "op8_scan_secrets": op8_scan_secrets,
         "op9_score_quality": op9_score_quality,
+        "op10_perplexity": op10_perplexity,
     }
 
 
