@@ -6,7 +6,7 @@ import os
 import tempfile
 import uuid
 import zipfile
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 from pathlib import Path
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -72,6 +72,14 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def shielded(docs: DataFrame) -> tuple[DataFrame, Callable[[DataFrame], DataFrame]]:
+    """The table with its columns that begin with two underscores renamed, as operators call their own such, and what gives
+    them their names back."""
+    names = {c: f"own{k}_{c.strip('_')}" for k, c in enumerate(docs.columns) if c.startswith("__")}
+    back = {v: k for k, v in names.items()}
+    return docs.withColumnsRenamed(names), lambda df: df.withColumnsRenamed(back)
+
+
 def hash_unit(text: Column, modulus: int) -> Column:
     """A pseudo-random integer below modulus (at most 2**32) that is the same in any engine with MD5."""
     return F.conv(F.substring(F.md5(text), 1, 8), 16, 10).cast("bigint") % F.lit(modulus)

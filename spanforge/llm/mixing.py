@@ -18,7 +18,7 @@ from collections.abc import Mapping
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from spanforge.llm.common import hash_unit, prefix_sum, ship
+from spanforge.llm.common import hash_unit, prefix_sum, shielded, ship
 
 #: Expected copies are counted in millionths, so that sums are exact.
 UNIT = 1_000_000
@@ -40,6 +40,7 @@ def mix_sources(
 
     total_size: characters that the mixture should have, by default those of docs."""
     ship(docs.sparkSession)
+    docs, restored = shielded(docs)
     src, size, units, cum = "__mix_source", "__mix_size", "__mix_units", "__mix_cum"
     kept = [c for c in docs.columns if c != copy_col]
     # a prefix tells a null source from an empty one
@@ -70,7 +71,7 @@ def mix_sources(
     offset = hash_unit(F.concat(F.lit(seed), F.col(src)), UNIT)
     exact = F.expr(f"cast(({cum} + __mix_off) div {UNIT} - ({cum} - {units} + __mix_off) div {UNIT} as int)")
     drawn = summed.withColumn("__mix_off", offset).withColumn("__mix_n", exact).filter("__mix_n > 0")
-    return drawn.select(*kept, F.explode(F.sequence(F.lit(1), F.col("__mix_n"))).alias(copy_col))
+    return restored(drawn.select(*kept, F.explode(F.sequence(F.lit(1), F.col("__mix_n"))).alias(copy_col)))
 
 
 def oracle(docs: str = "documents") -> str:

@@ -30,7 +30,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from spanforge.llm.common import checkpoint, ship
+from spanforge.llm.common import checkpoint, shielded, ship
 from spanforge.llm.textkernel import blocks, mix64, ngram_hashes
 
 N = 3
@@ -535,6 +535,7 @@ def drop_near_duplicates(
 
     Rows that agree in id and text are copies too, and one of them stays; rows of null id and documents without words
     all stay.  All columns are kept."""
+    docs, restored = shielded(docs)
     classes, pairs = _classes_and_pairs(docs, n, threshold, text_col, id_col)
     tops = pairs.select(F.explode(F.array("a", "b")).alias("node"), F.col("top").alias("v")).distinct()
     # an id with several texts is in several classes, whose groups are one
@@ -549,12 +550,12 @@ def drop_near_duplicates(
         docs.groupBy(F.col(id_col).alias("__id")).agg(F.count(F.lit(1)).alias("__n")).filter("__n > 1 and __id is not null").select("__id")
     )
     if repeated.isEmpty():
-        return kept
+        return restored(kept)
     few = F.broadcast(repeated) if repeated.count() <= BROADCAST_ROWS else repeated
     once = kept.join(few, F.col(id_col) == F.col("__id"), "left_anti")
     again = kept.join(few, F.col(id_col) == F.col("__id"), "left_semi")
     first = Window.partitionBy(id_col, F.coalesce(F.col(text_col), F.lit(""))).orderBy(F.col(text_col).asc_nulls_first())
-    return once.unionByName(again.withColumn("__k", F.row_number().over(first)).filter("__k = 1").drop("__k"))
+    return restored(once.unionByName(again.withColumn("__k", F.row_number().over(first)).filter("__k = 1").drop("__k")))
 
 
 def brute_force(rows: list[tuple[int | None, str | None]], n: int = N, threshold: float = THRESHOLD) -> dict[tuple[int, int], float]:
@@ -574,5 +575,3 @@ def brute_force(rows: list[tuple[int | None, str | None]], n: int = N, threshold
                 key = (min(x, y), max(x, y))
                 out[key] = max(out.get(key, 0.0), jaccard)
     return out
-
-

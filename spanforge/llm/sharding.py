@@ -20,7 +20,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from spanforge.llm.common import hash_unit, ship
+from spanforge.llm.common import hash_unit, shielded, ship
 
 TARGET = 1 << 20
 OVERSAMPLE = 16
@@ -48,6 +48,7 @@ def shard_documents(
 
     target: characters of a shard.  The driver holds about `oversample` keys for each shard, nothing else."""
     ship(docs.sparkSession)
+    docs, restored = shielded(docs)
     kept = [c for c in docs.columns if c != shard_col]
     keyed = docs.select(
         *kept,
@@ -92,7 +93,7 @@ def shard_documents(
     )
     placed = ranged.withColumn("__cum", F.sum("__size").over(running)).join(parts, F.col("__range") == F.col("__r"))
     part = F.expr("least(((__cum - __size) * __parts) div greatest(__total, 1), __parts - 1)")
-    return placed.select(*kept, (F.col("__first") + part).cast("bigint").alias(shard_col))
+    return restored(placed.select(*kept, (F.col("__first") + part).cast("bigint").alias(shard_col)))
 
 
 def oracle(docs: str = "documents", target: int = TARGET) -> str:
