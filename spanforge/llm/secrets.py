@@ -66,7 +66,8 @@ def entropy(text: str) -> float:
 
 
 def _free_value(text: str) -> bool:
-    return entropy(text) >= 3.0 and not re.fullmatch(r"[A-Za-z]+", text)
+    """Neither a word nor a placeholder in angle brackets, which is also what stands where a secret was redacted."""
+    return not re.fullmatch(r"<[^<>]*>", text) and entropy(text) >= 3.0 and not re.fullmatch(r"[A-Za-z]+", text)
 
 
 @dataclass(frozen=True)
