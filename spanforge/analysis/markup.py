@@ -196,7 +196,7 @@ _END = ".?!;"
 def sentences(text: str, stop_tags: Sequence[str] = (), no_marker_tags: Sequence[str] = ()) -> list[tuple[int, int]]:
     """Ranges of sentences in marked-up text: up to a mark of their end, or to the edge of a stop tag; marks inside tags of the
     other kind (as abbreviations) don't end any.  Ranges without letters or digits are left out."""
-    plain = list(fill_tags(text))
+    plain = list(resolve_entities(fill_tags(text)))  # the semicolon of an entity ends no sentence
     stops = {t.lower() for t in stop_tags}
     cuts: set[int] = set()
     for e in elements(text):

@@ -34,7 +34,7 @@ def _long_attributes(rows: DataFrame, name_col: str, value_col: str, names: Mapp
     name = F.trim(name_col)
     for old, new in (names or {}).items():
         name = F.when(F.trim(name_col) == old, F.lit(new)).otherwise(name)
-    return rows.select("source", F.rtrim(F.lit("#"), name).alias("name"), F.trim(value_col).alias("value"), F.when(name.endswith("#"), 1).otherwise(0).alias("type")).filter("name <> '' and value is not null")
+    return rows.select("source", F.regexp_replace(name, "#$", "").alias("name"), F.trim(value_col).alias("value"), F.when(name.endswith("#"), 1).otherwise(0).alias("type")).filter("name <> '' and value is not null")
 
 
 def read_csv_attributes(
