@@ -292,7 +292,7 @@ def tag_sentences(tokens: list[XmlToken], tagger: Tagger, most: int = 1000) -> N
 
     for t in tokens:
         queue.append(t)
-        if len(queue) >= most or re.search(r"[.?!;;][\"'”’»)\]]*$", t.text):
+        if len(queue) >= most or re.search(r"[.?!;;][\"'”’»)\]]*$", html.unescape(t.text)):
             flush()
     flush()
 
