@@ -1,16 +1,19 @@
-"""Perplexity under an interpolated modified Kneser-Ney model of order 2, counted over the whole corpus.
+"""Perplexity under an interpolated modified Kneser-Ney model of order 3 or more, counted over the whole corpus.
 
-Words are 48-bit hashes.  Each block of text sends its distinct bigrams with counts, sorted and delta-coded, to the bucket of the
-first word's range; there the counts are added up and the bucket's part of the model is written: sorted hashes of bigrams
-with counts, and for each first word its total and how many successors it has with counts of 1, 2 and 3 or more.  In how many
-different bigrams a word comes second is counted in a second shuffle, by the word, and written as sorted arrays too.  The files lie in the
-shared folder, where workers map them into memory and look up sorted batches of hashes.
+Words are 48-bit hashes, and so are contexts of two words and more.  Each block of text sends its distinct n-grams of the highest
+order with counts, sorted and delta-coded, to the bucket of their context's range; there the counts are added up and the bucket's
+part of the model is written: sorted hashes of n-grams with counts, and for each context its total and how many successors it has
+with counts of 1, 2 and 3 or more.  Each different n-gram counts once for the n-gram without its first word, whose order is written
+in the same way after a shuffle by its context, and so on down to the words.  The files lie in the shared folder, where workers map
+them into memory and look up sorted batches of hashes.
 
-    p(w|v) = max(c(vw) - D(c), 0) / c(v) + g(v) p(w),   g(v) = (D1 N1(v) + D2 N2(v) + D3 N3(v)) / c(v)
+    p(w|h) = max(c(hw) - D(c), 0) / c(h) + g(h) p(w|h'),   g(h) = (D1 N1(h) + D2 N2(h) + D3 N3(h)) / c(h)
     p(w)   = max(n(w) - D'(n), 0) / N + g' / (V + 1)
 
-c are counts, n(w) numbers of different words before w, N their sum, V the number of words; D1, D2, D3 come from the
-numbers of bigrams (or words) that have the counts 1 to 4.  A document is one sequence between a begin and an end mark.
+h' is h without its first word.  c are counts at the highest order, and numbers of different words before the n-gram at the orders
+below; n(w) are numbers of different words before w, N their sum, V the number of words; D1, D2, D3 of each order come from the
+numbers of its n-grams that have the counts 1 to 4.  A document is one sequence between begin marks (one less than the order) and an
+end mark.
 
 Defined cases: null and empty texts and texts without words have n_tokens 0, log_prob 0 and no perplexity, and don't count
 in the model; null ids are scored; rows that repeat are counted and scored each; words that the model has not seen get the
@@ -32,7 +35,9 @@ from pyspark.sql import functions as F
 from spanforge.llm.common import shared_path, ship
 from spanforge.llm.textkernel import blocks, mix64
 
-#: Bytes of text whose bigrams are counted or looked up together.
+#: Words of the longest n-grams.
+ORDER = 3
+#: Bytes of text whose n-grams are counted or looked up together.
 GROUP_TEXT = 12 << 20
 BEGIN, END = np.uint64(1), np.uint64(2)
 _16 = np.uint64(16)
@@ -61,7 +66,7 @@ def bucket_of(words: np.ndarray, n_buckets: int) -> np.ndarray:
 
 
 def bigram_key(first: np.ndarray, second: np.ndarray, n_buckets: int) -> np.ndarray:
-    """The bucket of the first word in the high 16 bits, a hash of both in the low 48."""
+    """The bucket of the first word (or context) in the high 16 bits, a hash of both in the low 48."""
     return (bucket_of(first, n_buckets) << _48) | (mix64((first << _16) ^ mix64(second)) >> _16)
 
 
@@ -90,6 +95,24 @@ def groups(batch: pa.RecordBatch, column: int) -> Iterator[tuple[int, int, np.nd
         yield bigrams(last)
 
 
+def contexts(first: np.ndarray, doc: np.ndarray, order: int) -> list[np.ndarray]:
+    """The contexts of each bigram of `groups` at the orders 2 to `order`; shorter ones are filled up with begin marks."""
+    by_doc = np.argsort(doc, kind="stable")  # end marks go behind their documents
+    d = doc[by_doc]
+    new = np.flatnonzero(np.append(True, d[1:] != d[:-1])) if len(d) else np.zeros(0, int)
+    place = np.arange(len(d)) - np.repeat(new, np.diff(np.append(new, len(d))))
+    word = first[by_doc]
+    out, context = [first], word
+    for back in range(1, order - 1):
+        earlier = np.full(len(word), BEGIN)
+        earlier[back:] = np.where(place[back:] >= back, word[: max(len(word) - back, 0)], BEGIN)
+        context = mix64((context << _16) ^ mix64(earlier)) >> _16
+        unsorted = np.empty_like(context)
+        unsorted[by_doc] = context
+        out.append(unsorted)
+    return out
+
+
 def _sum_runs(columns: list[np.ndarray], counts: np.ndarray) -> tuple[list[np.ndarray], np.ndarray]:
     """Adds up the counts of equal rows of sorted columns."""
     new = np.zeros(len(counts), bool)
@@ -122,55 +145,95 @@ def _blobs(rows: list[tuple[int, int, bytes]]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(list(c), t) for c, t in zip(columns, _BLOBS.types)], schema=_BLOBS)
 
 
-def _count(n_buckets: int):
+def _bytes48(values: np.ndarray) -> bytes:
+    return np.ascontiguousarray(values.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :6].T).tobytes()
+
+
+def _from48(data: bytes) -> np.ndarray:
+    planes = np.frombuffer(data, np.uint8).reshape(6, -1)
+    out = np.zeros((planes.shape[1], 8), np.uint8)
+    out[:, :6] = planes.T
+    return out.view("<u8").ravel()
+
+
+def _by_context(context: np.ndarray, second: np.ndarray, counts: np.ndarray, lower: list[np.ndarray], n_buckets: int) -> list[tuple[int, int, bytes]]:
+    """Rows of n-grams sorted by context and last word, by bucket of the context.  lower: the contexts of lower orders."""
+    cut = np.searchsorted(bucket_of(context, n_buckets), np.arange(n_buckets + 1))
+    rows = []
+    for b in np.flatnonzero(np.diff(cut)):
+        a, z = cut[b], cut[b + 1]
+        v, at, n = np.unique(context[a:z], return_index=True, return_counts=True)
+        # within a context the last words ascend; the sum of both is coded, so that it ascends as a whole
+        # (65536 contexts at a time, as the rank has 16 bits)
+        rank = np.repeat(np.arange(len(v), dtype=np.uint64), n)
+        payload = (_pack(v), _small(n), [_bytes48(x[a:z][at]) for x in lower])
+        begin = np.searchsorted(rank, np.arange(0, len(v) + (1 << 16), 1 << 16, dtype=np.uint64))
+        coded = [_pack(((rank[x:y] & np.uint64(0xFFFF)) << _48) | second[a:z][x:y]) for x, y in zip(begin, begin[1:])]
+        rows.append((int(b), 0, pickle.dumps((*payload, coded, _small(counts[a:z])), 5)))
+    return rows
+
+
+def _count(order: int, n_buckets: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for _, _, first, second, _ in groups(batch, 0):
-                order = np.lexsort((second, first))
-                (first, second), counts = _sum_runs([first[order], second[order]], np.ones(len(order), np.int64))
-                cut = np.searchsorted(bucket_of(first, n_buckets), np.arange(n_buckets + 1))
-                rows = []
-                for b in np.flatnonzero(np.diff(cut)):
-                    a, z = cut[b], cut[b + 1]
-                    v, n = np.unique(first[a:z], return_counts=True)
-                    # within a first word the second ones ascend; the sum of both is coded, so that it ascends as a whole
-                    rank = np.repeat(np.arange(len(v), dtype=np.uint64), n)
-                    payload = (_pack(v), _small(n), _pack((rank << _48) | second[a:z]), _small(counts[a:z]))
-                    rows.append((int(b), 0, pickle.dumps(payload, 5)))
-                yield _blobs(rows)
+            for _, _, first, second, doc in groups(batch, 0):
+                columns = contexts(first, doc, order)[::-1]
+                by = np.lexsort((second, columns[0]))
+                new = [x[by] for x in (columns[0], second)]
+                at = np.flatnonzero(np.append(True, (new[0][1:] != new[0][:-1]) | (new[1][1:] != new[1][:-1]))) if len(by) else by
+                counts = np.diff(np.append(at, len(by)))
+                yield _blobs(_by_context(new[0][at], new[1][at], counts, [x[by[at]] for x in columns[1:]], n_buckets))
 
     return run
 
 
-def _reduce_first(path: str, n_buckets: int):
+def _reduce(path: str, k: int, n_buckets: int):
     def run(table: pa.Table) -> pa.Table:
-        """Of one range of first words: writes its bigrams and contexts, passes on its second words and counts of counts."""
+        """Of one range of contexts of order k: writes its n-grams and contexts, passes on the n-grams without their first word and
+        counts of counts."""
         bucket = table.column("bucket")[0].as_py()
-        firsts, seconds, counts = [], [], []
-        for payload in table.column("payload").to_pylist():
-            v, n, coded, c = pickle.loads(payload)
-            v = _unpack(v)
-            coded = _unpack(coded)
-            firsts.append(np.repeat(v, n))
-            seconds.append(coded & np.uint64((1 << 48) - 1))
+        rows, firsts, seconds, counts = [], [], [], []
+        lower: list[list[np.ndarray]] = [[] for _ in range(k - 2)]
+        for kind, payload in zip(table.column("kind").to_pylist(), table.column("payload").to_pylist()):
+            if kind:
+                rows.append((bucket, kind, payload))
+                continue
+            v, n, lows, coded, c = pickle.loads(payload)
+            firsts.append(np.repeat(_unpack(v), n))
+            for x, low in zip(lower, lows):
+                x.append(np.repeat(_from48(low), n))
+            seconds.extend(_unpack(x) & np.uint64((1 << 48) - 1) for x in coded)
             counts.append(c.astype(np.int64))
+        if not firsts:
+            return pa.Table.from_batches([_blobs(rows)])
         first, second, count = (np.concatenate(x) for x in (firsts, seconds, counts))
-        del firsts, seconds, counts
+        below = [np.concatenate(x) for x in lower]
+        del firsts, seconds, counts, lower
         order = np.lexsort((second, first))
-        (first, second), count = _sum_runs([first[order], second[order]], count[order])
+        first, second = first[order], second[order]
+        starts = np.flatnonzero(np.append(True, (first[1:] != first[:-1]) | (second[1:] != second[:-1])))
+        first, second, count = first[starts], second[starts], np.add.reduceat(count[order], starts)
+        below = [x[order[starts]] for x in below]
+        del order, starts
         key = bigram_key(first, second, n_buckets)
         by_key = np.argsort(key)
         at = np.flatnonzero(np.append(True, first[1:] != first[:-1]))
-        kinds = [np.add.reduceat((count == k).astype(np.int64), at) for k in (1, 2)]
+        kinds = [np.add.reduceat((count == c).astype(np.int64), at) for c in (1, 2)]
         kinds.append(np.add.reduceat((count >= 3).astype(np.int64), at))
         total = np.add.reduceat(count, at)
         _save(
-            os.path.join(path, f"bigram-{bucket:05d}"), key=key[by_key], count=_small(count[by_key]), context=first[at],
-            total=total.astype(np.uint32 if total.max() < 1 << 32 else np.uint64), n1=_small(kinds[0]), n2=_small(kinds[1]), n3=_small(kinds[2]),
+            os.path.join(path, f"gram{k}-{bucket:05d}"), key=key[by_key], count=_small(count[by_key]), context=first[at],
+            total=_small(total) if total.max() < 1 << 32 else total.astype(np.uint64), n1=_small(kinds[0]), n2=_small(kinds[1]), n3=_small(kinds[2]),
         )
+        rows.append((bucket, k, _tell(count).tobytes()))
+        if k > 2:
+            by = np.lexsort((second, below[0]))
+            c, w = below[0][by], second[by]
+            at = np.flatnonzero(np.append(True, (c[1:] != c[:-1]) | (w[1:] != w[:-1])))
+            rows += _by_context(c[at], w[at], np.diff(np.append(at, len(c))), [x[by[at]] for x in below[1:]], n_buckets)
+            return pa.Table.from_batches([_blobs(rows)])
         word, before = np.unique(second, return_counts=True)
         cut = np.searchsorted(bucket_of(word, n_buckets), np.arange(n_buckets + 1))
-        rows = [(0, 1, _tell(count).tobytes())]
         for b in np.flatnonzero(np.diff(cut)):
             a, z = cut[b], cut[b + 1]
             rows.append((int(b), 0, pickle.dumps((_pack(word[a:z]), _small(before[a:z])), 5)))
@@ -179,14 +242,14 @@ def _reduce_first(path: str, n_buckets: int):
     return run
 
 
-def _reduce_second(path: str):
+def _reduce_words(path: str):
     def run(table: pa.Table) -> pa.Table:
-        """Of one range of second words: writes how many different words come before each."""
+        """Of one range of words: writes how many different words come before each."""
         bucket = table.column("bucket")[0].as_py()
         rows, words, counts = [], [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)]
         for kind, payload in zip(table.column("kind").to_pylist(), table.column("payload").to_pylist()):
             if kind:
-                rows.append((bucket, 1, payload))
+                rows.append((bucket, kind, payload))
             else:
                 w, n = pickle.loads(payload)
                 words.append(_unpack(w))
@@ -196,7 +259,7 @@ def _reduce_second(path: str):
         (word,), count = _sum_runs([word[order]], count[order])
         if len(word):
             _save(os.path.join(path, f"word-{bucket:05d}"), word=word, count=_small(count))
-        rows.append((bucket, 2, _tell(count).tobytes()))
+        rows.append((bucket, 1, _tell(count).tobytes()))
         return pa.Table.from_batches([_blobs(rows)])
 
     return run
@@ -224,12 +287,15 @@ def _map(path: str) -> np.ndarray | None:
 
 @dataclass
 class KneserNey:
-    """The model in `path`: counts of counts of bigrams and of words."""
+    """The model in `path`: counts of counts of the n-grams of each order, words first."""
 
     path: str
     n_buckets: int
-    bigrams: np.ndarray = field(default_factory=lambda: np.zeros(7, np.int64))
-    words: np.ndarray = field(default_factory=lambda: np.zeros(7, np.int64))
+    order: int = ORDER
+    told: list[np.ndarray] = field(default_factory=list)
+
+    def __post_init__(self) -> None:
+        self.told = self.told or [np.zeros(7, np.int64) for _ in range(self.order)]
 
     def _find(self, kind: str, key_name: str, keys: np.ndarray, buckets: np.ndarray, names: tuple[str, ...]) -> list[np.ndarray]:
         """Values of sorted keys, 0 where the model has none."""
@@ -247,38 +313,40 @@ class KneserNey:
                 x[cut[b] : cut[b + 1]][hit] = _map(f"{base}.{name}.npy")[at[hit]]
         return out
 
-    def log_probs(self, first: np.ndarray, second: np.ndarray) -> np.ndarray:
-        """Natural logarithms of p(second | first)."""
-        key, inverse = np.unique(bigram_key(first, second, self.n_buckets), return_inverse=True)
-        (count,) = self._find("bigram", "key", key, key >> _48, ("count",))
-        count = count[inverse]
-        context, of_context = np.unique(first, return_inverse=True)
-        total, n1, n2, n3 = self._find("bigram", "context", context, bucket_of(context, self.n_buckets), ("total", "n1", "n2", "n3"))
-        d = discounts(self.bigrams)
-        seen = total > 0
-        rest = np.where(seen, (d[1] * n1 + d[2] * n2 + d[3] * n3) / np.where(seen, total, 1), 1.0)
+    def log_probs(self, first: np.ndarray, second: np.ndarray, longer: list[np.ndarray] | None = None) -> np.ndarray:
+        """Natural logarithms of p(second | first) at order 2, or at the order of the last of the `longer` contexts."""
         word, of_word = np.unique(second, return_inverse=True)
         (before,) = self._find("word", "word", word, bucket_of(word, self.n_buckets), ("count",))
-        e = discounts(self.words)
-        n = max(float(self.words[6]), 1.0)
-        unknown = (e[1] * self.words[0] + e[2] * self.words[1] + e[3] * self.words[4]) / n if self.words[6] else 1.0
-        lower = (before - e[np.minimum(before, 3).astype(int)]) / n + unknown / (self.words[5] + 1)
-        higher = (count - d[np.minimum(count, 3).astype(int)]) / np.maximum(total, 1)[of_context]
-        return np.log(higher + rest[of_context] * lower[of_word])
-
-
-def fit(docs: DataFrame, text_col: str = "text") -> KneserNey:
+        e, tell = discounts(self.told[0]), self.told[0]
+        n = max(float(tell[6]), 1.0)
+        unknown = (e[1] * tell[0] + e[2] * tell[1] + e[3] * tell[4]) / n if tell[6] else 1.0
+        p = ((before - e[np.minimum(before, 3).astype(int)]) / n + unknown / (tell[5] + 1))[of_word]
+        for k, c in enumerate([first, *(longer or [])], 2):
+            context, of_context = np.unique(c, return_inverse=True)
+            total, n1, n2, n3 = self._find(f"gram{k}", "context", context, bucket_of(context, self.n_buckets), ("total", "n1", "n2", "n3"))
+            key, inverse = np.unique(bigram_key(c, second, self.n_buckets), return_inverse=True)
+            (count,) = self._find(f"gram{k}", "key", key, key >> _48, ("count",))
+            count = count[inverse]
+            d = discounts(self.told[k - 1])
+            rest = np.where(total > 0, (d[1] * n1 + d[2] * n2 + d[3] * n3) / np.maximum(total, 1), 1.0)
+            p = (count - d[np.minimum(count, 3).astype(int)]) / np.maximum(total, 1)[of_context] + rest[of_context] * p
+        return np.log(p)
+
+
+def fit(docs: DataFrame, text_col: str = "text", order: int = ORDER) -> KneserNey:
     """Counts the model over all documents and writes it to the shared folder."""
+    if order < 2:
+        raise ValueError("the order must be 2 or more")
     spark = docs.sparkSession
     ship(spark)
     n_buckets = min(3 * int(spark.conf.get("spark.sql.shuffle.partitions")), 1 << 16)
-    model = KneserNey(shared_path(spark, "kneser-ney"), n_buckets)
-    counted = docs.select(F.col(text_col).alias("text")).mapInArrow(_count(n_buckets), _DDL)
-    first = counted.groupBy("bucket").applyInArrow(_reduce_first(model.path, n_buckets), _DDL)
-    told = first.groupBy("bucket").applyInArrow(_reduce_second(model.path), _DDL)
-    for row in told.select("kind", "payload").collect():  # two short rows for each bucket
-        total = model.bigrams if row["kind"] == 1 else model.words
-        total += np.frombuffer(row["payload"], np.int64)
+    model = KneserNey(shared_path(spark, "kneser-ney"), n_buckets, order)
+    rows = docs.select(F.col(text_col).alias("text")).mapInArrow(_count(order, n_buckets), _DDL)
+    for k in range(order, 1, -1):
+        rows = rows.groupBy("bucket").applyInArrow(_reduce(model.path, k, n_buckets), _DDL)
+    told = rows.groupBy("bucket").applyInArrow(_reduce_words(model.path), _DDL)
+    for row in told.select("kind", "payload").collect():  # a short row for each bucket and order
+        model.told[row["kind"] - 1] += np.frombuffer(row["payload"], np.int64)
     return model
 
 
@@ -289,7 +357,8 @@ def score(docs: DataFrame, model: KneserNey, text_col: str = "text", id_col: str
         for batch in batches:
             for low, last, first, second, doc in groups(batch, 1):
                 n = np.bincount(doc, minlength=last - low)
-                total = np.bincount(doc, model.log_probs(first, second) if len(doc) else None, last - low).astype(float)
+                logs = model.log_probs(first, second, contexts(first, doc, model.order)[1:]) if len(doc) else None
+                total = np.bincount(doc, logs, last - low).astype(float)
                 perplexity = pa.array(np.exp(-total / np.maximum(n, 1)), mask=n == 0)
                 yield pa.RecordBatch.from_arrays(
                     [batch.column(0).slice(low, last - low), pa.array(n, pa.int64()), pa.array(total), perplexity], ["doc_id", "n_tokens", "log_prob", "perplexity"]
@@ -299,39 +368,39 @@ def score(docs: DataFrame, model: KneserNey, text_col: str = "text", id_col: str
     return narrow.mapInArrow(run, "doc_id bigint, n_tokens bigint, log_prob double, perplexity double")
 
 
-def score_perplexity(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id") -> DataFrame:
+def score_perplexity(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id", order: int = ORDER) -> DataFrame:
     """Fits the model on the documents and scores the same documents."""
-    return score(docs, fit(docs, text_col), text_col, id_col)
+    return score(docs, fit(docs, text_col, order), text_col, id_col)
 
 
-def brute_force(texts: list[list[str]], scored: list[list[str]] | None = None) -> list[float]:
+def brute_force(texts: list[list[str]], scored: list[list[str]] | None = None, order: int = ORDER) -> list[float]:
     """Log probabilities of word lists under the same model, from plain dictionaries, for tests."""
     from collections import Counter
 
-    bigrams: Counter = Counter()
+    def grams(words: list[str]) -> list[tuple[str, ...]]:
+        padded = ["<s>"] * (order - 1) + words + ["</s>"]
+        return [tuple(padded[k : k + order]) for k in range(len(words) + 1)] if words else []
+
+    counts: list[Counter] = [Counter() for _ in range(order)]
     for words in texts:
-        if words:
-            bigrams.update(zip(["<s>", *words], [*words, "</s>"]))
-    totals, kinds, before = Counter(), {}, Counter()
-    for (v, w), c in bigrams.items():
-        totals[v] += c
-        kinds.setdefault(v, Counter())[min(c, 3)] += 1
-        before[w] += 1
-
-    def tell(values) -> np.ndarray:
-        return _tell(np.array(list(values), np.int64))
-
-    b, u = tell(bigrams.values()), tell(before.values())
-    d, e = discounts(b), discounts(u)
-    n = max(sum(before.values()), 1)
-    left = (e[1] * u[0] + e[2] * u[1] + e[3] * u[4]) / n if u[6] else 1.0
-    out = []
-    for words in texts if scored is None else scored:
-        total = 0.0
-        for v, w in zip(["<s>", *words], [*words, "</s>"]) if words else ():
-            low = max(before[w] - e[min(before[w], 3)], 0) / n + left / (len(before) + 1)
-            c, t, k = bigrams[v, w], totals[v], kinds.get(v, {})
-            rest = (d[1] * k.get(1, 0) + d[2] * k.get(2, 0) + d[3] * k.get(3, 0)) / t if t else 1.0
-            total += float(np.log((max(c - d[min(c, 3)], 0) / t if t else 0) + rest * low))
-        out.append(total)
-    return out
+        counts[-1].update(grams(words))
+    for k in range(order - 1, 0, -1):
+        counts[k - 1].update(g[1:] for g in counts[k])
+    total: list[Counter] = [Counter() for _ in range(order)]
+    kinds: list[dict[tuple[str, ...], Counter]] = [{} for _ in range(order)]
+    for k in range(order):
+        for g, c in counts[k].items():
+            total[k][g[:-1]] += c
+            kinds[k].setdefault(g[:-1], Counter())[min(c, 3)] += 1
+    d = [discounts(_tell(np.array(list(c.values()), np.int64))) for c in counts]
+
+    def probability(g: tuple[str, ...]) -> float:
+        k = len(g) - 1
+        below = probability(g[1:]) if k else 1 / (len(counts[0]) + 1)
+        t = total[k][g[:-1]]
+        if not t:
+            return below
+        c, seen = counts[k][g], kinds[k][g[:-1]]
+        return max(c - d[k][min(c, 3)], 0) / t + sum(d[k][i] * seen[i] for i in (1, 2, 3)) / t * below
+
+    return [float(sum(np.log(probability(g)) for g in grams(words))) for words in (texts if scored is None else scored)]

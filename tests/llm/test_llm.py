@@ -444,6 +444,20 @@ def test_probabilities_sum_to_one(spark):
         assert np.exp(model.log_probs(np.full(len(second), first, np.uint64), second)).sum() == pytest.approx(1.0, abs=1e-9)
 
 
+@pytest.mark.parametrize("order", [2, 3, 4])
+def test_perplexity_of_each_order(spark, docs, rows, order):
+    lists = [words_of(r[1]) for r in rows]
+    got = sorted(r["log_prob"] for r in kneser_ney.score_perplexity(docs.repartition(5), order=order).collect())
+    assert got == pytest.approx(sorted(kneser_ney.brute_force(lists, order=order)), rel=1e-9)
+
+
+def test_perplexity_sees_more_than_pairs(spark):
+    """Each pair of words of the last text is frequent, its triples aren't."""
+    texts = ["a b c"] * 6 + ["d b e"] * 6 + ["a b e"]
+    got = {r["doc_id"]: r["perplexity"] for r in kneser_ney.score_perplexity(spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")).collect()}
+    assert got[12] > 1.3 * max(got[0], got[6])
+
+
 # the pipeline
 
 
