@@ -4,8 +4,12 @@ A rule has keywords, a regular expression that is tried only at fixed places aro
 for what the format itself can prove: CRC-32 of access tokens, the mod-97 sum of account numbers, the decoded header of
 web tokens, the entropy of free-form values.  A candidate that its validator refuses is no secret.
 
+Assigned values have any length from 12 characters.  Those without quotes end at a blank, a quote or an angle bracket; names, calls
+and plain addresses in their place are no secrets.  A private key goes to its END line or, where it is cut off before the
+next BEGIN, over the header and base64 lines that follow.
+
 Defined cases: null and empty texts have no findings; null ids are carried along; texts are scanned whole; of
-findings that overlap the one that starts first (then the longest) counts; rows that repeat are scanned each; an
+findings that overlap the one that starts first (then the longest, then one of a format of its own) counts; rows that repeat are scanned each; an
 empty table gives an empty one; other columns are kept by `redact_secrets`, which sets n_chars, if there is one, for changed
 texts only.
 """
@@ -70,6 +74,19 @@ def _free_value(text: str) -> bool:
     return not re.fullmatch(r"<[^<>]*>", text) and entropy(text) >= 3.0 and not re.fullmatch(r"[A-Za-z]+", text)
 
 
+def _unquoted_value(text: str) -> bool:
+    """A free value that is neither a name, a call or an index in code nor an address without user or query."""
+    return _free_value(text) and not re.fullmatch(r"\$?[A-Za-z_]+(?:\.[A-Za-z_]+)*|\$\{?\w+|[A-Za-z_][\w.]*[(\[{].*|\w+://[^@?]*", text)
+
+
+#: The name and the sign of an assignment.
+_ASSIGNED = r"(?i:[a-z_\-]{0,24}(?:token|secret|password|passwd|pwd|api[_\-]?key|access_key|auth_key|private_key)[a-z_]{0,8})[\"']?\s{0,3}(?::=|=>|[:=])\s{0,3}"
+_ASSIGNED_WORDS = ("token", "secret", "passw", "pwd", "api_key", "apikey", "api-key", "access_key", "auth_key", "private_key")
+_KEY_LINE = r"(?:[A-Z0-9]+ )*PRIVATE KEY(?: BLOCK)?-----"
+_KEY_HEADERS = r"(?:[ \t]*\r?\n[ \t]*[A-Za-z][A-Za-z0-9\-]*:[^\r\n]*)*+"
+_KEY_LINES = r"(?:(?:[ \t]*\r?\n)++[ \t]*[0-9A-Za-z+/=]+[ \t]*(?=\r?\n|\Z)|(?:\s|\\[rn])++[0-9A-Za-z+/=]{16,})*+"
+
+
 @dataclass(frozen=True)
 class Rule:
     """pattern is matched at `back` characters or fewer before a keyword's hit; group 'secret' is the finding."""
@@ -89,16 +106,11 @@ RULES = (
     Rule("stripe_key", ("sk_live_", "rk_live_"), r"(?P<secret>[sr]k_live_[0-9A-Za-z]{16,})"),
     Rule("google_key", ("aiza",), r"(?P<secret>AIza[0-9A-Za-z_\-]{35})(?![0-9A-Za-z_\-])"),
     Rule("web_token", ("eyj",), r"(?P<secret>eyJ[0-9A-Za-z_\-]{8,}\.[0-9A-Za-z_\-]{8,}\.[0-9A-Za-z_\-]{8,})", web_token_valid),
-    Rule("private_key", ("-----begin",), r"(?P<secret>-----BEGIN (?:[A-Z]+ )*PRIVATE KEY-----(?:[^-]*-----END (?:[A-Z]+ )*PRIVATE KEY-----)?)"),
+    Rule("private_key", ("-----begin",), rf"(?P<secret>-----BEGIN {_KEY_LINE}(?:(?s:(?:(?!-----BEGIN ).)*?)-----END {_KEY_LINE}|{_KEY_HEADERS}{_KEY_LINES}))"),
     Rule("iban", ("iban",), r"(?i:iban)[\s:=]{1,3}(?P<secret>[A-Z]{2}[0-9]{2}(?:[ \-]?[0-9A-Z]){11,30})(?![0-9A-Za-z])", iban_valid),
     Rule("payment_card", ("card", "visa", "mastercard"), r"(?i:card|visa)[A-Za-z ]{0,16}[\s:=#]{1,3}(?P<secret>[0-9](?:[ \-]?[0-9]){12,18})(?![0-9])", luhn_valid),
-    Rule(
-        "assigned_secret",
-        ("token", "secret", "passw", "pwd", "api_key", "apikey", "api-key", "access_key", "auth_key", "private_key"),
-        r"(?i:[a-z_\-]{0,24}(?:token|secret|password|passwd|pwd|api[_\-]?key|access_key|auth_key|private_key)[a-z_]{0,8})[\"']?\s{0,3}(?::=|=>|[:=])\s{0,3}[\"'](?P<secret>[^\"'\s]{12,200})[\"']",
-        _free_value,
-        24,
-    ),
+    Rule("assigned_secret", _ASSIGNED_WORDS, _ASSIGNED + r"[\"'](?P<secret>[^\"'\s]{12,})[\"']", _free_value, 24),
+    Rule("assigned_secret", _ASSIGNED_WORDS, _ASSIGNED + r"(?P<secret>[^\s\"'<>=:(\[{][^\s\"'<>]{10,}[^\s\"'<>.,;:!?)\]}])", _unquoted_value, 24),
 )
 
 Finding = tuple[int, int, str]
@@ -141,7 +153,7 @@ def build_scanner(rules: tuple[Rule, ...] = RULES) -> Callable[[str], list[Findi
 
 def without_overlaps(found: set[Finding]) -> list[Finding]:
     out: list[Finding] = []
-    for f in sorted(found, key=lambda f: (f[0], -f[1], f[2])):
+    for f in sorted(found, key=lambda f: (f[0], -f[1], f[2] == "assigned_secret", f[2])):
         if not out or f[0] >= out[-1][1]:
             out.append(f)
     return out
