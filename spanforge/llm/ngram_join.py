@@ -6,7 +6,8 @@ The result is exact for the 48-bit hashes of the n-grams.  How it is found:
    their range, where their document frequencies are counted; n-grams of a single document end there.
 2. Back at its block, a document has its shared n-grams in the global order (frequency, hash).  By the prefix bound,
    two similar documents share one of the first |S| - ceil(t|S|) + 1 n-grams; unshared ones come first in that
-   order, so most documents have no candidate n-gram left.  Documents with the same set become one class.
+   order, so most documents have no candidate n-gram left.  Documents with the same set become one class, which has a number
+   of its own, as an id may be in several.
 3. Classes are matched by their prefixes, common prefix n-grams are counted for each pair, and pairs whose count
    plus the longer suffix can't reach the needed overlap go.  What is left falls into small connected components.
 4. In each component the sets are stored in a prefix tree, in one order of n-grams.  Each set walks down the tree, the
@@ -29,6 +30,7 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegerType, LongType, StructField, StructType
 
 from spanforge.llm.common import checkpoint, shielded, ship
 from spanforge.llm.textkernel import blocks, mix64, ngram_hashes
@@ -99,6 +101,21 @@ def _bounds(n_buckets: int) -> np.ndarray:
     return np.array([(b << 48) // n_buckets << 16 for b in range(1, n_buckets)], np.uint64)
 
 
+def set_signatures(texts: pa.Array, n: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """For each row the two signatures and the size of its set of n-grams, as `_scan` has them."""
+    out = np.zeros(len(texts), np.uint64), np.zeros(len(texts), np.uint64), np.zeros(len(texts), np.int32)
+    for _, _, grams, rows in document_grams(texts, n):
+        gram = grams >> _16
+        order = np.lexsort((gram, rows))
+        gram, rows = gram[order], rows[order]
+        new = np.flatnonzero(np.append(True, (gram[1:] != gram[:-1]) | (rows[1:] != rows[:-1]))) if len(rows) else rows
+        hashed, rows = mix64(gram[new]), rows[new]
+        np.add.at(out[0], rows, hashed)
+        np.add.at(out[1], rows, mix64(hashed + np.uint64(0x1234567)))
+        np.add.at(out[2], rows, 1)
+    return out[0].view(np.int64), out[1].view(np.int64), out[2]
+
+
 def _scan(n: int, n_buckets: int):
     bounds = _bounds(n_buckets)
 
@@ -471,6 +488,9 @@ def _join_component(t: float):
         reps = table.column("rep").to_numpy()
         sizes = table.column("size").to_numpy().astype(np.int64)
         found = join_sets([_unplanes(x, 6) for x in table.column("tokens").to_pylist()], sizes, t)
+        least, many = table.column("least").to_numpy(), table.column("n_ids").to_numpy() > 1
+        # texts of one id are no pair
+        found = [p for p in found if many[p[0]] or many[p[1]] or least[p[0]] != least[p[1]]]
         a = np.array([p[0] for p in found], np.int64)
         b = np.array([p[1] for p in found], np.int64)
         by_id = np.argsort(reps)
@@ -484,7 +504,8 @@ def _join_component(t: float):
 
 
 def _classes_and_pairs(docs: DataFrame, n: int, t: float, text_col: str, id_col: str) -> tuple[DataFrame, DataFrame]:
-    """Classes (rep, ids) of documents with candidates, and the similar pairs (a, b, jaccard, top) of their reps."""
+    """Classes (rep, ids, sig1, sig2, size) of documents with candidates, and the similar pairs (a, b, jaccard, top) of their reps;
+    top is the least rep of those that pairs link.  A rep is the number of a class, which has one set, whatever its ids."""
     if not 0 < t <= 1:
         raise ValueError("the threshold must be in (0, 1]")
     spark = docs.sparkSession
@@ -496,16 +517,17 @@ def _classes_and_pairs(docs: DataFrame, n: int, t: float, text_col: str, id_col:
     sets = shared.groupBy("uid").applyInArrow(_sets(t), _ddl(_SETS))
     classes = checkpoint(
         sets.groupBy("sig1", "sig2", "size").agg(
-            F.min("doc_id").alias("rep"), F.collect_set("doc_id").alias("ids"), F.first("first").alias("first"), F.first("tokens").alias("tokens")
-        )
+            F.array_sort(F.collect_set("doc_id")).alias("ids"), F.first("first").alias("first"), F.first("tokens").alias("tokens")
+        ).withColumn("rep", F.monotonically_increasing_id())
     )
     postings = classes.select("rep", "size", "first", "tokens").mapInArrow(_postings(n_buckets), _ddl(_POSTINGS))
     counted = postings.groupBy("bucket").applyInArrow(_count_pairs(t, n_buckets), _ddl(_POSTINGS))
     edges = counted.groupBy("bucket").applyInArrow(_candidates(t), _ddl(_EDGES))
     member = components(edges)
-    placed = classes.select("rep", "size", "tokens").join(member, F.col("rep") == F.col("node")).select("component", "rep", "size", "tokens")
+    sized = classes.select("rep", "size", "tokens", F.col("ids")[0].alias("least"), F.size("ids").alias("n_ids"))
+    placed = sized.join(member, F.col("rep") == F.col("node")).select("component", "rep", "size", "tokens", "least", "n_ids")
     pairs = placed.groupBy("component").applyInArrow(_join_component(t), _ddl(_PAIRS))
-    return classes.select("rep", F.array_sort("ids").alias("ids")), pairs
+    return classes.select("rep", "ids", "sig1", "sig2", "size"), pairs
 
 
 def ngram_jaccard_join(
@@ -517,7 +539,7 @@ def ngram_jaccard_join(
     documents among themselves has docs_a = docs_b and 1.0.  `expand_pairs` gives one row for each pair."""
     classes, pairs = _classes_and_pairs(docs, n, threshold, text_col, id_col)
     a, b = (classes.select(F.col("rep").alias(x), F.col("ids").alias(f"docs_{x}")) for x in "ab")
-    between = pairs.join(a, "a").join(b, "b").select("docs_a", "docs_b", "jaccard")
+    between = pairs.join(a, "a").join(b, "b").select(F.least("docs_a", "docs_b").alias("docs_a"), F.greatest("docs_a", "docs_b").alias("docs_b"), "jaccard")
     within = classes.filter(F.size("ids") > 1).select(F.col("ids").alias("docs_a"), F.col("ids").alias("docs_b"), F.lit(1.0).alias("jaccard"))
     return between.unionByName(within)
 
@@ -533,27 +555,40 @@ def drop_near_duplicates(
 ) -> DataFrame:
     """The documents without near duplicates: of each group linked by similar pairs, the one of the least id stays.
 
-    Rows that agree in id and text are copies too, and one of them stays; rows of null id and documents without words
-    all stay.  All columns are kept."""
+    Of an id with several texts only those go that are near duplicates themselves.  Rows that agree in id and text are copies too,
+    and one of them stays; rows of null id and documents without words all stay.  All columns are kept."""
     docs, restored = shielded(docs)
     classes, pairs = _classes_and_pairs(docs, n, threshold, text_col, id_col)
-    tops = pairs.select(F.explode(F.array("a", "b")).alias("node"), F.col("top").alias("v")).distinct()
-    # an id with several texts is in several classes, whose groups are one
-    links = tops.select(F.col("node").alias("u"), "v").unionByName(
-        classes.filter(F.size("ids") > 1).select(F.col("rep").alias("u"), F.explode("ids").alias("v"))
+    tops = pairs.select(F.explode(F.array("a", "b")).alias("rep"), "top").distinct()
+    group = Window.partitionBy(F.coalesce("top", "rep"))
+    losers = checkpoint(
+        classes.join(tops, "rep", "left")
+        .withColumn("stays", F.min(F.col("ids")[0]).over(group))
+        .select(F.explode("ids").alias("__loser"), F.col("sig1").alias("__l1"), F.col("sig2").alias("__l2"), F.col("size").alias("__lsize"), "stays")
+        .filter("__loser <> stays")
+        .drop("stays")
     )
-    groups = components(links)
-    losers = checkpoint(groups.filter("node <> component").select(F.col("node").alias("__loser")))
-    n_losers = losers.count()
-    kept = docs.join(F.broadcast(losers) if n_losers <= BROADCAST_ROWS else losers, F.col(id_col) == F.col("__loser"), "left_anti")
+    if losers.count() <= BROADCAST_ROWS:
+        losers = F.broadcast(losers)
+    lost = F.col(id_col) == F.col("__loser")
     repeated = checkpoint(
         docs.groupBy(F.col(id_col).alias("__id")).agg(F.count(F.lit(1)).alias("__n")).filter("__n > 1 and __id is not null").select("__id")
     )
     if repeated.isEmpty():
-        return restored(kept)
+        return restored(docs.join(losers, lost, "left_anti"))
     few = F.broadcast(repeated) if repeated.count() <= BROADCAST_ROWS else repeated
-    once = kept.join(few, F.col(id_col) == F.col("__id"), "left_anti")
-    again = kept.join(few, F.col(id_col) == F.col("__id"), "left_semi")
+    once = docs.join(few, F.col(id_col) == F.col("__id"), "left_anti").join(losers, lost, "left_anti")
+    again = docs.join(few, F.col(id_col) == F.col("__id"), "left_semi")
+    at = docs.columns.index(text_col)
+
+    def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            marks = [pa.array(x) for x in set_signatures(batch.column(at), n)]
+            yield pa.RecordBatch.from_arrays([*batch.columns, *marks], [*batch.schema.names, "__s1", "__s2", "__ssize"])
+
+    signs = StructType([*again.schema.fields, StructField("__s1", LongType()), StructField("__s2", LongType()), StructField("__ssize", IntegerType())])
+    same = (F.col("__s1") == F.col("__l1")) & (F.col("__s2") == F.col("__l2")) & (F.col("__ssize") == F.col("__lsize"))
+    again = again.mapInArrow(sign, signs).join(losers, lost & same, "left_anti").drop("__s1", "__s2", "__ssize")
     first = Window.partitionBy(id_col, F.coalesce(F.col(text_col), F.lit(""))).orderBy(F.col(text_col).asc_nulls_first())
     return restored(once.unionByName(again.withColumn("__k", F.row_number().over(first)).filter("__k = 1").drop("__k")))
 

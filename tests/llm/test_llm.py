@@ -186,6 +186,36 @@ def test_drop_near_duplicates(docs, rows):
     assert Counter(map(tuple, kept)) == Counter(plain[k] for k in kept_by_brute_force(plain))
 
 
+@pytest.fixture(scope="module")
+def rows_of_one_id():
+    """Id 1 has a long and a short text, and id 0 copies only the short one; id 2 has two texts alike, and id 4 two copies of others."""
+    rng = random.Random(11)
+
+    def words(n):
+        return [f"w{rng.randint(0, 10**6)}" for _ in range(n)]
+
+    long, short, third = words(900), words(200), words(300)
+    edited = list(long)
+    edited[5] = edited[850] = "changed"
+    rows = [(1, long), (1, short), (7, edited), (0, short[:-1]), (2, third), (2, [*third, "more"]), (4, [*third, "end"]), (4, [*long, "end"]), (4, words(50))]
+    return [(i, " ".join(w)) for i, w in rows]
+
+
+def test_ngram_join_of_texts_of_one_id(spark, rows_of_one_id):
+    df = spark.createDataFrame(rows_of_one_id, "doc_id bigint, text string").repartition(3)
+    got = {(r["doc_a"], r["doc_b"]): r["jaccard"] for r in ngram_join.expand_pairs(ngram_join.ngram_jaccard_join(df)).collect()}
+    want = ngram_join.brute_force(rows_of_one_id)
+    assert {(1, 7), (0, 1), (1, 4), (2, 4)} <= want.keys()
+    assert got == pytest.approx(want)
+
+
+def test_drop_texts_of_one_id(spark, rows_of_one_id):
+    """Of id 1 the long text stays, though its short one goes; of id 4 the text of its own."""
+    df = spark.createDataFrame(rows_of_one_id, "doc_id bigint, text string").repartition(3)
+    got = {tuple(r) for r in ngram_join.drop_near_duplicates(df).collect()}
+    assert got == {rows_of_one_id[k] for k in (0, 3, 4, 5, 8)}
+
+
 def test_prefix_tree():
     rng = np.random.default_rng(1)
     sets = [np.unique(rng.integers(0, 30, rng.integers(0, 20))).astype(np.uint32) for _ in range(80)]
