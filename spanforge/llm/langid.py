@@ -154,7 +154,8 @@ def fit(docs: DataFrame) -> LanguageModel:
 def viterbi(scores: np.ndarray, begin: np.ndarray, lengths: np.ndarray, penalty: float) -> np.ndarray:
     """The best state of each word.  Documents are runs of rows of scores; all of them advance a word at a time."""
     n, k = scores.shape
-    state = np.zeros(n, np.int8)
+    number = np.int8 if k <= 128 else np.int16 if k <= 1 << 15 else np.int32
+    state = np.zeros(n, number)
     order = np.argsort(-lengths, kind="stable")
     begin, lengths = begin[order], lengths[order]
     active = int((lengths > 0).sum())
@@ -164,7 +165,7 @@ def viterbi(scores: np.ndarray, begin: np.ndarray, lengths: np.ndarray, penalty:
     longest = int(lengths[0])
     # how many documents have a word at each position
     alive = np.searchsorted(-lengths, -np.arange(longest), side="left")
-    stay = np.full((n, k), -1, np.int8)
+    stay = np.full((n, k), -1, number)
     value = scores[begin].astype(np.float64)
     final = np.zeros(active, np.int64)
     for t in range(1, longest):
@@ -177,7 +178,7 @@ def viterbi(scores: np.ndarray, begin: np.ndarray, lengths: np.ndarray, penalty:
         switch = moved[:, None] > value
         rows = begin[:m] + t
         if switch.any():
-            stay[rows] = np.where(switch, best[:, None].astype(np.int8), np.int8(-1))
+            stay[rows] = np.where(switch, best[:, None].astype(number), number(-1))
             value = np.maximum(value, moved[:, None])
         value = value + scores[rows]
     final[: len(value)] = value.argmax(axis=1)

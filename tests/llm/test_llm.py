@@ -290,6 +290,14 @@ def test_viterbi_is_best():
             assert value == pytest.approx(langid.brute_force(v, 4.0), rel=1e-5)
 
 
+@pytest.mark.parametrize("k", [128, 129, 300, 40_000])
+def test_viterbi_of_many_languages(k):
+    scores = np.zeros((6, k), np.float32)
+    scores[:3, k - 1] = scores[3:, k - 2] = 50
+    state = langid.viterbi(scores, np.array([0]), np.array([6]), 4.0)
+    assert state.tolist() == [k - 1] * 3 + [k - 2] * 3
+
+
 def test_language_spans(spark):
     rng = random.Random(5)
     rows = [(k, sentence(rng, ("en", "de")[k % 2], 60), ("en", "de")[k % 2]) for k in range(40)]
