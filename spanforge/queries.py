@@ -419,6 +419,26 @@ _add(
     _with("SELECT doc_id AS document_id, min(p1) AS p1, max(p2) AS p2 FROM documents LEFT JOIN tok ON document_id = doc_id AND index >= 100 AND index < 6000 GROUP BY doc_id", full=True),
 )
 
+
+def _tiles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Ranges of 6000 characters that cover each whole text."""
+    n = F.greatest(F.coalesce(F.length("text"), F.lit(0)), F.lit(1))
+    starts = F.sequence(F.lit(0), n - 1, F.lit(6000))
+    return table(spark, sf_dir, "documents").select(F.col("doc_id").alias("document_id"), F.explode(starts).alias("start")).select(
+        "document_id", (F.col("start") / 6000).cast("int").alias("range_id"), "start", (F.col("start") + 6000).alias("end")
+    )
+
+
+_add(
+    "char_ranges_all",
+    lambda s, d: corpora.positions_of_ranges(build_catalog(s, d, offsets=True).span, _tiles(s, d)).select("document_id", "range_id", "p1", "p2"),
+    _with(
+        "SELECT doc_id AS document_id, (start // 6000)::INT AS range_id, min(p1) AS p1, max(p2) AS p2 FROM tiles LEFT JOIN tok ON document_id = doc_id AND index >= start AND index < start + 6000 GROUP BY doc_id, start",
+        "tiles AS (SELECT doc_id, unnest(range(0, greatest(coalesce(length(text), 0), 1), 6000)) AS start FROM documents)",
+        full=True,
+    ),
+)
+
 # lexicon: the words of the collection
 
 
@@ -430,6 +450,7 @@ for _mode, _text, _c in (("exact", "nation", "value = 'nation'"), ("prefix", "CO
     _add(f"lookup_{_mode}", _columns(lambda c, m=_mode, t=_text: lexicon.find(_lexicon(c), t, m), "value", "lemma"), _with(f"SELECT value, min(lemma) AS lemma FROM words WHERE {_c} GROUP BY value", _INDEXED, _WORDS))
 _add("lookup_fuzzy", _columns(lambda c: lexicon.find(_lexicon(c), "nation", "fuzzy", 0.7), "value", "lemma"))
 _add("lookup_join", _columns(lambda c: lexicon.lookup(_lexicon(c), c.span.filter("p1 = 1").select("value")), "value", "lemma"), _with("SELECT value, min(lemma) AS lemma FROM words WHERE value IN (SELECT value FROM tok WHERE p1 = 1) GROUP BY value", _INDEXED, _WORDS))
+_add("lookup_join_all", _columns(lambda c: lexicon.lookup(_lexicon(c), c.span.filter("type = 'tok'").select("value")), "value", "lemma"), _with("SELECT value, min(lemma) AS lemma FROM words WHERE value IN (SELECT value FROM tok) GROUP BY value", _INDEXED, _WORDS))
 _add("word_check", _columns(lambda c: lexicon.check_words(c.span.select("value", F.lit(None).cast("string").alias("pos")), _lexicon(c).filter("length(value) > 4")), "value", "code", "data"))
 
 

@@ -281,3 +281,10 @@ def test_entry(spark):
     if os.path.exists(DATA):
         assert entry.entry(spark).count() > 0
     assert set(entry.oracle_sql()) <= set(entry.queries())
+
+
+@pytest.mark.parametrize("name, cut", [("lookup_join_all", "lookup_join"), ("char_ranges_all", "char_ranges")])
+def test_whole_texts(spark, name, cut):
+    got = entry.queries()[name](spark, DATA).toPandas()
+    assert compare(got, connect(DATA).execute(entry.oracle_sql()[name]).fetchdf()) == ""
+    assert len(got) > entry.queries()[cut](spark, DATA).count()
