@@ -72,6 +72,15 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def bucket_count(df: DataFrame, growth: float, bucket_bytes: int = 64 << 20, most: int = 1 << 16) -> int:
+    """How many buckets the rows that are made of a table go to: three for each shuffle partition, and more where the files that
+    it is read from say that `growth` times their size would make buckets of more than `bucket_bytes`."""
+    least = 3 * int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    size = int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
+    known = size if size < 1 << 60 else 0  # what Spark says where it doesn't know
+    return min(most, max(least, int(known * growth) // bucket_bytes))
+
+
 def shielded(docs: DataFrame) -> tuple[DataFrame, Callable[[DataFrame], DataFrame]]:
     """The table with its columns that begin with two underscores renamed, as operators call their own such, and what gives
     them their names back."""

@@ -71,6 +71,7 @@ def queries() -> dict[str, Query]:
 
 def oracle_sql() -> dict[str, str]:
     return {
+        "op1_ngram_jaccard_join": ngram_join.oracle(),
         "op4_mix_sources": mixing.oracle(),
         "op5_shard": sharding.oracle(),
         "op6_exact_top_k": knn.oracle(),

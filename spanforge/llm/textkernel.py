@@ -8,6 +8,7 @@ scripts put no blanks between words.  Case is folded first.  Null texts have no
 
 from __future__ import annotations
 
+import struct
 from collections.abc import Iterator
 
 import numpy as np
@@ -34,6 +35,32 @@ def mix64(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
+def pack(values: np.ndarray) -> bytes:
+    """Integers from 0 on: as many bytes of each as the largest needs, byte by byte, compressed."""
+    v = values.astype("<u8")
+    width = max(1, (int(v.max(initial=0)).bit_length() + 7) // 8)
+    planes = np.ascontiguousarray(v.view(np.uint8).reshape(-1, 8)[:, :width].T)
+    return struct.pack("<QB", len(v), width) + pa.compress(planes.tobytes(), codec="zstd", asbytes=True)
+
+
+def unpack(data: bytes) -> np.ndarray:
+    n, width = struct.unpack_from("<QB", data)
+    planes = np.frombuffer(pa.decompress(data[9:], n * width, codec="zstd", asbytes=True), np.uint8).reshape(width, n)
+    out = np.zeros((n, 8), np.uint8)
+    out[:, :width] = planes.T
+    return out.view("<u8").ravel()
+
+
+def pack_sorted(values: np.ndarray) -> bytes:
+    """Ascending integers, by their differences."""
+    v = values.astype(np.uint64)
+    return pack(np.append(v[:1], np.diff(v)))
+
+
+def unpack_sorted(data: bytes) -> np.ndarray:
+    return np.cumsum(unpack(data), dtype=np.uint64)
+
+
 def _power_tables(n: int) -> tuple[np.ndarray, np.ndarray]:
     if not _powers or len(_powers[0]) < n:
         size = max(n, BLOCK_BYTES + 1)

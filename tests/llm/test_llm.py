@@ -136,44 +136,85 @@ def test_columns_stay(op, docs, labels):
 # 1
 
 
+def linked_by_brute_force(rows, **kwargs):
+    """(doc_id, class_id, n_links) of the texts with links."""
+    texts, pairs = ngram_join.brute_force(rows, **kwargs)
+    root = ngram_join.find_roots(len(texts), *np.array(list(pairs) or [(0, 0)]).T)
+    least = {}
+    for k, (i, _) in enumerate(texts):
+        least[root[k]] = min(i, least.get(root[k], i))
+    n = Counter(k for p in pairs for k in p)
+    return sorted((texts[k][0], least[root[k]], n[k]) for k in n), len(pairs)
+
+
+def pairs_of(df, **kwargs):
+    """The similar pairs of texts as sorted pairs of ids with their similarity, those of one class with 1."""
+    pairs, members = ngram_join.similar_pairs(df, **kwargs)
+    of = {}
+    for r in members.collect():
+        of.setdefault(r["rep"], []).append(r["doc_id"])
+    out = [(*sorted((x, y)), round(r["jaccard"], 9)) for r in pairs.collect() for x in of[r["a"]] for y in of[r["b"]]]
+    return sorted(out + [(*sorted((x, y)), 1.0) for ids in of.values() for k, x in enumerate(ids) for y in ids[k + 1 :]])
+
+
+def pairs_by_brute_force(rows, **kwargs):
+    texts, pairs = ngram_join.brute_force(rows, **kwargs)
+    return sorted((*sorted((texts[a][0], texts[b][0])), round(j, 9)) for (a, b), j in pairs.items())
+
+
 def test_ngram_join(docs, rows):
-    joined = ngram_join.ngram_jaccard_join(docs)
-    got = {(r["doc_a"], r["doc_b"]): r["jaccard"] for r in ngram_join.expand_pairs(joined).collect()}
-    want = ngram_join.brute_force([(r[0], r[1]) for r in rows])
-    assert got.keys() == want.keys() and len(want) >= 12
-    assert all(got[k] == pytest.approx(want[k]) for k in want)
+    plain = [(r[0], r[1]) for r in rows]
+    want, n = linked_by_brute_force(plain)
+    assert n >= 12 and sorted(map(tuple, ngram_join.ngram_jaccard_join(docs).collect())) == want
+    assert pairs_of(docs) == pairs_by_brute_force(plain)
+
+
+def passages(n, seed=3):
+    rng = random.Random(seed)
+    made = [[f"w{rng.randint(0, 400)}" for _ in range(20)] for _ in range(6)]
+    return [(k, " ".join([w for p in rng.sample(made, rng.randint(1, 3)) for w in p] + [f"u{rng.randint(0, 50)}" for _ in range(rng.randint(0, 15))])) for k in range(n)]
 
 
-@pytest.mark.parametrize("threshold", [0.3, 0.7, 1.0])
+@pytest.mark.parametrize("threshold", [0.3, 0.5, 0.7, 1.0])
 def test_ngram_join_of_shared_passages(spark, threshold):
-    rng = random.Random(3)
-    passages = [[f"w{rng.randint(0, 400)}" for _ in range(20)] for _ in range(6)]
-    rows = []
-    for k in range(150):
-        words = [w for p in rng.sample(passages, rng.randint(1, 3)) for w in p] + [f"u{rng.randint(0, 50)}" for _ in range(rng.randint(0, 15))]
-        rows.append((k, " ".join(words)))
+    rows = passages(150)
     df = spark.createDataFrame(rows, "doc_id bigint, text string").repartition(5)
-    got = {(r["doc_a"], r["doc_b"]): r["jaccard"] for r in ngram_join.expand_pairs(ngram_join.ngram_jaccard_join(df, threshold=threshold)).collect()}
-    want = ngram_join.brute_force(rows, threshold=threshold)
-    assert got.keys() == want.keys()
-    assert all(got[k] == pytest.approx(want[k]) for k in want)
+    want = pairs_by_brute_force(rows, threshold=threshold)
+    assert pairs_of(df, threshold=threshold) == want and (want or threshold == 1.0)
 
 
-def kept_by_brute_force(rows):
-    """Positions of the rows that stay: of each linked group of ids those of the least, and of equal rows one."""
-    parent = {}
+@pytest.mark.parametrize("threshold", [0.4, 0.6])
+def test_ngram_join_of_hot_groups(spark, threshold):
+    """N-grams that count as frequent in a block, as hot, and components that count as large, from a few documents on."""
+    rows = passages(120, 5) + [(1000 + k, "a b c d e f g h i " + "x " * (k % 7) + f"y{k % 40}") for k in range(80)]
+    df = spark.createDataFrame(rows, "doc_id bigint, text string").repartition(3)
+    want = pairs_by_brute_force(rows, threshold=threshold)
+    assert pairs_of(df, threshold=threshold, common=2, hot=4, component=(9, 1 << 30)) == want
+    linked = ngram_join.Classes(df, 3, threshold, "text", "doc_id", 2, 4, (9, 1 << 30)).linked()
+    assert sorted(map(tuple, linked.select("doc_id", "class_id", "n_links").collect())) == linked_by_brute_force(rows, threshold=threshold)[0]
+
 
-    def find(x):
-        while parent.setdefault(x, x) != x:
-            x = parent[x]
-        return x
+def test_ngram_join_against_sql(spark):
+    d = f"{DATA}/sf0.001"
+    if not os.path.exists(d):
+        pytest.skip("no test data")
+    rows = [tuple(r) for r in spark.read.parquet(f"{d}/documents.parquet").collect()]
+    got = ngram_join.ngram_jaccard_join(spark.read.parquet(f"{d}/documents.parquet")).toPandas()
+    assert len(got) and compare(got, sql(rows, ngram_join.oracle())) == ""
 
-    for a, b in ngram_join.brute_force(rows):
-        x, y = find(a), find(b)
-        parent[max(x, y)] = min(x, y)
+
+def kept_by_brute_force(rows):
+    """Positions of the rows that stay: of each linked group those of the least id, and of equal rows one."""
+    texts, pairs = ngram_join.brute_force(rows)
+    root = ngram_join.find_roots(len(texts), *np.array(list(pairs) or [(0, 0)]).T)
+    least = {}
+    for k, (i, _) in enumerate(texts):
+        least[root[k]] = min(i, least.get(root[k], i))
+    lost = {t for k, t in enumerate(texts) if least[root[k]] != t[0]}
     seen, out = set(), []
     for k, (i, t) in enumerate(rows):
-        if i is not None and (find(i) != i or (i, t or "") in seen):
+        own = ngram_join.brute_force([(i, t)])[0]
+        if i is not None and ((own and own[0] in lost) or (i, t or "") in seen):
             continue
         seen.add((i, t or ""))
         out.append(k)
@@ -203,10 +244,9 @@ def rows_of_one_id():
 
 def test_ngram_join_of_texts_of_one_id(spark, rows_of_one_id):
     df = spark.createDataFrame(rows_of_one_id, "doc_id bigint, text string").repartition(3)
-    got = {(r["doc_a"], r["doc_b"]): r["jaccard"] for r in ngram_join.expand_pairs(ngram_join.ngram_jaccard_join(df)).collect()}
-    want = ngram_join.brute_force(rows_of_one_id)
-    assert {(1, 7), (0, 1), (1, 4), (2, 4)} <= want.keys()
-    assert got == pytest.approx(want)
+    got, want = pairs_of(df), pairs_by_brute_force(rows_of_one_id)
+    assert got == want and {(1, 7), (0, 1), (1, 4), (2, 4), (2, 2)} <= {p[:2] for p in want}
+    assert sorted(map(tuple, ngram_join.ngram_jaccard_join(df).collect())) == linked_by_brute_force(rows_of_one_id)[0]
 
 
 def test_drop_texts_of_one_id(spark, rows_of_one_id):
@@ -216,6 +256,17 @@ def test_drop_texts_of_one_id(spark, rows_of_one_id):
     assert got == {rows_of_one_id[k] for k in (0, 3, 4, 5, 8)}
 
 
+@pytest.mark.parametrize("driver_edges", [0, 1000])
+def test_components(spark, driver_edges):
+    rng = random.Random(2)
+    edges = [(rng.randint(0, 60), rng.randint(0, 60)) for _ in range(35)] + [(k, k + 1) for k in range(100, 120)] + [(7, 7)]
+    a, b = np.array([e for e in edges if e[0] != e[1]]).T
+    root = ngram_join.find_roots(200, a, b)
+    got = ngram_join.components(spark.createDataFrame(edges, "u bigint, v bigint"), driver_edges).collect()
+    assert {tuple(r) for r in got} == {(int(k), int(root[k])) for k in {*a, *b}} and len(got) == len({*a, *b})
+    assert ngram_join.components(spark.createDataFrame([], "u bigint, v bigint"), driver_edges).count() == 0
+
+
 def test_prefix_tree():
     rng = np.random.default_rng(1)
     sets = [np.unique(rng.integers(0, 30, rng.integers(0, 20))).astype(np.uint32) for _ in range(80)]
