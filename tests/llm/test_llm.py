@@ -399,28 +399,46 @@ def test_sharding_against_sql(docs, rows, target):
 # 6
 
 
-def test_nearest_against_brute_force(spark):
+@pytest.mark.parametrize("step", [1, 7])
+def test_nearest_against_brute_force(spark, step):
     rng = np.random.default_rng(4)
     x = rng.normal(size=(400, 8)).round(1)
     x[50:60] = x[40:50]  # ties
-    rows = [(k, v.tolist(), "own") for k, v in enumerate(x)]
-    rows += [(7, x[7].tolist(), "own"), (None, x[0].tolist(), "own"), (900, None, "own"), (901, [1.0], "own"), (902, [float("nan")] * 8, "own"), (903, [None] * 8, "own")]
-    df = spark.createDataFrame(rows, "vec_id bigint, embedding array<double>, distance string")
-    got = knn.nearest(df, k=5, block=100).orderBy("query_id", "rank").collect()
-    ids = np.array([*range(400), 7])
-    x = np.concatenate([x, x[7:8]])
+    x[70:90] = x[70]  # more than k equal ones
+    rows = [(k, v.tolist(), *["own"] * 4) for k, v in enumerate(x)]
+    own = ["own"] * 4
+    rows += [(7, x[7].tolist(), *own), (7, x[9].tolist(), *own), (None, x[0].tolist(), *own), (900, None, *own), (901, [1.0], *own), (902, [float("nan")] * 8, *own), (903, [None] * 8, *own)]
+    df = spark.createDataFrame(rows, "vec_id bigint, embedding array<double>, distance string, place string, q string, v string")
+    got = knn.nearest(df, k=5, is_query=F.col("vec_id") % step == 0, block=50, strip=100, queries=60).collect()
+    ids = np.array([*range(400), 7, 7])
+    x = np.concatenate([x, x[[7, 9]]])
     d = np.sqrt(((x[:, None] - x[None]) ** 2).sum(axis=2))
     np.fill_diagonal(d, np.inf)
     want = Counter()
     for q in range(len(x)):
-        order = np.lexsort((ids, d[q]))[:5]
-        want.update((int(ids[q]), k + 1, int(ids[v]), round(float(d[q, v]), 9)) for k, v in enumerate(order))
+        if ids[q] % step == 0:
+            order = np.lexsort((ids, d[q]))[:5]
+            want.update((int(ids[q]), k + 1, int(ids[v]), round(float(d[q, v]), 9)) for k, v in enumerate(order))
     assert Counter((r["query_id"], r["rank"], r["neighbor_id"], round(r["distance"], 9)) for r in got) == want
 
 
+def test_cells_bound_distances():
+    rng = np.random.default_rng(6)
+    x, q = rng.normal(size=(300, 5)) * [1, 10, 0, 1e-3, 1], rng.normal(size=(40, 5))
+    grid = knn.Grid(x.min(axis=0), x.max(axis=0))
+    cells = grid.cells(x)
+    low, high = knn.bounds(q, grid.middles(cells), grid.errors(x, cells))
+    d = np.sqrt(((q[:, None] - x[None]) ** 2).sum(axis=2))
+    assert (low <= d).all() and (d <= high).all() and (high - low).mean() < 0.2
+    order = np.argsort(low[0], kind="stable")
+    read = knn.read_in_order(q[0], x[order], low[0][order], 10)
+    assert np.isinf(read).sum() > 200 and sorted(read)[:10] == pytest.approx(sorted(d[0])[:10])
+
+
 def test_nearest_few(spark):
     ddl = "vec_id bigint, embedding array<float>"
     assert knn.nearest(spark.createDataFrame([], ddl)).count() == 0
+    assert knn.nearest(spark.createDataFrame([(1, [0.0, 1.0]), (2, [0.0, 1.0])], ddl), is_query=F.lit(False)).count() == 0
     assert knn.nearest(spark.createDataFrame([(1, [0.0, 1.0])], ddl)).count() == 0
     assert knn.nearest(spark.createDataFrame([(1, [0.0, 1.0]), (2, [0.0, 1.0])], ddl)).count() == 2
 
