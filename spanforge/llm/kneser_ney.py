@@ -1,11 +1,16 @@
 """Perplexity under an interpolated modified Kneser-Ney model of order 3 or more, counted over the whole corpus.
 
-Words are 48-bit hashes, and so are contexts of two words and more.  Each block of text sends its distinct n-grams of the highest
-order with counts, sorted and delta-coded, to the bucket of their context's range; there the counts are added up and the bucket's
-part of the model is written: sorted hashes of n-grams with counts, and for each context its total and how many successors it has
-with counts of 1, 2 and 3 or more.  Each different n-gram counts once for the n-gram without its first word, whose order is written
-in the same way after a shuffle by its context, and so on down to the words.  The files lie in the shared folder, where workers map
-them into memory and look up sorted batches of hashes.
+1. The words of all documents are counted and numbered, the frequent ones first (by powers of two of their counts), so that
+   n-grams are short lists of small numbers.
+2. A group of documents sends its distinct n-grams of the highest order with their counts, sorted and compressed by column, to the
+   bucket of their context (of the whole n-gram where all words of the context are among the `HOT` ones, as such contexts have very
+   many successors).  There the counts are added up and the bucket's part of the model is written: hashes of n-grams with counts,
+   and for each context its total and how many successors it has with counts of 1, 2 and 3 or more.  Each different n-gram counts
+   once for the n-gram without its first word, whose order is written in the same way after one more shuffle, and so on down to
+   the words.  What is known of a hot context in several buckets is added up with the next order.
+3. The files lie in the shared folder as sorted arrays: hashes in segments of about 64, of which the low 32 bits are stored, and
+   counts in a byte each with a list of the larger ones.  Workers map them into memory and look up hashes by binary search.  (Of
+   n-grams that differ about one in 10**8 shares a slot with another.)
 
     p(w|h) = max(c(hw) - D(c), 0) / c(h) + g(h) p(w|h'),   g(h) = (D1 N1(h) + D2 N2(h) + D3 N3(h)) / c(h)
     p(w)   = max(n(w) - D'(n), 0) / N + g' / (V + 1)
@@ -15,6 +20,10 @@ below; n(w) are numbers of different words before w, N their sum, V the number o
 numbers of its n-grams that have the counts 1 to 4.  A document is one sequence between begin marks (one less than the order) and an
 end mark.
 
+A document is scored by the counts of all other documents: its own are taken off, and where an n-gram was only in it, so is what
+that n-gram counts for at the order below.  The discounts and V stay those of the whole corpus.  So a text that is there once
+isn't predicted from itself, and a text that is there twice is.
+
 Defined cases: null and empty texts and texts without words have n_tokens 0, log_prob 0 and no perplexity, and don't count
 in the model; null ids are scored; rows that repeat are counted and scored each; words that the model has not seen get the
 share of unknown words; an empty table gives an empty one; other columns aren't read.
@@ -24,6 +33,7 @@ from __future__ import annotations
 
 import os
 import pickle
+import uuid
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
@@ -32,95 +42,114 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from spanforge.llm.common import shared_path, ship
-from spanforge.llm.textkernel import blocks, mix64
+from spanforge.llm.common import bucket_count, shared_path, ship
+from spanforge.llm.textkernel import blocks, mix64, pack, pack_sorted, unpack, unpack_sorted
 
 #: Words of the longest n-grams.
 ORDER = 3
 #: Bytes of text whose n-grams are counted or looked up together.
 GROUP_TEXT = 12 << 20
-BEGIN, END = np.uint64(1), np.uint64(2)
-_16 = np.uint64(16)
-_48 = np.uint64(48)
-
-
-def _pack(values: np.ndarray) -> bytes:
-    """Ascending integers: differences, byte by byte."""
-    delta = np.append(values[:1], np.diff(values)).astype("<u8")
-    return np.ascontiguousarray(delta.view(np.uint8).reshape(-1, 8).T).tobytes()
-
-
-def _unpack(data: bytes) -> np.ndarray:
-    planes = np.frombuffer(data, np.uint8).reshape(8, -1)
-    return np.cumsum(np.ascontiguousarray(planes.T).view("<u8").ravel(), dtype=np.uint64)
-
-
-def _small(values: np.ndarray) -> np.ndarray:
-    top = int(values.max(initial=0))
-    return values.astype(np.uint8 if top < 1 << 8 else np.uint16 if top < 1 << 16 else np.uint32)
-
-
-def bucket_of(words: np.ndarray, n_buckets: int) -> np.ndarray:
-    """The bucket of 48-bit hashes, by range; at most 2**16 buckets."""
-    return (words * np.uint64(n_buckets)) >> _48
-
-
-def bigram_key(first: np.ndarray, second: np.ndarray, n_buckets: int) -> np.ndarray:
-    """The bucket of the first word (or context) in the high 16 bits, a hash of both in the low 48."""
-    return (bucket_of(first, n_buckets) << _48) | (mix64((first << _16) ^ mix64(second)) >> _16)
-
-
-def groups(batch: pa.RecordBatch, column: int) -> Iterator[tuple[int, int, np.ndarray, np.ndarray, np.ndarray]]:
-    """(first row, last row, first words, second words, row of each bigram from the first) of groups of documents."""
-    words, docs, low, size = [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)], 0, 0
-
-    def bigrams(last: int) -> tuple[int, int, np.ndarray, np.ndarray, np.ndarray]:
-        w, d = np.concatenate(words), np.concatenate(docs)
-        new = np.append(True, d[1:] != d[:-1]) if len(d) else np.zeros(0, bool)
-        before = np.append(BEGIN, w[:-1])[: len(w)]
-        before[new] = BEGIN
-        ends = np.append(np.flatnonzero(new)[1:], len(w)) - 1 if len(w) else np.zeros(0, int)
-        return low, last, np.concatenate([before, w[ends]]), np.concatenate([w, np.full(len(ends), END)]), np.concatenate([d, d[ends]])
-
-    last = 0
+#: Words that occur at least 2**HOT times make hot contexts.
+HOT = 20
+#: Numbers that aren't words.
+BEGIN, END, UNKNOWN, WORDS = 0, 1, 2, 3
+#: Entries of a segment, as far as hashing spreads them evenly.
+SEGMENT = 64
+_GOLDEN = np.uint64(0x9E3779B97F4A7C15)
+_32 = np.uint64(32)
+
+
+def groups(batch: pa.RecordBatch, column: int) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
+    """(first row, last row, hashes of the words, row of each word from the first) of groups of documents."""
+    words, docs, low, size, last = [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)], 0, 0, 0
     for block in blocks(batch.column(column)):
         starts, ends, d = block.words()
-        words.append((block.hash_ranges(starts, ends) >> _16) | np.uint64(4))
+        words.append(block.hash_ranges(starts, ends))
         docs.append(d + block.first - low)
         size, last = size + len(block.data), block.last
         if size >= GROUP_TEXT:
-            yield bigrams(last)
+            yield low, last, np.concatenate(words), np.concatenate(docs)
             words, docs, low, size = [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)], last, 0
     if last > low:
-        yield bigrams(last)
-
-
-def contexts(first: np.ndarray, doc: np.ndarray, order: int) -> list[np.ndarray]:
-    """The contexts of each bigram of `groups` at the orders 2 to `order`; shorter ones are filled up with begin marks."""
-    by_doc = np.argsort(doc, kind="stable")  # end marks go behind their documents
-    d = doc[by_doc]
-    new = np.flatnonzero(np.append(True, d[1:] != d[:-1])) if len(d) else np.zeros(0, int)
-    place = np.arange(len(d)) - np.repeat(new, np.diff(np.append(new, len(d))))
-    word = first[by_doc]
-    out, context = [first], word
-    for back in range(1, order - 1):
-        earlier = np.full(len(word), BEGIN)
-        earlier[back:] = np.where(place[back:] >= back, word[: max(len(word) - back, 0)], BEGIN)
-        context = mix64((context << _16) ^ mix64(earlier)) >> _16
-        unsorted = np.empty_like(context)
-        unsorted[by_doc] = context
-        out.append(unsorted)
+        yield low, last, np.concatenate(words), np.concatenate(docs)
+
+
+def sequences(words: np.ndarray, docs: np.ndarray, order: int) -> tuple[list[np.ndarray], np.ndarray]:
+    """The n-grams that end at each word and at each end mark, as columns of numbers, and the document of each."""
+    if not len(words):
+        return [np.zeros(0, np.int64)] * order, np.zeros(0, np.int64)
+    new = np.append(True, docs[1:] != docs[:-1])
+    last = np.append(np.flatnonzero(new)[1:], len(words)) - 1
+    place = np.arange(len(words)) + np.cumsum(new) - 1  # end marks stand between the documents
+    n = len(words) + len(last)
+    line, doc = np.full(n, END, np.int64), np.zeros(n, np.int64)
+    line[place], doc[place] = words, docs
+    doc[place[last] + 1] = docs[last]
+    begin = np.flatnonzero(np.append(True, doc[1:] != doc[:-1]))
+    offset = np.arange(n) - np.repeat(begin, np.diff(np.append(begin, n)))
+    columns = [line]
+    for back in range(1, order):
+        earlier = np.full(n, BEGIN, np.int64)
+        earlier[back:] = np.where(offset[back:] >= back, line[: max(n - back, 0)], BEGIN)
+        columns.append(earlier)
+    return columns[::-1], doc
+
+
+def _longer(h: np.ndarray, ids: np.ndarray) -> np.ndarray:
+    return mix64((h + _GOLDEN) ^ mix64(ids.astype(np.uint64) * _GOLDEN))
+
+
+def hashes(columns: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of the contexts and of the whole n-grams."""
+    h = np.full(len(columns[-1]), len(columns), np.uint64)
+    for c in columns[:-1]:
+        h = _longer(h, c)
+    return h, _longer(h, columns[-1])
+
+
+def is_hot(columns: list[np.ndarray], limit: int) -> np.ndarray:
+    """Whether all words of the context are hot (of single words the context is)."""
+    out = np.ones(len(columns[-1]), bool)
+    for c in columns[:-1]:
+        out &= c < limit
     return out
 
 
-def _sum_runs(columns: list[np.ndarray], counts: np.ndarray) -> tuple[list[np.ndarray], np.ndarray]:
-    """Adds up the counts of equal rows of sorted columns."""
-    new = np.zeros(len(counts), bool)
-    new[:1] = True
+def bucket_of(h: np.ndarray, n_buckets: int) -> np.ndarray:
+    """At most 2**16 buckets."""
+    return (((h >> np.uint64(48)) * np.uint64(n_buckets)) >> np.uint64(16)).astype(np.int64)
+
+
+def gram_buckets(columns: list[np.ndarray], limit: int, n_buckets: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Hashes of contexts and n-grams, whether contexts are hot, buckets."""
+    context, gram = hashes(columns)
+    hot = is_hot(columns, limit)
+    return context, gram, hot, bucket_of(np.where(hot, gram, context), n_buckets)
+
+
+def _order(columns: list[np.ndarray]) -> np.ndarray:
+    """The order of rows by the columns."""
+    bits = [max(1, int(c.max(initial=0)).bit_length()) for c in columns]
+    if sum(bits) > 63:
+        return np.lexsort(columns[::-1])
+    key = np.zeros(len(columns[0]), np.uint64)
+    for c, b in zip(columns, bits):
+        key = (key << np.uint64(b)) | c.astype(np.uint64)
+    return np.argsort(key, kind="stable")
+
+
+def sum_equal(columns: list[np.ndarray], values: list[np.ndarray]) -> tuple[list[np.ndarray], list[np.ndarray]]:
+    """Distinct rows in order, with the sums of their values."""
+    if not len(columns[0]):
+        return columns, values
+    by = _order(columns)
+    columns = [c[by] for c in columns]
+    new = np.zeros(len(by), bool)
+    new[0] = True
     for c in columns:
         new[1:] |= c[1:] != c[:-1]
     at = np.flatnonzero(new)
-    return [c[at] for c in columns], np.add.reduceat(counts, at) if len(at) else counts[:0]
+    return [c[at] for c in columns], [np.add.reduceat(v[by], at) for v in values]
 
 
 def _tell(counts: np.ndarray) -> np.ndarray:
@@ -128,14 +157,101 @@ def _tell(counts: np.ndarray) -> np.ndarray:
     return np.array([*((counts == k).sum() for k in (1, 2, 3, 4)), (counts >= 3).sum(), len(counts), counts.sum()], np.int64)
 
 
+# files
+
+
 def _save(path: str, **arrays: np.ndarray) -> None:
+    """Attempts of a task write the same files; the last one to end stays."""
     for name, x in arrays.items():
-        part = f"{path}.{name}.{os.getpid()}.part"
+        part = f"{path}.{name}.{uuid.uuid4().hex}.part"
         with open(part, "wb") as f:
             np.save(f, x)
         os.replace(part, f"{path}.{name}.npy")
 
 
+def _segments(h: np.ndarray, n: int) -> np.ndarray:
+    return (((h >> _32) & np.uint64(0xFFFFFF)) * np.uint64(n)) >> np.uint64(24)
+
+
+def save_table(path: str, h: np.ndarray, **values: np.ndarray) -> None:
+    """A table of numbers by hash."""
+    n = max(1, len(h) // SEGMENT)
+    key = (_segments(h, n) << _32) | (h & np.uint64(0xFFFFFFFF))
+    by = np.argsort(key)
+    key = key[by]
+    offsets = np.searchsorted(key, np.arange(n + 1, dtype=np.uint64) << _32).astype(np.uint32)
+    arrays = {"low": key.astype(np.uint32), "offsets": offsets}
+    for name, v in values.items():
+        v = v[by]
+        large = np.flatnonzero(v >= 255)
+        arrays |= {name: np.minimum(v, 255).astype(np.uint8), f"{name}-at": large.astype(np.uint32), f"{name}-large": v[large].astype(np.int64)}
+    _save(path, **arrays)
+
+
+_maps: dict[str, np.ndarray | None] = {}
+
+
+def _map(path: str) -> np.ndarray | None:
+    """A file of the model, mapped into memory once per worker."""
+    if path not in _maps:
+        _maps[path] = np.load(path, mmap_mode="r") if os.path.exists(path) else None
+    return _maps[path]
+
+
+def look_up(path: str, h: np.ndarray, names: tuple[str, ...]) -> list[np.ndarray]:
+    """The numbers of hashes, 0 where there is none."""
+    out = [np.zeros(len(h), np.int64) for _ in names]
+    low = _map(f"{path}.low.npy")
+    if low is None or not len(low):
+        return out
+    offsets = _map(f"{path}.offsets.npy")
+    segment, wanted = _segments(h, len(offsets) - 1).astype(np.int64), (h & np.uint64(0xFFFFFFFF)).astype(np.uint32)
+    a, end = offsets[segment].astype(np.int64), offsets[segment + 1].astype(np.int64)
+    z = end.copy()
+    while (a < z).any():
+        middle = (a + z) >> 1
+        less = (low[np.minimum(middle, len(low) - 1)] < wanted) & (a < z)
+        a, z = np.where(less, middle + 1, a), np.where(less, z, middle)
+    hit = np.flatnonzero(a < end)
+    hit = hit[low[a[hit]] == wanted[hit]]
+    at = a[hit]
+    for x, name in zip(out, names):
+        v = _map(f"{path}.{name}.npy")[at].astype(np.int64)
+        over = np.flatnonzero(v == 255)
+        if len(over):
+            v[over] = _map(f"{path}.{name}-large.npy")[np.searchsorted(_map(f"{path}.{name}-at.npy"), at[over])]
+        x[hit] = v
+    return out
+
+
+# words
+
+
+@dataclass
+class Vocabulary:
+    """Numbers of words.  base: the number of the first word of each class of frequency (powers of two) in each bucket."""
+
+    path: str
+    n_buckets: int
+    base: np.ndarray
+    hot_limit: int
+
+    def ids(self, h: np.ndarray) -> np.ndarray:
+        word, inverse = np.unique(h, return_inverse=True)
+        out = np.full(len(word), UNKNOWN, np.int64)
+        cut = np.searchsorted(bucket_of(word, self.n_buckets), np.arange(self.n_buckets + 1))
+        for b in np.flatnonzero(np.diff(cut)):
+            stored = _map(os.path.join(self.path, f"words-{b:05d}.hash.npy"))
+            if stored is None:
+                continue
+            w = word[cut[b] : cut[b + 1]]
+            at = np.minimum(np.searchsorted(stored, w), len(stored) - 1)
+            kind = _map(os.path.join(self.path, f"words-{b:05d}.kind.npy"))[at]
+            rank = _map(os.path.join(self.path, f"words-{b:05d}.rank.npy"))[at]
+            out[cut[b] : cut[b + 1]] = np.where(stored[at] == w, self.base[kind, b] + rank, UNKNOWN)
+        return out[inverse.ravel()]
+
+
 _BLOBS = pa.schema([("bucket", pa.int32()), ("kind", pa.int32()), ("payload", pa.binary())])
 _DDL = "bucket int, kind int, payload binary"
 
@@ -145,121 +261,99 @@ def _blobs(rows: list[tuple[int, int, bytes]]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(list(c), t) for c, t in zip(columns, _BLOBS.types)], schema=_BLOBS)
 
 
-def _bytes48(values: np.ndarray) -> bytes:
-    return np.ascontiguousarray(values.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :6].T).tobytes()
+def _split(bucket: np.ndarray, n_buckets: int) -> Iterator[tuple[int, np.ndarray]]:
+    """Buckets and the rows that go there, in order."""
+    by = np.argsort(bucket.astype(np.uint16), kind="stable")
+    cut = np.searchsorted(bucket[by], np.arange(n_buckets + 1))
+    for b in np.flatnonzero(np.diff(cut)).tolist():
+        yield b, by[cut[b] : cut[b + 1]]
+
+
+def _count_words(n_buckets: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for _, _, words, _ in groups(batch, 0):
+                word, count = np.unique(words, return_counts=True)
+                yield _blobs([(b, 0, pickle.dumps((pack_sorted(word[at]), pack(count[at])), 5)) for b, at in _split(bucket_of(word, n_buckets), n_buckets)])
+
+    return run
+
 
+def _number_words(path: str):
+    def run(table: pa.Table) -> pa.Table:
+        bucket = table.column("bucket")[0].as_py()
+        parts = [pickle.loads(x) for x in table.column("payload").to_pylist()]
+        (word,), (count,) = sum_equal([np.concatenate([unpack_sorted(p[0]) for p in parts])], [np.concatenate([unpack(p[1]) for p in parts])])
+        kind = np.minimum(np.floor(np.log2(count.astype(float))), 63).astype(np.uint8)
+        by = np.argsort(kind, kind="stable")
+        sizes = np.bincount(kind, minlength=64)
+        rank = np.empty(len(word), np.uint32)
+        rank[by] = np.arange(len(word)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
+        _save(os.path.join(path, f"words-{bucket:05d}"), hash=word, kind=kind, rank=rank)
+        return pa.Table.from_batches([_blobs([(bucket, 0, sizes.astype(np.int64).tobytes())])])
 
-def _from48(data: bytes) -> np.ndarray:
-    planes = np.frombuffer(data, np.uint8).reshape(6, -1)
-    out = np.zeros((planes.shape[1], 8), np.uint8)
-    out[:, :6] = planes.T
-    return out.view("<u8").ravel()
+    return run
 
 
-def _by_context(context: np.ndarray, second: np.ndarray, counts: np.ndarray, lower: list[np.ndarray], n_buckets: int) -> list[tuple[int, int, bytes]]:
-    """Rows of n-grams sorted by context and last word, by bucket of the context.  lower: the contexts of lower orders."""
-    cut = np.searchsorted(bucket_of(context, n_buckets), np.arange(n_buckets + 1))
-    rows = []
-    for b in np.flatnonzero(np.diff(cut)):
-        a, z = cut[b], cut[b + 1]
-        v, at, n = np.unique(context[a:z], return_index=True, return_counts=True)
-        # within a context the last words ascend; the sum of both is coded, so that it ascends as a whole
-        # (65536 contexts at a time, as the rank has 16 bits)
-        rank = np.repeat(np.arange(len(v), dtype=np.uint64), n)
-        payload = (_pack(v), _small(n), [_bytes48(x[a:z][at]) for x in lower])
-        begin = np.searchsorted(rank, np.arange(0, len(v) + (1 << 16), 1 << 16, dtype=np.uint64))
-        coded = [_pack(((rank[x:y] & np.uint64(0xFFFF)) << _48) | second[a:z][x:y]) for x, y in zip(begin, begin[1:])]
-        rows.append((int(b), 0, pickle.dumps((*payload, coded, _small(counts[a:z])), 5)))
-    return rows
+# n-grams
 
 
-def _count(order: int, n_buckets: int):
+def _gram_rows(columns: list[np.ndarray], counts: np.ndarray, bucket: np.ndarray, n_buckets: int) -> list[tuple[int, int, bytes]]:
+    """Sorted n-grams with counts, by bucket."""
+    return [(b, 0, pickle.dumps((pack_sorted(columns[0][at]), [pack(c[at]) for c in columns[1:]], pack(counts[at])), 5)) for b, at in _split(bucket, n_buckets)]
+
+
+def _count(order: int, vocabulary: Vocabulary):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for _, _, first, second, doc in groups(batch, 0):
-                columns = contexts(first, doc, order)[::-1]
-                by = np.lexsort((second, columns[0]))
-                new = [x[by] for x in (columns[0], second)]
-                at = np.flatnonzero(np.append(True, (new[0][1:] != new[0][:-1]) | (new[1][1:] != new[1][:-1]))) if len(by) else by
-                counts = np.diff(np.append(at, len(by)))
-                yield _blobs(_by_context(new[0][at], new[1][at], counts, [x[by[at]] for x in columns[1:]], n_buckets))
+            for _, _, words, docs in groups(batch, 0):
+                columns, _ = sequences(vocabulary.ids(words), docs, order)
+                columns, (counts,) = sum_equal(columns, [np.ones(len(columns[0]), np.int64)])
+                bucket = gram_buckets(columns, vocabulary.hot_limit, vocabulary.n_buckets)[3]
+                yield _blobs(_gram_rows(columns, counts, bucket, vocabulary.n_buckets))
 
     return run
 
 
-def _reduce(path: str, k: int, n_buckets: int):
-    def run(table: pa.Table) -> pa.Table:
-        """Of one range of contexts of order k: writes its n-grams and contexts, passes on the n-grams without their first word and
-        counts of counts."""
-        bucket = table.column("bucket")[0].as_py()
-        rows, firsts, seconds, counts = [], [], [], []
-        lower: list[list[np.ndarray]] = [[] for _ in range(k - 2)]
-        for kind, payload in zip(table.column("kind").to_pylist(), table.column("payload").to_pylist()):
-            if kind:
-                rows.append((bucket, kind, payload))
-                continue
-            v, n, lows, coded, c = pickle.loads(payload)
-            firsts.append(np.repeat(_unpack(v), n))
-            for x, low in zip(lower, lows):
-                x.append(np.repeat(_from48(low), n))
-            seconds.extend(_unpack(x) & np.uint64((1 << 48) - 1) for x in coded)
-            counts.append(c.astype(np.int64))
-        if not firsts:
-            return pa.Table.from_batches([_blobs(rows)])
-        first, second, count = (np.concatenate(x) for x in (firsts, seconds, counts))
-        below = [np.concatenate(x) for x in lower]
-        del firsts, seconds, counts, lower
-        order = np.lexsort((second, first))
-        first, second = first[order], second[order]
-        starts = np.flatnonzero(np.append(True, (first[1:] != first[:-1]) | (second[1:] != second[:-1])))
-        first, second, count = first[starts], second[starts], np.add.reduceat(count[order], starts)
-        below = [x[order[starts]] for x in below]
-        del order, starts
-        key = bigram_key(first, second, n_buckets)
-        by_key = np.argsort(key)
-        at = np.flatnonzero(np.append(True, first[1:] != first[:-1]))
-        kinds = [np.add.reduceat((count == c).astype(np.int64), at) for c in (1, 2)]
-        kinds.append(np.add.reduceat((count >= 3).astype(np.int64), at))
-        total = np.add.reduceat(count, at)
-        _save(
-            os.path.join(path, f"gram{k}-{bucket:05d}"), key=key[by_key], count=_small(count[by_key]), context=first[at],
-            total=_small(total) if total.max() < 1 << 32 else total.astype(np.uint64), n1=_small(kinds[0]), n2=_small(kinds[1]), n3=_small(kinds[2]),
-        )
-        rows.append((bucket, k, _tell(count).tobytes()))
-        if k > 2:
-            by = np.lexsort((second, below[0]))
-            c, w = below[0][by], second[by]
-            at = np.flatnonzero(np.append(True, (c[1:] != c[:-1]) | (w[1:] != w[:-1])))
-            rows += _by_context(c[at], w[at], np.diff(np.append(at, len(c))), [x[by[at]] for x in below[1:]], n_buckets)
-            return pa.Table.from_batches([_blobs(rows)])
-        word, before = np.unique(second, return_counts=True)
-        cut = np.searchsorted(bucket_of(word, n_buckets), np.arange(n_buckets + 1))
-        for b in np.flatnonzero(np.diff(cut)):
-            a, z = cut[b], cut[b + 1]
-            rows.append((int(b), 0, pickle.dumps((_pack(word[a:z]), _small(before[a:z])), 5)))
-        return pa.Table.from_batches([_blobs(rows)])
+def _by_context(context: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, list[np.ndarray]]:
+    """Contexts in order of their hashes, their totals and numbers of successors with counts of 1, 2 and 3 or more."""
+    (h,), values = sum_equal([context], [counts, (counts == 1).astype(np.int64), (counts == 2).astype(np.int64), (counts >= 3).astype(np.int64)])
+    return h, values
 
-    return run
 
+def _reduce(path: str, k: int, limit: int, n_buckets: int):
+    names = ("total", "n1", "n2", "n3")
 
-def _reduce_words(path: str):
     def run(table: pa.Table) -> pa.Table:
-        """Of one range of words: writes how many different words come before each."""
+        """Of one bucket of n-grams of k words: writes them and their contexts, passes on the n-grams without their first word, what is
+        known of hot contexts, and counts of counts.  What comes in of hot contexts of the order above is added up and written."""
         bucket = table.column("bucket")[0].as_py()
-        rows, words, counts = [], [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)]
+        rows, parts, above = [], [], []
         for kind, payload in zip(table.column("kind").to_pylist(), table.column("payload").to_pylist()):
-            if kind:
+            if kind >= 10:
                 rows.append((bucket, kind, payload))
             else:
-                w, n = pickle.loads(payload)
-                words.append(_unpack(w))
-                counts.append(n.astype(np.int64))
-        word, count = np.concatenate(words), np.concatenate(counts)
-        order = np.argsort(word, kind="stable")
-        (word,), count = _sum_runs([word[order]], count[order])
-        if len(word):
-            _save(os.path.join(path, f"word-{bucket:05d}"), word=word, count=_small(count))
-        rows.append((bucket, 1, _tell(count).tobytes()))
+                (above if kind else parts).append(pickle.loads(payload))
+        if above:
+            (h,), values = sum_equal([np.concatenate([unpack_sorted(p[0]) for p in above])], [np.concatenate([unpack(p[1][k]) for p in above]).astype(np.int64) for k in range(4)])
+            save_table(os.path.join(path, f"hot{k + 1}-{bucket:05d}"), h, **dict(zip(names, values)))
+        if not parts:
+            return pa.Table.from_batches([_blobs(rows)])
+        columns = [np.concatenate([unpack_sorted(p[0]) for p in parts]).astype(np.int64)]
+        columns += [np.concatenate([unpack(p[1][c]) for p in parts]).astype(np.int64) for c in range(k - 1)]
+        counts = np.concatenate([unpack(p[2]) for p in parts]).astype(np.int64)
+        del parts
+        columns, (counts,) = sum_equal(columns, [counts])
+        context, gram, hot, _ = gram_buckets(columns, limit, n_buckets)
+        save_table(os.path.join(path, f"gram{k}-{bucket:05d}"), gram, count=counts)
+        rows.append((bucket, 10 + k, _tell(counts).tobytes()))
+        if k > 1:
+            h, values = _by_context(context[~hot], counts[~hot])
+            save_table(os.path.join(path, f"context{k}-{bucket:05d}"), h, **dict(zip(names, values)))
+            h, values = _by_context(context[hot], counts[hot])
+            rows += [(b, 1, pickle.dumps((pack_sorted(h[at]), [pack(v[at]) for v in values]), 5)) for b, at in _split(bucket_of(h, n_buckets), n_buckets)]
+            lower, (n,) = sum_equal(columns[1:], [np.ones(len(counts), np.int64)])
+            rows += _gram_rows(lower, n, gram_buckets(lower, limit, n_buckets)[3], n_buckets)
         return pa.Table.from_batches([_blobs(rows)])
 
     return run
@@ -275,89 +369,124 @@ def discounts(tell: np.ndarray) -> np.ndarray:
     return np.clip(d, [0, 0.01, 0.01, 0.01], [0, 1, 2, 3])
 
 
-_maps: dict[str, np.ndarray | None] = {}
-
-
-def _map(path: str) -> np.ndarray | None:
-    """A file of the model, mapped into memory once per worker."""
-    if path not in _maps:
-        _maps[path] = np.load(path, mmap_mode="r") if os.path.exists(path) else None
-    return _maps[path]
+def _changes(counts: np.ndarray, own: np.ndarray) -> np.ndarray:
+    """What taking off `own` takes from the total and from the numbers of n-grams with counts of 1, 2 and 3 or more."""
+    before, after = np.minimum(counts, 3), np.minimum(counts - own, 3)
+    return np.stack([own, *((before == i).astype(np.int64) - (after == i) for i in (1, 2, 3))])
 
 
 @dataclass
 class KneserNey:
-    """The model in `path`: counts of counts of the n-grams of each order, words first."""
+    """The model in the vocabulary's path: counts of counts of the n-grams of each order, words first."""
 
-    path: str
-    n_buckets: int
+    vocabulary: Vocabulary
     order: int = ORDER
     told: list[np.ndarray] = field(default_factory=list)
 
     def __post_init__(self) -> None:
         self.told = self.told or [np.zeros(7, np.int64) for _ in range(self.order)]
 
-    def _find(self, kind: str, key_name: str, keys: np.ndarray, buckets: np.ndarray, names: tuple[str, ...]) -> list[np.ndarray]:
-        """Values of sorted keys, 0 where the model has none."""
-        out = [np.zeros(len(keys)) for _ in names]
-        cut = np.searchsorted(buckets, np.arange(self.n_buckets + 1))
-        for b in np.flatnonzero(np.diff(cut)):
-            base = os.path.join(self.path, f"{kind}-{b:05d}")
-            stored = _map(f"{base}.{key_name}.npy")
-            if stored is None or not len(stored):
-                continue
-            k = keys[cut[b] : cut[b + 1]]
-            at = np.minimum(np.searchsorted(stored, k), len(stored) - 1)
-            hit = stored[at] == k
-            for x, name in zip(out, names):
-                x[cut[b] : cut[b + 1]][hit] = _map(f"{base}.{name}.npy")[at[hit]]
+    def _find(self, kind: str, h: np.ndarray, bucket: np.ndarray, names: tuple[str, ...]) -> list[np.ndarray]:
+        out = [np.zeros(len(h), np.int64) for _ in names]
+        for b, at in _split(bucket, self.vocabulary.n_buckets):
+            for x, v in zip(out, look_up(os.path.join(self.vocabulary.path, f"{kind}-{b:05d}"), h[at], names)):
+                x[at] = v
         return out
 
-    def log_probs(self, first: np.ndarray, second: np.ndarray, longer: list[np.ndarray] | None = None) -> np.ndarray:
-        """Natural logarithms of p(second | first) at order 2, or at the order of the last of the `longer` contexts."""
-        word, of_word = np.unique(second, return_inverse=True)
-        (before,) = self._find("word", "word", word, bucket_of(word, self.n_buckets), ("count",))
-        e, tell = discounts(self.told[0]), self.told[0]
-        n = max(float(tell[6]), 1.0)
-        unknown = (e[1] * tell[0] + e[2] * tell[1] + e[3] * tell[4]) / n if tell[6] else 1.0
-        p = ((before - e[np.minimum(before, 3).astype(int)]) / n + unknown / (tell[5] + 1))[of_word]
-        for k, c in enumerate([first, *(longer or [])], 2):
-            context, of_context = np.unique(c, return_inverse=True)
-            total, n1, n2, n3 = self._find(f"gram{k}", "context", context, bucket_of(context, self.n_buckets), ("total", "n1", "n2", "n3"))
-            key, inverse = np.unique(bigram_key(c, second, self.n_buckets), return_inverse=True)
-            (count,) = self._find(f"gram{k}", "key", key, key >> _48, ("count",))
-            count = count[inverse]
-            d = discounts(self.told[k - 1])
-            rest = np.where(total > 0, (d[1] * n1 + d[2] * n2 + d[3] * n3) / np.maximum(total, 1), 1.0)
-            p = (count - d[np.minimum(count, 3).astype(int)]) / np.maximum(total, 1)[of_context] + rest[of_context] * p
-        return np.log(p)
-
-
-def fit(docs: DataFrame, text_col: str = "text", order: int = ORDER) -> KneserNey:
+    def probabilities(self, columns: list[np.ndarray], doc: np.ndarray | None = None) -> np.ndarray:
+        """Of the last word of each n-gram after the others.  doc: the document of each n-gram, whose own counts are taken off; all
+        n-grams of a document must be there."""
+        n, n_buckets, limit = len(columns[-1]), self.vocabulary.n_buckets, self.vocabulary.hot_limit
+        mark = np.zeros(n, np.uint64) if doc is None else mix64(doc.astype(np.uint64) + _GOLDEN)
+        levels: list[tuple[np.ndarray, ...]] = []
+        lost: tuple[np.ndarray, np.ndarray] | None = None  # marked hashes of n-grams and what is taken off them
+        for k in range(self.order, 0, -1):
+            context, gram, hot, bucket = gram_buckets(columns[self.order - k :], limit, n_buckets)
+            kind, first, of_kind, times = np.unique(gram ^ mark, return_index=True, return_inverse=True, return_counts=True)
+            (count,) = self._find(f"gram{k}", gram[first], bucket[first], ("count",))
+            own = np.zeros(len(kind), np.int64)
+            if doc is not None:
+                if k == self.order:
+                    own = times
+                elif lost is not None and len(lost[0]):
+                    own[np.searchsorted(kind, lost[0])] = lost[1]
+                own = np.minimum(own, count)  # of an n-gram that shares its slot
+                gone = np.flatnonzero((own > 0) & (own == count))
+                if k > 1:
+                    below = hashes([c[first[gone]] for c in columns[self.order - k + 1 :]])[1] ^ mark[first[gone]]
+                    lost = np.unique(below, return_counts=True)
+            if k > 1:
+                at, head, of_context = np.unique(context ^ mark, return_index=True, return_inverse=True)
+                stats = np.stack([np.zeros(len(at), np.int64)] * 4)
+                for name, here in ((f"context{k}", ~hot[head]), (f"hot{k}", hot[head])):
+                    if here.any():
+                        stats[:, here] = self._find(name, context[head[here]], bucket_of(context[head[here]], n_buckets), ("total", "n1", "n2", "n3"))
+                if doc is not None:
+                    to = of_context.ravel()[first]
+                    for row, change in zip(stats, _changes(count, own)):
+                        row -= np.bincount(to, change, len(at)).astype(np.int64)
+                    stats = np.maximum(stats, 0)
+                levels.append(((count - own)[of_kind.ravel()], stats[:, of_context.ravel()]))
+            else:
+                tell = self.told[0]
+                stats = np.stack([np.full(n, tell[j]) for j in (6, 0, 1, 4)])
+                if doc is not None:
+                    of_doc = doc[first]
+                    for row, change in zip(stats, _changes(count, own)):
+                        row -= np.bincount(of_doc, change, int(doc.max(initial=0)) + 1).astype(np.int64)[doc]
+                levels.append(((count - own)[of_kind.ravel()], stats))
+        p = np.full(n, 1.0 / (self.told[0][5] + 1))
+        for k, (count, (total, n1, n2, n3)) in enumerate(levels[::-1]):
+            d = discounts(self.told[k])
+            whole = np.maximum(total, 1)
+            rest = np.where(total > 0, (d[1] * n1 + d[2] * n2 + d[3] * n3) / whole, 1.0)
+            p = np.where(total > 0, (count - d[np.minimum(count, 3)]) / whole, 0) + rest * p
+        return p
+
+
+def fit(docs: DataFrame, text_col: str = "text", order: int = ORDER, hot: int = HOT) -> KneserNey:
     """Counts the model over all documents and writes it to the shared folder."""
     if order < 2:
         raise ValueError("the order must be 2 or more")
     spark = docs.sparkSession
     ship(spark)
-    n_buckets = min(3 * int(spark.conf.get("spark.sql.shuffle.partitions")), 1 << 16)
-    model = KneserNey(shared_path(spark, "kneser-ney"), n_buckets, order)
-    rows = docs.select(F.col(text_col).alias("text")).mapInArrow(_count(order, n_buckets), _DDL)
-    for k in range(order, 1, -1):
-        rows = rows.groupBy("bucket").applyInArrow(_reduce(model.path, k, n_buckets), _DDL)
-    told = rows.groupBy("bucket").applyInArrow(_reduce_words(model.path), _DDL)
-    for row in told.select("kind", "payload").collect():  # a short row for each bucket and order
-        model.told[row["kind"] - 1] += np.frombuffer(row["payload"], np.int64)
+    texts = docs.select(F.col(text_col).alias("text"))
+    n_buckets = bucket_count(texts, 1.2)
+    path = shared_path(spark, "kneser-ney")
+    counted = texts.mapInArrow(_count_words(n_buckets), _DDL).groupBy("bucket").applyInArrow(_number_words(path), _DDL)
+    sizes = np.zeros((64, n_buckets), np.int64)
+    for row in counted.select("bucket", "payload").collect():  # a short row for each bucket
+        sizes[:, row["bucket"]] = np.frombuffer(row["payload"], np.int64)
+    falling = sizes[::-1].ravel()
+    base = (WORDS + np.cumsum(falling) - falling).reshape(64, n_buckets)[::-1]
+    vocabulary = Vocabulary(path, n_buckets, base, WORDS + int(sizes[hot:].sum()))
+    shared = spark.sparkContext.broadcast(vocabulary)  # 512 bytes for each bucket
+    model = KneserNey(vocabulary, order)
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        return _count(order, shared.value)(batches)
+
+    rows = texts.mapInArrow(count, _DDL)
+    for k in range(order, 0, -1):
+        rows = rows.groupBy("bucket").applyInArrow(_reduce(path, k, vocabulary.hot_limit, n_buckets), _DDL)
+    for row in rows.select("kind", "payload").collect():  # a short row for each bucket and order
+        model.told[row["kind"] - 11] += np.frombuffer(row["payload"], np.int64)
     return model
 
 
-def score(docs: DataFrame, model: KneserNey, text_col: str = "text", id_col: str = "doc_id") -> DataFrame:
-    """A row for each document: doc_id, n_tokens (with the end mark), log_prob and perplexity."""
+def score(docs: DataFrame, model: KneserNey, text_col: str = "text", id_col: str = "doc_id", leave_out: bool = True) -> DataFrame:
+    """A row for each document: doc_id, n_tokens (with the end mark), log_prob and perplexity.
+
+    leave_out: the documents are those that the model was fitted on, and their own counts are taken off."""
+    shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        m = shared.value
         for batch in batches:
-            for low, last, first, second, doc in groups(batch, 1):
+            for low, last, words, docs_ in groups(batch, 1):
+                columns, doc = sequences(m.vocabulary.ids(words), docs_, m.order)
                 n = np.bincount(doc, minlength=last - low)
-                logs = model.log_probs(first, second, contexts(first, doc, model.order)[1:]) if len(doc) else None
+                logs = np.log(m.probabilities(columns, doc if leave_out else None)) if len(doc) else None
                 total = np.bincount(doc, logs, last - low).astype(float)
                 perplexity = pa.array(np.exp(-total / np.maximum(n, 1)), mask=n == 0)
                 yield pa.RecordBatch.from_arrays(
@@ -369,11 +498,11 @@ def score(docs: DataFrame, model: KneserNey, text_col: str = "text", id_col: str
 
 
 def score_perplexity(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id", order: int = ORDER) -> DataFrame:
-    """Fits the model on the documents and scores the same documents."""
+    """Fits the model on the documents and scores each of them by all others."""
     return score(docs, fit(docs, text_col, order), text_col, id_col)
 
 
-def brute_force(texts: list[list[str]], scored: list[list[str]] | None = None, order: int = ORDER) -> list[float]:
+def brute_force(texts: list[list[str]], order: int = ORDER, leave_out: bool = True) -> list[float]:
     """Log probabilities of word lists under the same model, from plain dictionaries, for tests."""
     from collections import Counter
 
@@ -381,26 +510,34 @@ def brute_force(texts: list[list[str]], scored: list[list[str]] | None = None, o
         padded = ["<s>"] * (order - 1) + words + ["</s>"]
         return [tuple(padded[k : k + order]) for k in range(len(words) + 1)] if words else []
 
-    counts: list[Counter] = [Counter() for _ in range(order)]
-    for words in texts:
-        counts[-1].update(grams(words))
-    for k in range(order - 1, 0, -1):
-        counts[k - 1].update(g[1:] for g in counts[k])
-    total: list[Counter] = [Counter() for _ in range(order)]
-    kinds: list[dict[tuple[str, ...], Counter]] = [{} for _ in range(order)]
-    for k in range(order):
-        for g, c in counts[k].items():
-            total[k][g[:-1]] += c
-            kinds[k].setdefault(g[:-1], Counter())[min(c, 3)] += 1
-    d = [discounts(_tell(np.array(list(c.values()), np.int64))) for c in counts]
-
-    def probability(g: tuple[str, ...]) -> float:
-        k = len(g) - 1
-        below = probability(g[1:]) if k else 1 / (len(counts[0]) + 1)
-        t = total[k][g[:-1]]
-        if not t:
-            return below
-        c, seen = counts[k][g], kinds[k][g[:-1]]
-        return max(c - d[k][min(c, 3)], 0) / t + sum(d[k][i] * seen[i] for i in (1, 2, 3)) / t * below
-
-    return [float(sum(np.log(probability(g)) for g in grams(words))) for words in (texts if scored is None else scored)]
+    def count(lists: list[list[str]]) -> list[Counter]:
+        counts: list[Counter] = [Counter() for _ in range(order)]
+        for words in lists:
+            counts[-1].update(grams(words))
+        for k in range(order - 1, 0, -1):
+            counts[k - 1].update(g[1:] for g in counts[k])
+        return counts
+
+    whole = count(texts)
+    d = [discounts(_tell(np.array(list(c.values()), np.int64))) for c in whole]
+
+    def log_prob(words: list[str], counts: list[Counter]) -> float:
+        total: list[Counter] = [Counter() for _ in range(order)]
+        kinds: list[dict[tuple[str, ...], Counter]] = [{} for _ in range(order)]
+        for k in range(order):
+            for g, c in counts[k].items():
+                total[k][g[:-1]] += c
+                kinds[k].setdefault(g[:-1], Counter())[min(c, 3)] += 1
+
+        def probability(g: tuple[str, ...]) -> float:
+            k = len(g) - 1
+            below = probability(g[1:]) if k else 1 / (len(whole[0]) + 1)
+            t = total[k][g[:-1]]
+            if not t:
+                return below
+            c, seen = counts[k][g], kinds[k][g[:-1]]
+            return max(c - d[k][min(c, 3)], 0) / t + sum(d[k][i] * seen[i] for i in (1, 2, 3)) / t * below
+
+        return float(sum(np.log(probability(g)) for g in grams(words)))
+
+    return [log_prob(words, count(texts[:k] + texts[k + 1 :]) if leave_out else whole) for k, words in enumerate(texts)]

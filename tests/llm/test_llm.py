@@ -262,9 +262,10 @@ def test_components(spark, driver_edges):
     edges = [(rng.randint(0, 60), rng.randint(0, 60)) for _ in range(35)] + [(k, k + 1) for k in range(100, 120)] + [(7, 7)]
     a, b = np.array([e for e in edges if e[0] != e[1]]).T
     root = ngram_join.find_roots(200, a, b)
-    got = ngram_join.components(spark.createDataFrame(edges, "u bigint, v bigint"), driver_edges).collect()
-    assert {tuple(r) for r in got} == {(int(k), int(root[k])) for k in {*a, *b}} and len(got) == len({*a, *b})
-    assert ngram_join.components(spark.createDataFrame([], "u bigint, v bigint"), driver_edges).count() == 0
+    found, n = ngram_join.components(spark.createDataFrame(edges, "u bigint, v bigint"), driver_edges)
+    got = found.collect()
+    assert {tuple(r) for r in got} == {(int(k), int(root[k])) for k in {*a, *b}} and len(got) == n == len({*a, *b})
+    assert ngram_join.components(spark.createDataFrame([], "u bigint, v bigint"), driver_edges)[1] == 0
 
 
 def test_prefix_tree():
@@ -578,21 +579,26 @@ def test_perplexity_against_brute_force(docs, rows):
             assert n == 0 or x == pytest.approx(np.exp(-q / n))
 
 
-def test_probabilities_sum_to_one(spark):
+@pytest.mark.parametrize("order", [2, 3])
+def test_probabilities_sum_to_one(spark, order):
     text = "a b a c a b b d a a b c d e a b"
-    model = kneser_ney.fit(spark.createDataFrame([(1, text), (2, "b a c"), (3, "e e b")], "doc_id bigint, text string"))
-    vocabulary = np.array([*"abcde"])
-    h = [next(kneser_ney.groups(pa.record_batch([pa.array([w])], ["t"]), 0))[3][0] for w in vocabulary]
-    for first in [*h, kneser_ney.BEGIN, np.uint64(12345)]:
-        second = np.array([*h, kneser_ney.END, np.uint64(999_999)], np.uint64)
-        assert np.exp(model.log_probs(np.full(len(second), first, np.uint64), second)).sum() == pytest.approx(1.0, abs=1e-9)
+    model = kneser_ney.fit(spark.createDataFrame([(1, text), (2, "b a c"), (3, "e e b")], "doc_id bigint, text string"), order=order)
+    batch = pa.record_batch([pa.array([*"abcde"])], ["t"])
+    ids = model.vocabulary.ids(np.concatenate([g[2] for g in kneser_ney.groups(batch, 0)]))
+    assert sorted(ids) == [*range(3, 8)]
+    second = np.array([*ids, kneser_ney.END, kneser_ney.UNKNOWN])
+    for first in [*ids, kneser_ney.BEGIN, kneser_ney.UNKNOWN]:
+        columns = [np.full(len(second), x) for x in (ids[0], first)[2 - order + 1 :]] if order == 3 else [np.full(len(second), first)]
+        assert model.probabilities([*columns, second]).sum() == pytest.approx(1.0, abs=1e-9)
 
 
-@pytest.mark.parametrize("order", [2, 3, 4])
-def test_perplexity_of_each_order(spark, docs, rows, order):
-    lists = [words_of(r[1]) for r in rows]
-    got = sorted(r["log_prob"] for r in kneser_ney.score_perplexity(docs.repartition(5), order=order).collect())
-    assert got == pytest.approx(sorted(kneser_ney.brute_force(lists, order=order)), rel=1e-9)
+@pytest.mark.parametrize("order, hot", [(2, 20), (3, 3), (4, 2)])
+@pytest.mark.parametrize("leave_out", [True, False])
+def test_perplexity_of_each_order(spark, docs, rows, order, hot, leave_out):
+    lists = [words_of(r[1]) for r in rows if r[0] != 103]
+    docs = docs.filter("doc_id is null or doc_id <> 103").repartition(5)
+    got = sorted(r["log_prob"] for r in kneser_ney.score(docs, kneser_ney.fit(docs, order=order, hot=hot), leave_out=leave_out).collect())
+    assert got == pytest.approx(sorted(kneser_ney.brute_force(lists, order, leave_out)), rel=1e-9)
 
 
 def test_perplexity_sees_more_than_pairs(spark):
@@ -602,6 +608,16 @@ def test_perplexity_sees_more_than_pairs(spark):
     assert got[12] > 1.3 * max(got[0], got[6])
 
 
+def test_tables_of_hashes(tmp_path):
+    rng = np.random.default_rng(3)
+    h = np.unique(rng.integers(0, 1 << 63, 20_000, dtype=np.uint64))
+    count = rng.choice([1, 2, 254, 255, 256, 10**12], len(h))
+    kneser_ney.save_table(f"{tmp_path}/t", h, count=count)
+    assert (kneser_ney.look_up(f"{tmp_path}/t", h, ("count",))[0] == count).all()
+    assert (kneser_ney.look_up(f"{tmp_path}/t", rng.integers(0, 1 << 63, 2000, dtype=np.uint64), ("count",))[0] == 0).sum() >= 1999
+    assert (kneser_ney.look_up(f"{tmp_path}/none", h, ("count",))[0] == 0).all()
+
+
 # the pipeline
 
 
