@@ -49,7 +49,7 @@ COMMON = 16
 #: Documents from which an n-gram is matched in blocks of about so many classes.
 HOT = 1 << 17
 #: Classes and bytes of a component (or block of one) that one task joins.
-COMPONENT = 1 << 13, 64 << 20
+COMPONENT = 1 << 12, 64 << 20
 #: Losers of a deduplication that are broadcast rather than joined by a shuffle (8 bytes each).
 BROADCAST_ROWS = 4_000_000
 #: Edges of a graph whose components the driver finds (16 bytes each).
@@ -97,7 +97,7 @@ def document_grams(texts: pa.Array, n: int) -> Iterator[tuple[int, int, np.ndarr
 _OCCURRENCES = pa.schema([("bucket", pa.int32()), ("uid", pa.int64()), ("kind", pa.int32()), ("payload", pa.binary())])
 _SHARED = pa.schema([("uid", pa.int64()), ("kind", pa.int32()), ("payload", pa.binary())])
 _SETS = pa.schema(
-    [("doc_id", pa.int64()), ("sig1", pa.int64()), ("sig2", pa.int64()), ("size", pa.int32()), ("first", pa.int32()), ("heavy", pa.binary()), ("tokens", pa.binary())]
+    [("doc_id", pa.int64()), ("rep", pa.int64()), ("sig1", pa.int64()), ("sig2", pa.int64()), ("size", pa.int32()), ("first", pa.int32()), ("heavy", pa.binary()), ("tokens", pa.binary())]
 )
 _POSTINGS = pa.schema([("task", pa.int64()), ("payload", pa.binary())])
 _EDGES = pa.schema([("u", pa.int64()), ("v", pa.int64())])
@@ -235,7 +235,8 @@ def _sets(t: float, hot: int):
     def run(table: pa.Table) -> pa.Table:
         """Of one block: the documents with candidate n-grams, their shared n-grams in the global order (of equal sets once).
 
-        first: how many of them are in the prefix; heavy: the frequencies of those in the prefix that are above `hot`."""
+        rep: a number for the set; first: how many of the n-grams are in the prefix; heavy: the frequencies of those in the prefix that
+        are above `hot`."""
         keys, dfs = [np.zeros(0, np.uint64)], [np.zeros(0, np.uint64)]
         grams, counts = [np.zeros(0, np.uint64)], [np.zeros(0, np.uint64)]
         ids = sizes = sig1 = sig2 = np.zeros(0, np.int64)
@@ -262,9 +263,11 @@ def _sets(t: float, hot: int):
         wanted = (first > 0) & (shared > 0)
         rows = np.flatnonzero(wanted)
         sets = np.stack([sig1[rows].view(np.int64), sig2[rows].view(np.int64), sizes[rows].astype(np.int64)], axis=1)
-        holds = np.zeros(len(ids), bool)  # the first of equal sets has the n-grams
+        holds, rep = np.zeros(len(ids), bool), np.zeros(len(rows), np.int64)  # the first of equal sets has the n-grams
         if len(rows):
-            holds[rows[np.unique(sets, axis=0, return_index=True)[1]]] = True
+            _, holder, of_set = np.unique(sets, axis=0, return_index=True, return_inverse=True)
+            holds[rows[holder]] = True
+            rep = (table.column("uid")[0].as_py() << 16) + rows[holder][of_set.ravel()]
         keep = holds[doc]
         doc, key, df = doc[keep], key[keep] >> _16, df[keep]
         order = np.lexsort((key, df, doc))
@@ -279,7 +282,7 @@ def _sets(t: float, hot: int):
             last = df[a : a + min(first[row], z - a)]
             if len(last) and last[-1] > hot:
                 heavy[place] = pack(last[last > hot])
-        columns = [ids[rows], sets[:, 0], sets[:, 1], sets[:, 2], first[rows], heavy, tokens]
+        columns = [ids[rows], rep, sets[:, 0], sets[:, 1], sets[:, 2], first[rows], heavy, tokens]
         return pa.Table.from_batches([_batch(_SETS, columns)])
 
     return run
@@ -400,8 +403,13 @@ def find_roots(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
         root = new
 
 
-def components(edges: DataFrame, driver_edges: int = DRIVER_EDGES) -> DataFrame:
-    """(node, component) of an undirected graph of bigint vertices u, v; a component is named by its least vertex.
+def _small(df: DataFrame, rows: int) -> DataFrame:
+    """Marked for a broadcast if it has few rows."""
+    return F.broadcast(df) if rows <= BROADCAST_ROWS else df
+
+
+def components(edges: DataFrame, driver_edges: int = DRIVER_EDGES) -> tuple[DataFrame, int]:
+    """(node, component) of an undirected graph of bigint vertices u, v, and the number of nodes; a component is named by its least vertex.
 
     A graph of at most `driver_edges` edges is solved by the driver.  Larger ones alternate large-star and small-star steps, which
     takes a few rounds whatever the diameter."""
@@ -412,7 +420,7 @@ def components(edges: DataFrame, driver_edges: int = DRIVER_EDGES) -> DataFrame:
         nodes, at = np.unique(np.concatenate([u, v]), return_inverse=True)
         root = find_roots(len(nodes), *np.split(at.ravel(), 2))
         solved = pa.table({"node": pa.array(nodes, pa.int64()), "component": pa.array(nodes[root], pa.int64())})
-        return edges.sparkSession.createDataFrame(solved)
+        return edges.sparkSession.createDataFrame(solved), len(nodes)
     w = Window.partitionBy("u")
     last = None
     while True:
@@ -424,9 +432,8 @@ def components(edges: DataFrame, driver_edges: int = DRIVER_EDGES) -> DataFrame:
         )
         state = edges.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         if state == last:
-            return edges.select(F.col("v").alias("node"), F.col("u").alias("component")).unionByName(
-                edges.select(F.col("u").alias("node"), F.col("u").alias("component")).distinct()
-            )
+            nodes = edges.select(F.col("v").alias("node"), F.col("u").alias("component")).unionByName(edges.select(F.col("u").alias("node"), F.col("u").alias("component")).distinct())
+            return nodes, nodes.count()
         last = state
 
 
@@ -598,8 +605,8 @@ def _block_rows(placed: DataFrame, t: float, component: tuple[int, int]) -> Data
 
 
 class Classes:
-    """The classes of a table's documents: members (doc_id, sig1, sig2, size), classes (rep, sig1, sig2, size, least, n_ids, first,
-    heavy, tokens), and which component of candidates each is in."""
+    """The classes of a table's documents: members (doc_id, sig1, sig2, size), classes (rep, sig1, sig2, size, least, n_ids), holders
+    (rep, size, first, heavy, tokens), and which component of candidates each is in."""
 
     def __init__(self, docs: DataFrame, n: int, t: float, text_col: str, id_col: str, common: int = COMMON, hot: int = HOT, component: tuple[int, int] = COMPONENT):
         if not 0 < t <= 1:
@@ -611,18 +618,24 @@ class Classes:
         occurrences = narrow.mapInArrow(_scan(n, n_buckets, common), _ddl(_OCCURRENCES))
         shared = occurrences.groupBy("bucket").applyInArrow(_shared, _ddl(_SHARED))
         sets = checkpoint(shared.groupBy("uid").applyInArrow(_sets(t, hot), _ddl(_SETS)))
-        self.members = sets.select("doc_id", *_SIGNS).distinct()
-        counted = self.members.groupBy(*_SIGNS).agg(F.min("doc_id").alias("least"), F.count(F.lit(1)).alias("n_ids"))
-        held = sets.filter("tokens is not null").groupBy(*_SIGNS).agg(*(F.first(c).alias(c) for c in ("first", "heavy", "tokens")))
-        self.classes = checkpoint(counted.join(held, _SIGNS).withColumn("rep", F.monotonically_increasing_id()))
-        postings = self.classes.select("rep", "size", "first", "heavy", "tokens").mapInArrow(_postings(n_buckets, t, hot), _ddl(_POSTINGS))
-        self.component_of = components(postings.groupBy("task").applyInArrow(_candidates(t), _ddl(_EDGES)))
+        self.members = sets.groupBy("doc_id", *_SIGNS).agg(F.min("rep").alias("rep"))
+        self.classes = checkpoint(self.members.groupBy(*_SIGNS).agg(F.min("rep").alias("rep"), F.min("doc_id").alias("least"), F.count(F.lit(1)).alias("n_ids")))
+        self.holders = sets.filter("tokens is not null").select("rep", "size", "first", "heavy", "tokens")
+        # sets that several blocks hold count once
+        held = sets.filter("tokens is not null").select(*_SIGNS, F.col("rep").alias("other"))
+        again = checkpoint(held.join(self.classes, _SIGNS).filter("other <> rep").select(F.col("other").alias("rep")))
+        self.holders = self.holders.join(_small(again, again.count()), "rep", "left_anti")
+        postings = self.holders.mapInArrow(_postings(n_buckets, t, hot), _ddl(_POSTINGS))
+        self.component_of, self.n_nodes = components(postings.groupBy("task").applyInArrow(_candidates(t), _ddl(_EDGES)))
 
     def tasks(self) -> tuple[DataFrame, DataFrame | None]:
         """The rows of small components, and those of large ones by pairs of blocks if there are any."""
-        placed = self.classes.join(self.component_of, F.col("rep") == F.col("node")).select("component", "rep", "size", "tokens", "n_ids")
+        node = _small(self.component_of.withColumnRenamed("node", "rep"), self.n_nodes)
+        known = _small(self.classes.join(node, "rep").select("rep", "n_ids", "component"), self.n_nodes)
+        placed = self.holders.join(known, "rep").select("component", "rep", "size", "tokens", "n_ids")
         count, volume = self.component
-        large = checkpoint(placed.groupBy("component").agg(F.count(F.lit(1)).alias("n"), F.sum(F.length("tokens")).alias("b")).filter((F.col("n") > count) | (F.col("b") > volume)).select("component"))
+        sizes = self.holders.select("rep", F.length("tokens").alias("b")).join(node, "rep").groupBy("component").agg(F.count(F.lit(1)).alias("n"), F.sum("b").alias("b"))
+        large = checkpoint(sizes.filter((F.col("n") > count) | (F.col("b") > volume)).select("component"))
         if large.isEmpty():
             return placed.withColumn("side", F.lit(0)), None
         small = placed.join(large, "component", "left_anti").withColumn("side", F.lit(0))
@@ -642,7 +655,7 @@ class Classes:
         links = small.groupBy("component").applyInArrow(_link(self.t), _ddl(_LINKS))
         if large is not None:
             parts = checkpoint(large.groupBy("component", "low_band", "same", "i", "j").applyInArrow(_link(self.t), _ddl(_LINKS)))
-            top = components(parts.select(F.col("rep").alias("u"), F.col("top").alias("v")))
+            top, _ = components(parts.select(F.col("rep").alias("u"), F.col("top").alias("v")))
             summed = parts.groupBy("rep").agg(F.sum("links").alias("links"))
             links = links.unionByName(summed.join(top, F.col("rep") == F.col("node")).select("rep", "links", F.col("component").alias("top")))
         known = self.classes.select("rep", *_SIGNS, "least", "n_ids").join(links, "rep", "left").filter("links is not null or n_ids > 1")
@@ -650,7 +663,7 @@ class Classes:
             known.select(*_SIGNS, "least", F.coalesce("top", "rep").alias("top"), (F.coalesce("links", F.lit(0)) + F.col("n_ids") - 1).alias("n_links"))
         )
         group = known.groupBy("top").agg(F.min("least").alias("class_id"))
-        return self.members.join(known.join(group, "top").drop("top", "least"), _SIGNS)
+        return self.members.drop("rep").join(known.join(group, "top").drop("top", "least"), _SIGNS)
 
 
 def ngram_jaccard_join(
@@ -666,7 +679,7 @@ def similar_pairs(
 ) -> tuple[DataFrame, DataFrame]:
     """Pairs (a, b, jaccard) of classes of equal sets, and membership (doc_id, rep).  limits: those of `Classes`."""
     c = Classes(docs, n, threshold, text_col, id_col, **limits)
-    return c.pairs(), c.members.join(c.classes.select("rep", *_SIGNS), _SIGNS).select("doc_id", "rep")
+    return c.pairs(), c.members.drop("rep").join(c.classes.select("rep", *_SIGNS), _SIGNS).select("doc_id", "rep")
 
 
 def drop_near_duplicates(
