@@ -4,9 +4,11 @@ A rule has keywords, a regular expression that is tried only at fixed places aro
 for what the format itself can prove: CRC-32 of access tokens, the mod-97 sum of account numbers, the decoded header of
 web tokens, the entropy of free-form values.  A candidate that its validator refuses is no secret.
 
-Assigned values have any length from 12 characters.  Those without quotes end at a blank, a quote or an angle bracket; names, calls
-and plain addresses in their place are no secrets.  A private key goes to its END line or, where it is cut off before the
-next BEGIN, over the header and base64 lines that follow.
+Assigned values have any length from 8 characters, and letters alone are none.  Quoted ones may hold blanks and end with their line
+at the latest; those without quotes end at a blank, a quote, an angle bracket or the next assignment; names, calls
+and plain addresses in their place are no secrets.  What redaction writes, the name of a rule in angle brackets, is none either.  A
+private key goes to its END line or, where it is cut off before the next BEGIN, over the header and base64 lines that follow.  No
+expression looks back from a keyword or reads on past the next one, so texts full of keywords take time in proportion to their length.
 
 Defined cases: null and empty texts have no findings; null ids are carried along; texts are scanned whole; of
 findings that overlap the one that starts first (then the longest, then one of a format of its own) counts; rows that repeat are scanned each; an
@@ -70,8 +72,8 @@ def entropy(text: str) -> float:
 
 
 def _free_value(text: str) -> bool:
-    """Neither a word nor a placeholder in angle brackets, which is also what stands where a secret was redacted."""
-    return not re.fullmatch(r"<[^<>]*>", text) and entropy(text) >= 3.0 and not re.fullmatch(r"[A-Za-z]+", text)
+    """Neither words nor the mark of a redaction."""
+    return entropy(text) >= 3.0 and not re.fullmatch(r"[A-Za-z ]+", text) and text not in _MARKS
 
 
 def _unquoted_value(text: str) -> bool:
@@ -79,9 +81,12 @@ def _unquoted_value(text: str) -> bool:
     return _free_value(text) and not re.fullmatch(r"\$?[A-Za-z_]+(?:\.[A-Za-z_]+)*|\$\{?\w+|[A-Za-z_][\w.]*[(\[{].*|\w+://[^@?]*", text)
 
 
-#: The name and the sign of an assignment.
-_ASSIGNED = r"(?i:[a-z_\-]{0,24}(?:token|secret|password|passwd|pwd|api[_\-]?key|access_key|auth_key|private_key)[a-z_]{0,8})[\"']?\s{0,3}(?::=|=>|[:=])\s{0,3}"
+#: The name, from its keyword on, and the sign of an assignment.
 _ASSIGNED_WORDS = ("token", "secret", "passw", "pwd", "api_key", "apikey", "api-key", "access_key", "auth_key", "private_key")
+_NAME = r"(?i:token|secret|password|passwd|pwd|api[_\-]?key|access_key|auth_key|private_key)(?i:[a-z_]{0,8}+)"
+_ASSIGNED = _NAME + r"[\"']?\s{0,3}(?::=|=>|[:=])\s{0,3}"
+_QUOTED = r"(?:\"(?P<secret>[^\"\r\n]{8,})\"|'(?P<single>[^'\r\n]{8,})')"
+_BARE = rf"(?P<bare>[^\s\"'<>=:(\[{{](?:(?!{_NAME}[:=])[^\s\"'<>]){{6,}}(?<![.,;:!?)\]}}]))"
 _KEY_LINE = r"(?:[A-Z0-9]+ )*PRIVATE KEY(?: BLOCK)?-----"
 _KEY_HEADERS = r"(?:[ \t]*\r?\n[ \t]*[A-Za-z][A-Za-z0-9\-]*:[^\r\n]*)*+"
 _KEY_LINES = r"(?:(?:[ \t]*\r?\n)++[ \t]*[0-9A-Za-z+/=]+[ \t]*(?=\r?\n|\Z)|(?:\s|\\[rn])++[0-9A-Za-z+/=]{16,})*+"
@@ -89,13 +94,21 @@ _KEY_LINES = r"(?:(?:[ \t]*\r?\n)++[ \t]*[0-9A-Za-z+/=]+[ \t]*(?=\r?\n|\Z)|(?:\s
 
 @dataclass(frozen=True)
 class Rule:
-    """pattern is matched at `back` characters or fewer before a keyword's hit; group 'secret' is the finding."""
+    """pattern is matched where a keyword is hit; its last group is the finding, which `bare` tests if the group is so called."""
 
     name: str
     keywords: tuple[str, ...]
     pattern: str
     valid: Callable[[str], bool] | None = None
-    back: int = 0
+    bare: Callable[[str], bool] | None = None
+
+    def finding(self, text: str, match: re.Match | None) -> tuple[int, int, str] | None:
+        if match:
+            start, end = match.span(match.lastgroup)
+            test = self.bare if match.lastgroup == "bare" else self.valid
+            if test is None or test(text[start:end]):
+                return start, end, self.name
+        return None
 
 
 RULES = (
@@ -105,13 +118,13 @@ RULES = (
     Rule("slack_token", ("xoxa-", "xoxb-", "xoxp-", "xoxr-", "xoxs-"), r"(?P<secret>xox[abprs]-(?:[0-9]+-){1,4}[0-9A-Za-z]{16,})"),
     Rule("stripe_key", ("sk_live_", "rk_live_"), r"(?P<secret>[sr]k_live_[0-9A-Za-z]{16,})"),
     Rule("google_key", ("aiza",), r"(?P<secret>AIza[0-9A-Za-z_\-]{35})(?![0-9A-Za-z_\-])"),
-    Rule("web_token", ("eyj",), r"(?P<secret>eyJ[0-9A-Za-z_\-]{8,}\.[0-9A-Za-z_\-]{8,}\.[0-9A-Za-z_\-]{8,})", web_token_valid),
+    Rule("web_token", ("eyj",), r"(?<![0-9A-Za-z_\-])(?P<secret>eyJ[0-9A-Za-z_\-]{8,}+\.[0-9A-Za-z_\-]{8,}+\.[0-9A-Za-z_\-]{8,})", web_token_valid),
     Rule("private_key", ("-----begin",), rf"(?P<secret>-----BEGIN {_KEY_LINE}(?:(?s:(?:(?!-----BEGIN ).)*?)-----END {_KEY_LINE}|{_KEY_HEADERS}{_KEY_LINES}))"),
     Rule("iban", ("iban",), r"(?i:iban)[\s:=]{1,3}(?P<secret>[A-Z]{2}[0-9]{2}(?:[ \-]?[0-9A-Z]){11,30})(?![0-9A-Za-z])", iban_valid),
     Rule("payment_card", ("card", "visa", "mastercard"), r"(?i:card|visa)[A-Za-z ]{0,16}[\s:=#]{1,3}(?P<secret>[0-9](?:[ \-]?[0-9]){12,18})(?![0-9])", luhn_valid),
-    Rule("assigned_secret", _ASSIGNED_WORDS, _ASSIGNED + r"[\"'](?P<secret>[^\"'\s]{12,})[\"']", _free_value, 24),
-    Rule("assigned_secret", _ASSIGNED_WORDS, _ASSIGNED + r"(?P<secret>[^\s\"'<>=:(\[{][^\s\"'<>]{10,}[^\s\"'<>.,;:!?)\]}])", _unquoted_value, 24),
+    Rule("assigned_secret", _ASSIGNED_WORDS, _ASSIGNED + f"(?:{_QUOTED}|{_BARE})", _free_value, _unquoted_value),
 )
+_MARKS = frozenset(f"<{r.name}>" for r in RULES)
 
 Finding = tuple[int, int, str]
 
@@ -139,13 +152,8 @@ def build_scanner(rules: tuple[Rule, ...] = RULES) -> Callable[[str], list[Findi
         for end, (length, ks) in automaton.iter(fold_ascii(text)):
             at = end - length + 1
             for k in ks:
-                rule = rules[k]
-                for start in range(max(0, at - rule.back), at + 1):
-                    if m := compiled[k].match(text, start):
-                        s, e = m.span("secret")
-                        if rule.valid is None or rule.valid(text[s:e]):
-                            found.add((s, e, rule.name))
-                        break
+                if f := rules[k].finding(text, compiled[k].match(text, at)):
+                    found.add(f)
         return without_overlaps(found)
 
     return scan
@@ -165,10 +173,8 @@ def brute_force(text: str, rules: tuple[Rule, ...] = RULES) -> list[Finding]:
     for rule in rules:
         expression = re.compile(rule.pattern)
         for start in range(len(text)):
-            if m := expression.match(text, start):
-                s, e = m.span("secret")
-                if rule.valid is None or rule.valid(text[s:e]):
-                    found.add((s, e, rule.name))
+            if f := rule.finding(text, expression.match(text, start)):
+                found.add(f)
     return without_overlaps(found)
 
 
