@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 import os
 import tempfile
 import uuid
@@ -9,11 +10,15 @@ import zipfile
 from collections.abc import Callable, Sequence
 from pathlib import Path
 
+import numpy as np
+from pyspark.ml.feature import Bucketizer
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 #: Rows of a chunk in a two-level prefix sum; a chunk is what one task sorts.
 CHUNK_ROWS = 4096
+#: Chunks that the driver finds bounds for at most, and how many sampled keys it uses for each (8 bytes a key).
+CHUNKS, CHUNK_SAMPLE = 1 << 16, 16
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -97,13 +102,22 @@ def hash_unit(text: Column, modulus: int) -> Column:
 def chunked(df: DataFrame, key: str, chunk: str, rows: int = CHUNK_ROWS) -> DataFrame:
     """Adds an order-preserving chunk number of the integer key; null keys are in chunk -1, before all others.
 
-    The width of a chunk follows from the range and number of keys, so that chunks hold about so many rows if keys are
-    spread evenly; whatever their spread, only the balance depends on it, not the result."""
-    lo, hi, n = df.agg(F.min(key), F.max(key), F.count(F.lit(1))).first()
-    lo, hi = int(lo or 0), int(hi or 0)
-    width = max(1, (hi - lo + 1) * rows // max(n, 1))
-    number = F.floor((F.col(key).cast("decimal(20,0)") - F.lit(lo)) / F.lit(width)).cast("bigint")
-    return df.withColumn(chunk, F.coalesce(number, F.lit(-1).cast("bigint")))
+    The bounds are quantiles of sampled keys, so that chunks hold about so many rows (or a `CHUNKS`-th of all, if that is more)
+    however the keys are spread; only the balance depends on the sample, not the result."""
+    keys = df.select(F.col(key).cast("double").alias("k")).filter("k is not null")
+    n = keys.count()
+    n_chunks = min(CHUNKS, -(-n // rows))
+    cuts = np.zeros(0)
+    if n_chunks > 1:
+        share = min(1.0, CHUNK_SAMPLE * n_chunks / n)
+        sampled = np.sort((keys if share == 1 else keys.sample(share, 1)).toPandas()["k"].to_numpy())
+        cuts = np.unique(sampled[len(sampled) * np.arange(1, n_chunks) // n_chunks]) if len(sampled) else cuts
+    if not len(cuts):
+        return df.withColumn(chunk, F.when(F.col(key).isNull(), -1).otherwise(0).cast("bigint"))
+    double, number = f"{chunk}_d", f"{chunk}_n"
+    bucketizer = Bucketizer(splits=[-math.inf, *cuts.tolist(), math.inf], inputCol=double, outputCol=number)
+    found = bucketizer.transform(df.withColumn(double, F.coalesce(F.col(key).cast("double"), F.lit(0.0))))
+    return found.withColumn(chunk, F.when(F.col(key).isNull(), -1).otherwise(F.col(number)).cast("bigint")).drop(double, number)
 
 
 def prefix_sum(
