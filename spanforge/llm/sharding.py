@@ -2,10 +2,11 @@
 
 Records are drawn with a chance in proportion to their size, the quantiles of the drawn keys become the boundaries of
 ranges, and records go to the range of their key.  A range that turned out larger than `slack` times the target is
-cut into equal parts along the order of its records, so heavy or repeated keys do no harm.
+cut into equal parts along the order of its records, so heavy or repeated keys do no harm.  There are at most `RANGES` ranges; of
+larger inputs all of them are cut so.
 
 The key is the source and then the document id, so shards are runs of documents of one source where sources are large.
-Defined cases: null sources, ids and texts are allowed (null sources and ids sort first, null texts have size 0);
+Defined cases: null sources, ids and texts are allowed (null sources sort before empty ones, null ids first, null texts have size 0);
 rows of the same key follow the order of their texts; an empty table gives an empty table; all columns are kept
 and a column that has the name of the added one is replaced.
 """
@@ -25,13 +26,15 @@ from spanforge.llm.common import hash_unit, shielded, ship
 TARGET = 1 << 20
 OVERSAMPLE = 16
 SLACK = 1.25
+#: Ranges that the driver finds splitters for; it holds `OVERSAMPLE` keys for each.
+RANGES = 1 << 16
 _BIAS = 1 << 63
 
 
 def shard_key(source_col: str = "source", id_col: str = "doc_id") -> Column:
     """A string whose order is that of (source, id)."""
     number = F.lpad((F.col(id_col).cast("decimal(20,0)") + F.lit(str(_BIAS)).cast("decimal(20,0)")).cast("string"), 20, "0")
-    return F.concat(F.coalesce(F.col(source_col).cast("string"), F.lit("")), F.lit("\x01"), F.coalesce(number, F.lit("")))
+    return F.concat(F.coalesce(F.concat(F.lit("s"), F.col(source_col).cast("string")), F.lit("n")), F.lit("\x01"), F.coalesce(number, F.lit("")))
 
 
 def shard_documents(
@@ -43,10 +46,11 @@ def shard_documents(
     text_col: str = "text",
     source_col: str = "source",
     id_col: str = "doc_id",
+    ranges: int = RANGES,
 ) -> DataFrame:
     """The documents with the number of their shard; numbers rise with the key.
 
-    target: characters of a shard.  The driver holds about `oversample` keys for each shard, nothing else."""
+    target: characters of a shard.  The driver holds about `oversample` keys for each of at most `ranges` ranges, nothing else."""
     ship(docs.sparkSession)
     docs, restored = shielded(docs)
     kept = [c for c in docs.columns if c != shard_col]
@@ -56,7 +60,7 @@ def shard_documents(
         F.coalesce(F.char_length(F.col(text_col)), F.lit(0)).cast("bigint").alias("__size"),
     )
     total = int(keyed.agg(F.sum("__size")).first()[0] or 0)
-    n_ranges = max(1, math.ceil(total / target))
+    n_ranges = min(ranges, max(1, math.ceil(total / target)))
     step = max(1, total // (n_ranges * oversample))
     # a record is drawn once for every `step` of its size, and once more with the chance that the rest of it has
     draws = F.expr("cast((__size + __u) div __step as bigint)")
@@ -74,10 +78,12 @@ def shard_documents(
         goals = [j * int(reached[-1]) // n_ranges for j in range(1, n_ranges)]
         cuts = np.unique(sampled["__key"].to_numpy(object)[np.searchsorted(reached, goals, side="left")])
 
+    shared = docs.sparkSession.sparkContext.broadcast(cuts)
+
     @F.pandas_udf("bigint")
     def range_of(keys: Iterator[pd.Series]) -> Iterator[pd.Series]:
         for k in keys:
-            yield pd.Series(np.searchsorted(cuts, k.to_numpy(object), side="left"))
+            yield pd.Series(np.searchsorted(shared.value, k.to_numpy(object), side="left"))
 
     ranged = keyed.withColumn("__range", range_of("__key"))
     limit = int(target * slack)
@@ -96,14 +102,14 @@ def shard_documents(
     return restored(placed.select(*kept, (F.col("__first") + part).cast("bigint").alias(shard_col)))
 
 
-def oracle(docs: str = "documents", target: int = TARGET) -> str:
+def oracle(docs: str = "documents", target: int = TARGET, ranges: int = RANGES) -> str:
     """The same shards, with default parameters, in DuckDB's SQL over a table of documents."""
     limit = int(target * SLACK)
     return f"""
-WITH d AS (SELECT *, coalesce(length(text), 0)::BIGINT AS z, coalesce(source, '') || chr(1) ||
+WITH d AS (SELECT *, coalesce(length(text), 0)::BIGINT AS z, coalesce('s' || source, 'n') || chr(1) ||
         coalesce(lpad((doc_id::HUGEINT + {_BIAS}::HUGEINT)::VARCHAR, 20, '0'), '') AS k FROM {docs}),
 t AS (SELECT n, greatest(1, total // (n * {OVERSAMPLE})) AS step FROM (
-    SELECT total, greatest(1, (total + {target} - 1) // {target}) AS n
+    SELECT total, least({ranges}, greatest(1, (total + {target} - 1) // {target})) AS n
     FROM (SELECT coalesce(sum(z), 0)::BIGINT AS total FROM d))),
 s AS (SELECT k, sum(draws) AS draws FROM (
     SELECT k, (z + (('0x' || substr(md5(k), 1, 8))::BIGINT % {1 << 31}) % step) // step AS draws FROM d, t)

@@ -2,6 +2,7 @@
 
 import os
 import random
+import time
 import zlib
 from collections import Counter
 
@@ -14,7 +15,7 @@ from compare import compare
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from spanforge.llm import kneser_ney, knn, langid, mixing, ngram_join, packing, quality, secrets, sharding, toxicity
+from spanforge.llm import common, kneser_ney, knn, langid, mixing, ngram_join, packing, quality, secrets, sharding, toxicity
 from spanforge.llm.textkernel import blocks
 
 DATA = "/root/testdata"
@@ -388,10 +389,33 @@ def test_mixing_copies_follow_each_other(docs):
     assert sorted(r["copy_no"] for r in copies) == list(range(1, len(copies) + 1)) and len(copies) > 1
 
 
-@pytest.mark.parametrize("target", [300, 5000])
-def test_sharding_against_sql(docs, rows, target):
-    got = sharding.shard_documents(docs, target=target).select("doc_id", "text", "lang", "source", "n_chars", "shard").toPandas()
-    assert compare(got, sql(rows, sharding.oracle(target=target))) == ""
+def test_copies_of_a_tiny_source(spark):
+    """Sources of a character beside a large one: runs of copies, and more copies than an int holds."""
+    df = spark.createDataFrame([(1, "x", "a"), (2, "y" * 300_000, "b"), (3, "z", "a")], "doc_id bigint, text string, source string")
+    got = mixing.mix_sources(df).groupBy("doc_id").agg(F.count(F.lit(1)).alias("n"), F.countDistinct("copy_no").alias("d"), F.max("copy_no").alias("m")).orderBy("doc_id").collect()
+    assert all(r["n"] == r["d"] == r["m"] for r in got) and all(abs(r["n"] - 75_000) <= 2 for r in (got[0], got[-1])) and len(got) in (2, 3)
+    plan = mixing.mix_sources(df, total_size=10**11)
+    assert plan.limit(5).count() == 5
+
+
+@pytest.mark.parametrize("keys", [[*range(20_000), 2**62], [-(2**62)] * 3 + [k // 7 for k in range(9_000)], [None, 5, 5, 5], [], [None]])
+def test_chunks_are_even(spark, keys):
+    df = common.chunked(spark.createDataFrame([(k,) for k in keys], "k bigint"), "k", "c", 512)
+    rows = df.collect()
+    assert len(rows) == len(keys)
+    known = sorted((r["k"], r["c"]) for r in rows if r["k"] is not None)
+    assert all(a[1] <= b[1] for a, b in zip(known, known[1:])) and len({(k, c) for k, c in known}) == len({k for k, _ in known})
+    assert all(r["c"] == -1 for r in rows if r["k"] is None)
+    if len(keys) > 5000:
+        assert max(Counter(c for _, c in known).values()) < 4 * 512
+
+
+@pytest.mark.parametrize("target, ranges", [(300, 1 << 16), (5000, 1 << 16), (300, 4)])
+def test_sharding_against_sql(docs, rows, target, ranges):
+    rows = [*rows, (3, "null and empty sources", "en", None, 1), (3, "lie apart", "en", "", 1)]
+    docs = docs.unionByName(docs.sparkSession.createDataFrame(rows[-2:], DDL), allowMissingColumns=True)
+    got = sharding.shard_documents(docs, target=target, ranges=ranges).select("doc_id", "text", "lang", "source", "n_chars", "shard").toPandas()
+    assert compare(got, sql(rows, sharding.oracle(target=target, ranges=ranges))) == ""
     sizes = got.assign(z=got.text.fillna("").str.len()).groupby("shard").z
     assert (sizes.sum() <= target * sharding.SLACK + sizes.max() * 2).all()
     assert len(got) == len(rows)
@@ -461,6 +485,34 @@ def test_packing(docs, rows):
     assert fits.bin.nunique() <= np.ceil(fits.n_tokens.sum() / 64) * 1.05 + 2
 
 
+def test_packing_against_brute_force(docs, rows):
+    """Pieces one by one, by their rank in their class."""
+    capacity, classes = 64, 16
+    pieces = []
+    for r in rows:
+        n = len(packing_tokens(r[1]))
+        for p in range(max(1, -(-n // capacity))):
+            pieces.append((r[0], p, p * capacity, min(capacity, n - p * capacity)))
+    of_class = {}
+    for x in sorted(pieces, key=lambda x: (x[0] is not None, x[0] or 0, x[1], x[3])):
+        of_class.setdefault(-(-x[3] * classes // capacity), []).append(x)
+    bins, bound = packing.plan_bins({k: len(v) for k, v in of_class.items() if k}, classes)
+    want, number = [(*x, None, None) for x in of_class.pop(0, [])], 0
+    for counts, times in bins:
+        for _ in range(times):
+            held = [of_class[k].pop(0) for k in np.flatnonzero(counts) for _ in range(counts[k])]
+            at = 0
+            for x in sorted(held, key=lambda x: (-x[3], x[0] is not None, x[0] or 0, x[1])):
+                want.append((*x, number, at))
+                at += x[3]
+            assert at <= capacity
+            number += 1
+    assert not any(of_class.values()) and number <= np.ceil(bound) + classes
+    got = packing.pack_documents(docs, capacity, classes).select("doc_id", "piece", "start_token", "n_tokens", "bin", "bin_offset").collect()
+    # rows that repeat are alike, so which of them has which rank isn't told
+    assert Counter(map(tuple, got)) == Counter(want)
+
+
 def packing_tokens(text):
     import regex
 
@@ -520,6 +572,10 @@ LONG_VALUE = "aB3dE6gH9j" * 40
         ("x\nAPI_KEY=", "Zx81kLm20PqRs7", "\nDEBUG=1"),
         ("db:\n  password: ", "corr-horse7battery", "\n"),
         ("API_KEY=", LONG_VALUE, ""),
+        ('password = "', "Zx81kLm20Pq", '"'),
+        ('password = "', "<Zx81kLm20PqRs7>", '"'),
+        ("password = '", "horse 7 battery 81 staple", "' x"),
+        ("x&access_key=", "Zx81kLm20PqRs7==", " y"),
         ("(secret: ", "Zx81kLm20PqRs7", "). More"),
         ("a ", f"-----BEGIN RSA PRIVATE KEY-----\n{HEADERS}{BODY}\n-----END RSA PRIVATE KEY-----", " b"),
         ("a ", f"-----BEGIN RSA PRIVATE KEY-----\n{HEADERS}{BODY}", "\nand words - of prose"),
@@ -541,6 +597,13 @@ def test_no_unquoted_secrets(text):
     assert secrets.build_scanner()(text) == [] == secrets.brute_force(text)
 
 
+@pytest.mark.parametrize("text", ["token" * 200_000, "eyJ" * 300_000, "token=" * 150_000, "password: " * 100_000, "-----BEGIN PRIVATE KEY-----" * 30_000, 'secret="x' * 100_000, "xoxb-1-" * 100_000])
+def test_texts_full_of_keywords(text):
+    began = time.process_time()
+    secrets.build_scanner()(text)
+    assert time.process_time() - began < 3
+
+
 def test_own_formats_count_before_assignments():
     assert [f[2] for f in secrets.build_scanner()(f"token: {GOOD[0]}")] == ["github_token"]
 
