@@ -47,8 +47,8 @@ from spanforge.llm.textkernel import blocks, mix64, pack, pack_sorted, unpack, u
 
 #: Words of the longest n-grams.
 ORDER = 3
-#: Bytes of text whose n-grams are counted or looked up together.
-GROUP_TEXT = 12 << 20
+#: Bytes of text whose n-grams are counted together, and those whose n-grams are looked up together.
+GROUP_TEXT, SCORE_TEXT = 12 << 20, 3 << 20
 #: Words that occur at least 2**HOT times make hot contexts.
 HOT = 20
 #: Numbers that aren't words.
@@ -59,7 +59,7 @@ _GOLDEN = np.uint64(0x9E3779B97F4A7C15)
 _32 = np.uint64(32)
 
 
-def groups(batch: pa.RecordBatch, column: int) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
+def groups(batch: pa.RecordBatch, column: int, text: int = GROUP_TEXT) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
     """(first row, last row, hashes of the words, row of each word from the first) of groups of documents."""
     words, docs, low, size, last = [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)], 0, 0, 0
     for block in blocks(batch.column(column)):
@@ -67,7 +67,7 @@ def groups(batch: pa.RecordBatch, column: int) -> Iterator[tuple[int, int, np.nd
         words.append(block.hash_ranges(starts, ends))
         docs.append(d + block.first - low)
         size, last = size + len(block.data), block.last
-        if size >= GROUP_TEXT:
+        if size >= text:
             yield low, last, np.concatenate(words), np.concatenate(docs)
             words, docs, low, size = [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)], last, 0
     if last > low:
@@ -194,7 +194,7 @@ _maps: dict[str, np.ndarray | None] = {}
 def _map(path: str) -> np.ndarray | None:
     """A file of the model, mapped into memory once per worker."""
     if path not in _maps:
-        _maps[path] = np.load(path, mmap_mode="r") if os.path.exists(path) else None
+        _maps[path] = np.load(path, mmap_mode="r").view(np.ndarray) if os.path.exists(path) else None
     return _maps[path]
 
 
@@ -483,7 +483,7 @@ def score(docs: DataFrame, model: KneserNey, text_col: str = "text", id_col: str
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = shared.value
         for batch in batches:
-            for low, last, words, docs_ in groups(batch, 1):
+            for low, last, words, docs_ in groups(batch, 1, SCORE_TEXT):
                 columns, doc = sequences(m.vocabulary.ids(words), docs_, m.order)
                 n = np.bincount(doc, minlength=last - low)
                 logs = np.log(m.probabilities(columns, doc if leave_out else None)) if len(doc) else None
