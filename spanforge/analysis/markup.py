@@ -15,6 +15,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from spanforge.runtime import ship
+
 _TAG = re.compile(r"<(?P<end>/)?(?P<name>[A-Za-z_][\w:.\-]*)(?P<attrs>(?:[^<>\"']|\"[^\"]*\"|'[^']*')*?)(?P<self>/)?>|<!--.*?-->|<\?.*?\?>|<![^>]*>", re.S)
 _ATTR = re.compile(r"([\w:.\-]+)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))")
 _ENTITY = re.compile(r"&(?:#\d+|#[xX][0-9A-Fa-f]+|\w+);")
@@ -22,6 +24,8 @@ _VOID = frozenset("area base br col embed hr img input link meta source track wb
 
 
 def on_text(f: Callable[[str], str], c: Column) -> Column:
+    ship()
+
     @F.pandas_udf("string")
     def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         for s in batches:
@@ -178,6 +182,7 @@ def structures(docs: DataFrame, definitions: Sequence[StructureDefinition], id_c
     """(document_id, range_id, type, start, end, value, ghost, attribute) of all documents, in Arrow batches.
 
     corpora.positions_of_ranges gives their positions."""
+    ship(docs.sparkSession)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
@@ -365,6 +370,7 @@ def map_attributes(text: str, mappings: Sequence[AttributeMapping]) -> list[tupl
 
 def document_attributes(docs: DataFrame, mappings: Sequence[AttributeMapping], id_col: str = "document_id", text_col: str = "content") -> DataFrame:
     """(document_id, name, value, type) of all documents, in Arrow batches."""
+    ship(docs.sparkSession)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:

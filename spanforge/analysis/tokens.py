@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from spanforge.functions.text import keep_alnum_apos, normalise_token
+from spanforge.functions.text import keep_alnum_apos, normalise_token, normalised_pieces
 
 #: A currency sign alone, or a run that ends after an apostrophe which isn't its first character.
 STANDARD = r"\p{Sc}|[^\s\p{Sc}][^\s\p{Sc}']*'?"
@@ -43,6 +43,12 @@ def token_stream(
             x = TOKEN_FILTERS[f](x)
         return x
 
+    if (tokenizer, filters) == ("whitespace", ("normal",)):
+        split = F.arrays_zip(F.split(text_col, r"\s+").alias("raw"), normalised_pieces(F.col(text_col)).alias("value"))
+        kept = F.filter(split, lambda t: t["value"] != "")
+        return docs.select(id_col, *carried, F.posexplode(kept).alias("pos", "t")).select(
+            id_col, *carried, (F.col("pos") + 1).alias("position"), F.col("t.raw").alias("raw"), F.col("t.value").alias("value")
+        )
     pieces = F.transform(TOKENIZERS[tokenizer](F.col(text_col)), lambda x: F.struct(x.alias("raw"), value(x).alias("value")))
     kept = F.filter(pieces, lambda t: t["value"] != "")
     exploded = docs.select(id_col, *carried, F.posexplode(kept).alias("pos", "t"))

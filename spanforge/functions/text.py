@@ -10,6 +10,8 @@ import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from spanforge.runtime import ship
+
 #: Text that counts as a number; anything else makes numeric comparisons false.
 NUMERIC = r"^\s*[+-]?(\d+\.?\d*|\.\d+)([eE][+-]?\d+)?\s*$"
 
@@ -27,6 +29,8 @@ def _diacritics() -> tuple[str, str]:
 
 
 MARKED, PLAIN = _diacritics()
+#: A character that no token has.
+GONE = "\x01"
 
 
 def strip_diacritics(c: Column) -> Column:
@@ -43,6 +47,14 @@ def normalise_token(c: Column) -> Column:
     return F.lower(strip_diacritics(F.regexp_replace(c, r"[^\p{L}\p{Nd}\p{Sc}']", "")))
 
 
+def normalised_pieces(text: Column) -> Column:
+    """What normalise_token makes of each piece between white space, by one pass over the whole text: characters that go leave a
+    mark first, so that there are as many pieces as in the text itself."""
+    marked = F.regexp_replace(text, r"[^\p{L}\p{Nd}\p{Sc}'\s]", GONE)
+    plain = F.lower(F.when(marked.rlike(r"[^\x00-\x7f]"), strip_diacritics(marked)).otherwise(marked))
+    return F.transform(F.split(plain, r"\s+"), lambda x: F.replace(x, F.lit(GONE), F.lit("")))
+
+
 def normalise_literal(text: str) -> str:
     """What normalise_token makes of a literal of a query; nothing is left of mere apostrophes."""
     kept = "".join(c for c in text if c == "'" or unicodedata.category(c) in ("Lu", "Ll", "Lt", "Lm", "Lo", "Nd", "Sc"))
@@ -122,6 +134,7 @@ def osa_distance(a: str, b: str) -> int:
 
 def osa_similarity(c: Column, text: str) -> Column:
     """1 - distance / the longer length, in Arrow batches; equal values of a batch are compared once."""
+    ship()
 
     @F.pandas_udf("double")
     def score(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:

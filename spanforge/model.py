@@ -27,11 +27,17 @@ DOCUMENT_ATTRIBUTE_DDL = "document_id bigint, name string, value string, type in
 CORPUS_DDL = "id string, title string, description string, user_id string"
 DOCUMENT_CORPUS_DDL = "document_id bigint, corpus_id string"
 PROFILE_DDL = "id string, content string, type string, user_id string"
+WORD_DDL = "id bigint, lemma_id bigint, value string, reversed_value string, language string, pos string, lemma string, count bigint"
+LEMMA_DDL = "id bigint, value string, reversed_value string, language string, pos string, count bigint"
+WORD_COUNT_DDL = "word_id bigint, lemma_id bigint, doc_attr_name string, doc_attr_value string, count bigint"
+LEMMA_COUNT_DDL = "lemma_id bigint, doc_attr_name string, doc_attr_value string, count bigint"
 #: Longest values that are stored.
 LIMITS = {"author": 200, "title": 500, "source": 500, "profile_id": 50, "sort_key": 500, "name": 100, "value": 500, "text": 1000, "lemma": 500, "pos": 50, "language": 50}
 
-#: A span's id is its document's id times ID_STEP plus ten times its position plus the number of its kind.
+#: A span's id is its document's id times ID_STEP plus ten times its position plus the number of its kind, where that has room: for
+#: documents up to ID_DOCUMENTS and positions below ID_STEP / 10.  Otherwise it is a negative hash of the three.
 ID_STEP = 1_000_000_000
+ID_DOCUMENTS = 9_000_000_000
 KINDS = ("tok", "par", "snt")
 TEXT, NUMBER = 0, 1
 
@@ -43,7 +49,9 @@ def truncated(df: DataFrame) -> DataFrame:
 
 @dataclass
 class Catalog:
-    """All tables of a collection.  Every one is lazy; what a query doesn't touch isn't read."""
+    """All tables of a collection.  Every one is lazy; what a query doesn't touch isn't read.
+
+    The word index (word, lemma and their counts) is there once `words.with_word_index` has made it."""
 
     document: DataFrame
     document_attribute: DataFrame
@@ -52,22 +60,39 @@ class Catalog:
     span: DataFrame
     span_attribute: DataFrame
     profile: DataFrame
+    word: DataFrame | None = None
+    lemma: DataFrame | None = None
+    word_count: DataFrame | None = None
+    lemma_count: DataFrame | None = None
 
     def write(self, path: str, mode: str = "overwrite") -> None:
-        """All tables as Parquet; spans and their attributes stand clustered by document, so scans of few documents prune."""
+        """All tables as Parquet, with values cut to their limits.  Spans and attributes stand clustered by document, so scans of few
+        documents prune, and spans have Bloom filters of their values, so scans for rare words do; words and lemmata stand in the
+        order of their values."""
         for f in fields(self):
             df = getattr(self, f.name)
+            if df is None:
+                continue
+            df = truncated(df)
             if "document_id" in df.columns:
-                df = df.repartition("document_id").sortWithinPartitions("document_id")
-            df.write.mode(mode).parquet(f"{path}/{f.name}")
+                df = df.repartition("document_id").sortWithinPartitions(*(c for c in ("document_id", "type", "p1") if c in df.columns))
+            elif "reversed_value" in df.columns:
+                df = df.repartitionByRange("value").sortWithinPartitions("value")
+            out = df.write.mode(mode)
+            if f.name == "span":
+                out = out.option("parquet.bloom.filter.enabled#value", "true")
+            out.parquet(f"{path}/{f.name}")
 
     @classmethod
     def read(cls, spark: SparkSession, path: str) -> Catalog:
-        return cls(*(spark.read.parquet(f"{path}/{f.name}") for f in fields(cls)))
+        """What was written; the word index is None if there was none."""
+        folder = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+        there = {x.getPath().getName() for x in folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).listStatus(folder)}
+        return cls(*(spark.read.parquet(f"{path}/{f.name}") if f.name in there else None for f in fields(cls)))
 
     @classmethod
     def empty(cls, spark: SparkSession) -> Catalog:
-        ddls = (DOCUMENT_DDL, DOCUMENT_ATTRIBUTE_DDL, CORPUS_DDL, DOCUMENT_CORPUS_DDL, SPAN_DDL, ATTRIBUTE_DDL, PROFILE_DDL)
+        ddls = (DOCUMENT_DDL, DOCUMENT_ATTRIBUTE_DDL, CORPUS_DDL, DOCUMENT_CORPUS_DDL, SPAN_DDL, ATTRIBUTE_DDL, PROFILE_DDL, WORD_DDL, LEMMA_DDL, WORD_COUNT_DDL, LEMMA_COUNT_DDL)
         return cls(*(spark.createDataFrame([], d) for d in ddls))
 
 
@@ -75,8 +100,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def span_id(document_id: Column, position: Column, kind: str) -> Column:
-    return document_id * F.lit(ID_STEP) + position.cast("bigint") * 10 + KINDS.index(kind)
+def span_id(document_id: Column, position: Column, kind: str | int) -> Column:
+    number = KINDS.index(kind) if isinstance(kind, str) else kind
+    room = document_id.between(0, ID_DOCUMENTS) & (position < ID_STEP // 10) & F.lit(number < 10)
+    hashed = F.xxhash64(document_id.cast("bigint"), position.cast("bigint"), F.lit(number)).bitwiseOR(F.lit(-(1 << 63)))
+    return F.when(room, document_id * F.lit(ID_STEP) + position.cast("bigint") * 10 + number).otherwise(hashed)
 
 
 def documents(spark: SparkSession, sf_dir: str, content: bool = True) -> DataFrame:
@@ -145,8 +173,11 @@ def token_spans(spark: SparkSession, sf_dir: str, offsets: bool = False) -> Data
 def structure_spans(spark: SparkSession, sf_dir: str, kind: str) -> DataFrame:
     """Paragraphs ('par', the lines of a text) or sentences ('snt', up to a token that ends in . ? ! or ;)."""
     d = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    return structures_of(full_tokens(d, "doc_id", "text", "lang"), kind)
+
+
+def structures_of(tokens: DataFrame, kind: str) -> DataFrame:
     by = {"par": "line", "snt": "sentence"}[kind]
-    tokens = full_tokens(d, "doc_id", "text", "lang")
     grouped = tokens.groupBy("doc_id", by).agg(
         F.min("position").alias("p1"), F.max("position").alias("p2"), F.min("index").alias("index"), F.max(F.col("index") + F.col("length")).alias("end"), F.first("lang").alias("language")
     )

@@ -14,6 +14,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from spanforge.functions.text import osa_similarity, plain_text
+from spanforge.runtime import ship
 
 LEXICON_DDL = "id bigint, value string, text string, lemma string, pos string"
 MODES = ("exact", "prefix", "suffix", "substring", "fuzzy")
@@ -48,7 +49,10 @@ def find(
         elif mode == "substring":
             out = out.filter(value.contains(low))
         else:
-            near = out.filter(F.abs(F.length("value") - len(text)) <= max(2, len(text) // 3))
+            # a transposition is two edits without one, so twice the distance bounds those
+            room = max(2, len(text) // 3)
+            edits = 2 * int((1 - threshold) * (len(text) + room) + 1e-9)
+            near = out.filter((F.abs(F.length("value") - len(text)) <= room) & (F.levenshtein("value", F.lit(text), edits) >= 0))
             out = near.filter(osa_similarity(F.col("value"), text) >= threshold)
     out = out.orderBy("value", "id")
     return out if page is None else out.limit(page * size).offset((page - 1) * size)
@@ -192,6 +196,7 @@ def italian_variants(word: str) -> list[tuple[str, str]]:
 
 def word_variants(words: DataFrame) -> DataFrame:
     """(value, variant, rule, rank) of the distinct words of a table, in Arrow batches."""
+    ship(words.sparkSession)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:

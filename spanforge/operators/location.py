@@ -92,24 +92,32 @@ def _sweeps(op: str, args: dict[str, int]) -> list[tuple[str, Column, bool, str,
     return None
 
 
-def _sweep(left: DataFrame, right: DataFrame, op: str, args: dict[str, int], negated: bool) -> DataFrame:
-    columns = left.columns
-    marked = left.withColumn("__hit", F.lit(False))
-    for sorted_by, place, later, kept, test in _sweeps(op, args):
-        mine = marked.withColumn("__k", place).withColumn("__v", F.lit(None).cast("bigint")).withColumn("__mine", F.lit(1))
-        others = right.select("document_id", F.col(sorted_by).cast("bigint").alias("__k"), F.col(kept).cast("bigint").alias("__v"))
-        both = mine.unionByName(others.distinct().withColumn("__mine", F.lit(0)), allowMissingColumns=True)
+def _swept(entries: DataFrame, columns: list[str], op: str, args: dict[str, int], negated: bool) -> DataFrame:
+    """entries: spans with __mine, once as one that looks for a partner and once as a partner.  All sweeps go over one exchange by
+    document; where two are needed (NEAR), it is sorted in two orders."""
+    mine = F.col("__mine") == 1
+    hit = F.lit(False)
+    swept = entries
+    for k, (sorted_by, place, later, kept, test) in enumerate(_sweeps(op, args)):
+        key = F.when(mine, place).otherwise(F.col(sorted_by).cast("bigint"))
+        swept = swept.withColumn(f"__k{k}", key).withColumn(f"__v{k}", F.when(~mine, F.col(kept).cast("bigint")))
         # at equal places partners come first, so that they count
-        order = F.col("__k").desc() if later else F.col("__k").asc()
+        order = F.col(f"__k{k}").desc() if later else F.col(f"__k{k}").asc()
         w = Window.partitionBy("document_id").orderBy(order, F.col("__mine")).rowsBetween(Window.unboundedPreceding, 0)
-        best = (F.min if later else F.max)("__v").over(w)
-        swept = both.withColumn("__best", best).filter("__mine = 1")
-        marked = swept.withColumn("__hit", F.col("__hit") | F.coalesce(test, F.lit(False))).select(*columns, "__hit")
-    return marked.filter(~F.col("__hit") if negated else F.col("__hit")).select(*columns)
+        swept = swept.withColumn("__best", (F.min if later else F.max)(f"__v{k}").over(w)).withColumn(f"__hit{k}", F.coalesce(test, F.lit(False)))
+        hit = hit | F.col(f"__hit{k}")
+    return swept.filter(mine & (~hit if negated else hit)).select(*columns)
 
 
-def _shared_structure(structures: DataFrame, a1: Column, a2: Column, b1: Column, b2: Column) -> Column:
-    return (F.col("s.p1") <= F.least(a1, b1)) & (F.col("s.p2") >= F.greatest(a2, b2))
+def locate_within(spans: DataFrame, left: Column, right: Column, op: str, args: dict[str, int] | None = None, negated: bool = False) -> DataFrame:
+    """As `locate` for two conditions on the same spans: they are read once, and both sides come from the rows that meet either."""
+    sides = F.array_compact(F.array(F.when(left, 1), F.when(right, 0)))
+    entries = spans.filter(left | right).select(*spans.columns, F.explode(sides).alias("__mine"))
+    return _swept(entries, spans.columns, op, args or {}, negated)
+
+
+def sweepable(op: str, args: dict[str, int] | None = None) -> bool:
+    return _sweeps(op, args or {}) is not None
 
 
 def locate(
@@ -131,7 +139,8 @@ def locate(
     if strategy == "sweep" and not swept:
         raise ValueError(f"{op} with these arguments can't be swept")
     if swept and strategy != "join":
-        return _sweep(left, right, op, args, negated)
+        entries = left.withColumn("__mine", F.lit(1)).unionByName(right.select("document_id", "p1", "p2").withColumn("__mine", F.lit(0)), allowMissingColumns=True)
+        return _swept(entries, left.columns, op, args, negated)
     a, b = left.alias("a"), right.select("document_id", "p1", "p2").distinct().alias("b")
     a1, a2, b1, b2 = (F.col(x) for x in ("a.p1", "a.p2", "b.p1", "b.p2"))
     if structures is not None:

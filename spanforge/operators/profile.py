@@ -17,8 +17,9 @@ from pyspark.sql import functions as F
 from spanforge.analysis import markup
 from spanforge.analysis.tokens import TOKEN_FILTERS, full_tokens
 from spanforge.functions.text import sort_key, to_number, year_value, ymd_value
-from spanforge.model import ID_STEP, NUMBER, TEXT, Catalog
+from spanforge.model import NUMBER, TEXT, Catalog, span_id
 from spanforge.operators.corpora import positions_of_ranges
+from spanforge.runtime import ship
 
 TEXT_FILTERS: dict[str, Callable[[Column], Column]] = {
     "tei": lambda c: markup.on_text(markup.tei_filter, c),
@@ -33,6 +34,8 @@ def date_value(value: Column, kind: str) -> Column:
 
 
 def _sentence_ranges(docs: DataFrame, stop_tags: list[str], no_marker_tags: list[str]) -> DataFrame:
+    ship(docs.sparkSession)
+
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             rows = [(i, k, a, z) for i, t in zip(b["document_id"], b["content"]) if t for k, (a, z) in enumerate(markup.sentences(t, stop_tags, no_marker_tags))]
@@ -55,7 +58,7 @@ def build(docs: DataFrame, profile: Mapping | str, corpus: DataFrame | None = No
     tokens = full_tokens(docs.select(F.col("id").alias("document_id"), filtered.alias("content")), "document_id", "content", filters=tuple(p.get("token_filters", ("normal",))))
     none = F.lit(None).cast("string")
     span = tokens.select(
-        (F.col("document_id") * ID_STEP + F.col("position").cast("bigint") * 10).alias("id"), "document_id", F.lit("tok").alias("type"), F.col("position").alias("p1"), F.col("position").alias("p2"),
+        span_id(F.col("document_id"), F.col("position"), "tok").alias("id"), "document_id", F.lit("tok").alias("type"), F.col("position").alias("p1"), F.col("position").alias("p2"),
         "index", "length", none.alias("language"), none.alias("pos"), F.col("value").alias("lemma"), "value", F.col("raw").alias("text"),
     )
     attributes = span.select(F.col("id").alias("span_id"), "document_id", F.lit("len").alias("name"), F.length("value").cast("string").alias("value"), F.lit(NUMBER).alias("type"))
@@ -80,7 +83,7 @@ def build(docs: DataFrame, profile: Mapping | str, corpus: DataFrame | None = No
     for k, m in enumerate(made):
         span = span.unionByName(
             m.select(
-                (F.col("document_id") * ID_STEP + F.col("range_id").cast("bigint") * 10 + 1 + k).alias("id"), "document_id", "type", "p1", "p2", F.col("start").alias("index"),
+                span_id(F.col("document_id"), F.col("range_id"), 1 + k).alias("id"), "document_id", "type", "p1", "p2", F.col("start").alias("index"),
                 (F.col("end") - F.col("start")).cast("int").alias("length"), none.alias("language"), none.alias("pos"), none.alias("lemma"), "value", none.alias("text"),
             )
         )

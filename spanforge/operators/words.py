@@ -7,6 +7,8 @@ document, and the counts by attribute need no tables of ids.  Ids come from the
 from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
+from dataclasses import replace
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -198,11 +200,20 @@ def browse(
     return ordered if page is None else ordered.limit(page * size).offset((page - 1) * size)
 
 
+def with_word_index(catalog: Catalog, bins: Mapping[str, int] | None = None, excluded_pos: Sequence[str] = (), excluded_attributes: Sequence[str] = ()) -> Catalog:
+    """The collection with words, lemmata and their counts by classes of documents."""
+    tokens = index_tokens(catalog, excluded_pos, excluded_attributes)
+    word = build_words(tokens)
+    counts = count_words(tokens, document_pairs(catalog, bins))
+    return replace(catalog, word=word, lemma=build_lemmata(word), word_count=counts, lemma_count=count_lemmata(counts))
+
+
 # statistics
 
 
 def statistics(catalog: Catalog) -> DataFrame:
-    """(name, value) rows: sizes of tables, counts by attribute (@name) and by type of span (span.type), and ratios."""
+    """(name, value) rows: how many rows tables have (name_count), spans of each type (span.type), attributes of each name (@name; of
+    a name that documents and spans have, those of spans), and the ratios of attributes to what has them (name_ratio)."""
 
     def size(df: DataFrame, name: str) -> DataFrame:
         return df.agg(F.count(F.lit(1)).cast("double").alias("value")).select(F.lit(name).alias("name"), "value")
@@ -210,21 +221,20 @@ def statistics(catalog: Catalog) -> DataFrame:
     def grouped(df: DataFrame, column: str, prefix: str) -> DataFrame:
         return df.groupBy(F.concat(F.lit(prefix), F.col(column)).alias("name")).agg(F.count(F.lit(1)).cast("double").alias("value"))
 
-    by_type = grouped(catalog.span, "type", "span.")
-    counts = [
-        size(catalog.document, "document"),
-        size(catalog.document_attribute, "document_attribute"),
-        size(catalog.corpus, "corpus"),
-        size(catalog.document_corpus, "document_corpus"),
-        by_type,
-        grouped(catalog.document_attribute, "name", "document@"),
-        grouped(catalog.span_attribute, "name", "span@"),
-    ]
-    out = counts[0]
-    for c in counts[1:]:
-        out = out.unionByName(c)
-    of = lambda n: F.max(F.when(F.col("name") == n, F.col("value")))
-    attributes = F.sum(F.when(F.col("name").startswith("span@"), F.col("value")))
-    ratio = out.agg((of("span.tok") / of("document")).alias("a"), (attributes / of("span.tok")).alias("b"))
-    ratios = ratio.select(F.explode(F.array(F.struct(F.lit("document_tok_ratio").alias("name"), F.col("a").alias("value")), F.struct(F.lit("span_tok_attribute_count_ratio").alias("name"), F.col("b").alias("value")))).alias("x")).select("x.name", "x.value")
-    return out.unionByName(ratios)
+    tok = catalog.span.filter("type = 'tok'").select(F.col("id").alias("span_id"))
+    of_spans = grouped(catalog.span_attribute, "name", "@")
+    of_documents = grouped(catalog.document_attribute, "name", "@").join(of_spans.select("name"), "name", "left_anti")
+    sized = [
+        size(catalog.corpus, "corpus_count"), size(catalog.document, "document_count"), size(catalog.document_attribute, "document_attribute_count"), size(catalog.profile, "profile_count"),
+        size(catalog.span, "span_count"), size(catalog.span_attribute, "span_attribute_count"), size(catalog.span_attribute.join(tok, "span_id", "left_semi"), "span_tok_attribute_count"),
+    ]
+    sized += [size(df, name) for df, name in ((catalog.word, "word_count"), (catalog.lemma, "lemma_count")) if df is not None]
+    counted = reduce(DataFrame.unionByName, [*sized, grouped(catalog.span, "type", "span.")])
+
+    def of(n: str) -> Column:
+        return F.max(F.when(F.col("name") == n, F.col("value")))
+
+    pairs = (("document_attribute_count", "document_count"), ("span_attribute_count", "span_count"), ("span_tok_attribute_count", "span.tok"))
+    each = F.array(*(F.struct(F.lit(f"{a}_ratio").alias("name"), F.try_divide(of(a), of(b)).alias("value")) for a, b in pairs))
+    ratios = counted.agg(each.alias("x")).select(F.inline("x")).filter("value is not null")
+    return counted.unionByName(of_documents).unionByName(of_spans).unionByName(ratios)

@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from spanforge.functions.text import like_pattern, normalise_literal, to_number, trigram_similarity
 from spanforge.model import DOCUMENT_PRIVILEGED, NUMERIC_PRIVILEGED, SPAN_PRIVILEGED, Catalog
-from spanforge.operators.location import SPAN, locate
+from spanforge.operators.location import SPAN, locate, locate_within, sweepable
 from spanforge.plans.parser import NUMERIC_OPS, Location, Logical, Pair, Query, QueryError, parse
 
 FUZZY_THRESHOLD = 0.9
@@ -140,6 +140,11 @@ class _Compiler:
 
     def set_of(self, node: object) -> DataFrame:
         if isinstance(node, Location):
+            if not node.structure and self.options.strategy != "join" and self.is_plain(node.left) and self.is_plain(node.right) and sweepable(node.op, node.args):
+                asked: list[Pair] = []
+                tests = self.condition(node.left, asked), self.condition(node.right, asked)
+                if not asked:
+                    return locate_within(self.spans, *tests, node.op, node.args, node.negated).select(*SPAN)
             left, right = self.set_of(node.left), self.set_of(node.right)
             structures = self.spans.filter(F.col("type") == node.structure) if node.structure else None
             return locate(left, right, node.op, node.args, node.negated, structures, self.options.strategy)

@@ -1,4 +1,6 @@
-"""The queries of the engine itself over the given tables, each beside its SQL (for DuckDB)."""
+"""The queries of the engine itself over the given tables, each beside its SQL (for DuckDB).
+
+Those of tokenizers and structures work on texts; the others read the collection's index, which the first of them writes."""
 
 from __future__ import annotations
 
@@ -10,6 +12,7 @@ from pyspark.sql import functions as F
 from spanforge.analysis import markup
 from spanforge.analysis.tokens import full_tokens, punctuation_attributes, token_stream
 from spanforge.functions.text import literal_trigrams, stable_id_sql
+from spanforge.index import STRUCTURES, Index, index_of
 from spanforge.model import Catalog, build_catalog, document_attributes_sql, fast_tokens_sql, table, tokens_sql
 from spanforge.operators import corpora, lexicon, search, words
 from spanforge.operators.location import locate, matching_pairs, predicate_sql
@@ -37,7 +40,7 @@ def _dsl(name: str, query: str, body: str, *ctes: str, structures: tuple[str, ..
     """A query of the language against a SELECT of RESULT_SQL."""
 
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-        return compile_query(build_catalog(spark, sf_dir, structures), query, options).select(*RESULT)
+        return compile_query(index_of(spark, sf_dir).catalog(structures), query, options).select(*RESULT)
 
     _add(name, run, _with(body, *ctes, full=bool(structures)))
 
@@ -49,11 +52,19 @@ def _tok(condition: str, columns: str = RESULT_SQL) -> str:
 # tokens and structures
 
 
-def _columns(f: Callable[[Catalog], DataFrame], *columns: str, structures: tuple[str, ...] = (), offsets: bool = False) -> Query:
+def _built(f: Callable[[Catalog], DataFrame], *columns: str, structures: tuple[str, ...] = (), offsets: bool = False) -> Query:
     return lambda spark, sf_dir: f(build_catalog(spark, sf_dir, structures, offsets)).select(*columns)
 
 
-_add("tok_whitespace", _columns(lambda c: c.span, "document_id", "p1", "value", "text", "lemma", "pos"), _with("SELECT document_id, p1, value, text, lemma, pos FROM tok"))
+def _columns(f: Callable[[Catalog], DataFrame], *columns: str) -> Query:
+    return lambda spark, sf_dir: f(index_of(spark, sf_dir).catalog()).select(*columns)
+
+
+def _indexed(f: Callable[[Index], DataFrame], *columns: str) -> Query:
+    return lambda spark, sf_dir: f(index_of(spark, sf_dir)).select(*columns)
+
+
+_add("tok_whitespace", _built(lambda c: c.span, "document_id", "p1", "value", "text", "lemma", "pos"), _with("SELECT document_id, p1, value, text, lemma, pos FROM tok"))
 _add(
     "tok_offsets",
     lambda s, d: full_tokens(table(s, d, "documents"), "doc_id", "text").select("doc_id", "position", "index", "length", "line", "sentence", "raw"),
@@ -71,7 +82,7 @@ _add(
     r"""SELECT value, count(*) AS n FROM (SELECT lower(regexp_replace(unnest(string_split_regex(text, '\s+')), '[^\p{L}\p{Nd}'']', '', 'g')) AS value FROM documents)
 WHERE value <> '' GROUP BY value""",
 )
-_add("tok_attributes", _columns(lambda c: c.span_attribute, "span_id", "name", "value"), _with("SELECT span_id, name, value FROM attr"))
+_add("tok_attributes", _built(lambda c: c.span_attribute, "span_id", "name", "value"), _with("SELECT span_id, name, value FROM attr"))
 _add(
     "tok_edge_punctuation",
     lambda s, d: punctuation_attributes(token_stream(table(s, d, "documents")), white=".,;:!?").groupBy("lp", "rp").agg(F.count(F.lit(1)).alias("n")),
@@ -83,7 +94,7 @@ _add(
 for _kind in ("par", "snt"):
     _add(
         f"struct_{_kind}",
-        _columns(lambda c, k=_kind: c.span.filter(F.col("type") == k), "document_id", "p1", "p2", "index", "length", "value", structures=(_kind,)),
+        _built(lambda c, k=_kind: c.span.filter(F.col("type") == k), "document_id", "p1", "p2", "index", "length", "value", structures=(_kind,)),
         _with(f"SELECT document_id, p1, p2, index, length, value FROM {_kind}", full=True),
     )
 
@@ -94,7 +105,17 @@ _DEFINITIONS = (
 )
 _add("struct_markup", lambda s, d: markup.structures(table(s, d, "pages"), _DEFINITIONS, "page_id", "html"))
 _add("doc_attr_markup", lambda s, d: markup.document_attributes(table(s, d, "pages"), [markup.AttributeMapping.parse(x) for x in ("lang=html/@lang", "title=title", "link+=a/@href")], "page_id", "html"))
-_add("tag_filter", lambda s, d: table(s, d, "pages").select("page_id", markup.on_text(markup.fill_tags, F.col("html")).alias("text")))
+_TAGS = r"""(?s)</?[A-Za-z_][\w:.\-]*(?:[^<>"'']|"[^"]*"|''[^'']*'')*?/?>|<!--.*?-->|<\?.*?\?>|<![^>]*>"""
+_add("tag_filter", lambda s, d: table(s, d, "pages").select("page_id", markup.on_text(markup.fill_tags, F.col("html")).alias("text")),
+    rf"""SELECT page_id, array_to_string(list_transform(list_zip(string_split_regex(html, '{_TAGS}'), regexp_extract_all(html, '{_TAGS}')), lambda z: z[1] || coalesce(regexp_replace(z[2], '\S', ' ', 'g'), '')), '') AS text FROM pages""",
+)
+
+_add(
+    "index_spans",
+    _indexed(lambda x: x.catalog(STRUCTURES).span, "id", "document_id", "type", "p1", "p2", "index", "length", "value"),
+    _with("SELECT id, document_id, type, p1, p2, index, length, value FROM tok UNION ALL SELECT * FROM par UNION ALL SELECT * FROM snt", full=True),
+)
+_add("index_attributes", _columns(lambda c: c.span_attribute, "span_id", "name", "value"), SQL["tok_attributes"])
 
 # pairs
 
@@ -215,7 +236,7 @@ _dsl(
 
 
 def _join_strategy(spark: SparkSession, sf_dir: str) -> DataFrame:
-    spans = build_catalog(spark, sf_dir).span
+    spans = index_of(spark, sf_dir).catalog().span
     return locate(spans.filter("value = 'the'"), spans.filter("value = 'of'"), "NEAR", {"m": 2}, strategy="join").select(*RESULT)
 
 
@@ -223,7 +244,7 @@ _add("loc_near_by_join", _join_strategy, SQL["loc_near"])
 
 
 def _pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    spans = build_catalog(spark, sf_dir).span
+    spans = index_of(spark, sf_dir).catalog().span
     return matching_pairs(spans.filter("value = 'the'"), spans.filter("value = 'of'"), "BEFORE", {"m": 4}).select("id", "right_id")
 
 
@@ -238,7 +259,7 @@ _PAGE_COLUMNS = ("id", "document_id", "p1", "value", "author", "title", "sort_ke
 
 def _page(query: str, page: int, sort: tuple[str, ...] = ()) -> Query:
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-        c = build_catalog(spark, sf_dir)
+        c = index_of(spark, sf_dir).catalog()
         return search.search_page(c, compile_query(c, query), page, sort=sort).select(*_PAGE_COLUMNS)
 
     return run
@@ -254,13 +275,13 @@ _add("search_sort_document", _page('[value="the"]', 1, ("-date_value", "title",
 _add("search_sort_attribute", _page('[value="der"]', 1, ("lang", "sort_key", "p1")), _page_sql("value = 'der'", "lang NULLS LAST, sort_key, p1", 1))
 _add(
     "search_total",
-    lambda s, d: compile_query(build_catalog(s, d), '[value="the"] BEFORE(m=3) [value="of"]').agg(F.count(F.lit(1)).alias("total")),
+    lambda s, d: compile_query(index_of(s, d).catalog(), '[value="the"] BEFORE(m=3) [value="of"]').agg(F.count(F.lit(1)).alias("total")),
     _with(f"SELECT count(*) AS total FROM ({SQL['loc_before'].rpartition(chr(10))[2]})"),
 )
 
 
 def _kwic(spark: SparkSession, sf_dir: str) -> DataFrame:
-    c = build_catalog(spark, sf_dir)
+    c = index_of(spark, sf_dir).catalog()
     hits = compile_query(c, '[value="the"] BEFORE(m=0) [value="of"]')
     return search.flat_kwic(search.kwic(hits, c, 3), 3).select("id", "c_3", "c_2", "c_1", "value", "c1", "c2", "c3")
 
@@ -287,59 +308,47 @@ _WORD_COLUMNS = "id, lemma_id, value, reversed_value, language, pos, lemma, coun
 _BINS = """ranges AS (SELECT min(n_chars) AS lo, max(n_chars) AS hi, (max(n_chars) - min(n_chars)) / 3.0::DOUBLE AS w FROM documents),
 binned AS (SELECT doc_id, least(floor((n_chars - lo) / w), 2) AS k, lo, hi, w FROM documents, ranges),
 labelled AS (SELECT doc_id, round(100 * (lo + k * w))::BIGINT AS a, round(100 * CASE WHEN k = 2 THEN hi ELSE lo + (k + 1) * w END)::BIGINT AS b FROM binned),
-bins AS (SELECT doc_id AS document_id, 'date_value' AS name, """ + " || ':' || ".join(f"({x} // 100)::VARCHAR || CASE WHEN {x} % 100 = 0 THEN '' ELSE '.' || rtrim(lpad(({x} % 100)::VARCHAR, 2, '0'), '0') END" for x in "ab") + """ AS value FROM labelled),
+bins AS (SELECT doc_id AS document_id, unnest(['date_value', 'n_chars']) AS name, """ + " || ':' || ".join(f"({x} // 100)::VARCHAR || CASE WHEN {x} % 100 = 0 THEN '' ELSE '.' || rtrim(lpad(({x} % 100)::VARCHAR, 2, '0'), '0') END" for x in "ab") + """ AS value FROM labelled),
 pairs AS (SELECT document_id, name, value FROM doc_attr WHERE name <> 'n_chars' UNION SELECT doc_id, 'author', source FROM documents WHERE source IS NOT NULL UNION SELECT * FROM bins)"""
 
 
-def _words(c: Catalog) -> DataFrame:
-    return words.build_words(words.index_tokens(c))
-
-
-def _document_pairs(c: Catalog) -> DataFrame:
-    return words.document_pairs(c, {"date_value": 3}, excluded=("date", "n_chars"))
-
-
-def _counts(c: Catalog) -> DataFrame:
-    return words.count_words(words.index_tokens(c), _document_pairs(c))
-
-
 _split = tuple(_WORD_COLUMNS.split(", "))
 _lemma_columns = ("id", "value", "reversed_value", "language", "pos", "count")
-_add("word_build", _columns(_words, *_split), _with(f"SELECT {_WORD_COLUMNS} FROM words", _INDEXED, _WORDS))
-_add("lemma_build", _columns(lambda c: words.build_lemmata(_words(c)), *_lemma_columns), _with(f"SELECT {', '.join(_lemma_columns)} FROM lemmata", _INDEXED, _WORDS, _LEMMATA))
+_add("word_build", _columns(lambda c: words.build_words(words.index_tokens(c)), *_split), _with(f"SELECT {_WORD_COLUMNS} FROM words", _INDEXED, _WORDS))
+_add("lemma_build", _columns(lambda c: words.build_lemmata(words.build_words(words.index_tokens(c))), *_lemma_columns), _with(f"SELECT {', '.join(_lemma_columns)} FROM lemmata", _INDEXED, _WORDS, _LEMMATA))
 _add(
     "word_assign",
-    _columns(lambda c: words.assign_words(c.span, _words(c)).fillna(-1, ["word_id", "lemma_id"]), "id", "word_id", "lemma_id"),
+    _indexed(lambda x: words.assign_words(x.token_spans(), x.word()).fillna(-1, ["word_id", "lemma_id"]), "id", "word_id", "lemma_id"),
     _with(
         "SELECT t.id, coalesce(w.id, -1) AS word_id, coalesce(w.lemma_id, -1) AS lemma_id FROM tok AS t LEFT JOIN words AS w ON t.language IS NOT DISTINCT FROM w.language AND t.pos IS NOT DISTINCT FROM w.pos AND lower(t.value) = w.value AND lower(t.lemma) = w.lemma",
         _INDEXED,
         _WORDS,
     ),
 )
-_add("doc_pairs", _columns(lambda c: words.distinct_pairs(_document_pairs(c)), "name", "value"), "WITH " + document_attributes_sql() + ",\n" + _BINS + " SELECT DISTINCT name, value FROM pairs")
-_add("doc_bins", _columns(lambda c: _document_pairs(c).filter("name = 'date_value'"), "document_id", "name", "value"), "WITH " + document_attributes_sql() + ",\n" + _BINS + " SELECT document_id, name, value FROM bins")
+_add("doc_pairs", _indexed(lambda x: words.distinct_pairs(x.document_pairs()), "name", "value"), "WITH " + document_attributes_sql() + ",\n" + _BINS + " SELECT DISTINCT name, value FROM pairs")
+_add("doc_bins", _indexed(lambda x: x.document_pairs().filter("name IN ('date_value', 'n_chars')"), "document_id", "name", "value"), "WITH " + document_attributes_sql() + ",\n" + _BINS + " SELECT document_id, name, value FROM bins")
 _COUNTED = f"counted AS (SELECT {_WORD_ID} AS word_id, {_LEMMA_ID} AS lemma_id, p.name AS doc_attr_name, p.value AS doc_attr_value, n FROM (SELECT document_id, language, value, pos, lemma, count(*) AS n FROM indexed GROUP BY ALL) AS i JOIN (SELECT document_id AS d, name, value FROM pairs) AS p ON d = document_id)"
 _COUNTED = _COUNTED.replace(_WORD_ID, stable_id_sql("i.language", "i.value", "i.pos", "i.lemma")).replace(_LEMMA_ID, stable_id_sql("i.pos", "i.language", "i.lemma"))
 _add(
     "word_counts",
-    _columns(_counts, "word_id", "lemma_id", "doc_attr_name", "doc_attr_value", "count"),
+    _indexed(lambda x: words.count_words(words.index_tokens(x.catalog()), x.document_pairs()), "word_id", "lemma_id", "doc_attr_name", "doc_attr_value", "count"),
     _with("SELECT word_id, lemma_id, doc_attr_name, doc_attr_value, sum(n)::BIGINT AS count FROM counted GROUP BY ALL", _INDEXED, document_attributes_sql(), _BINS, _COUNTED),
 )
 _add(
     "lemma_counts",
-    _columns(lambda c: words.count_lemmata(_counts(c)), "lemma_id", "doc_attr_name", "doc_attr_value", "count"),
+    _indexed(lambda x: x.lemma_count(), "lemma_id", "doc_attr_name", "doc_attr_value", "count"),
     _with("SELECT lemma_id, doc_attr_name, doc_attr_value, sum(n)::BIGINT AS count FROM counted GROUP BY ALL", _INDEXED, document_attributes_sql(), _BINS, _COUNTED),
 )
 
 
-def _distribution(c: Catalog) -> DataFrame:
-    key = words.stable_id(F.lit("en"), F.lit("the"), F.lit(None).cast("string"), F.lit("the"))
-    return _counts(c).filter((F.col("word_id") == key) & (F.col("doc_attr_name") == "author")).select("doc_attr_value", "count")
+def _distribution(x: Index) -> DataFrame:
+    the = x.word().filter("value = 'the' AND lemma = 'the' AND language = 'en' AND pos IS NULL").select("id").first()
+    return words.token_distribution(x.word_count(), "author", word=the["id"] if the else -1)
 
 
 _add(
     "token_distribution",
-    _columns(_distribution, "doc_attr_value", "count"),
+    _indexed(_distribution, "doc_attr_value", "count"),
     _with("SELECT source AS doc_attr_value, count(*) AS count FROM indexed JOIN documents ON doc_id = document_id WHERE value = 'the' AND lemma = 'the' AND language = 'en' AND source IS NOT NULL AND pos IS NULL GROUP BY source", _INDEXED),
 )
 _BROWSE: dict[str, tuple[dict, str, str]] = {
@@ -349,29 +358,47 @@ _BROWSE: dict[str, tuple[dict, str, str]] = {
     "word_browse_ranges": ({"min_length": 5, "max_length": 8, "min_count": 3, "max_count": 50, "language": "en"}, "length(value) BETWEEN 5 AND 8 AND count BETWEEN 3 AND 50 AND language = 'en'", "value, id"),
 }
 for _name, (_filter, _c, _o) in _BROWSE.items():
-    _add(_name, _columns(lambda c, f=_filter: words.browse(_words(c), **f), *_split), _with(f"SELECT {_WORD_COLUMNS} FROM words WHERE {_c} ORDER BY {_o}", _INDEXED, _WORDS))
-_add("word_browse_top", _columns(lambda c: words.browse(_words(c), sort="count", descending=True, page=1), *_split), _with(f"SELECT {_WORD_COLUMNS} FROM words ORDER BY count DESC, value, id LIMIT 20", _INDEXED, _WORDS))
+    _add(_name, _indexed(lambda x, f=_filter: words.browse(x.word(), **f), *_split), _with(f"SELECT {_WORD_COLUMNS} FROM words WHERE {_c} ORDER BY {_o}", _INDEXED, _WORDS))
+_add("word_browse_top", _indexed(lambda x: words.browse(x.word(), sort="count", descending=True, page=1), *_split), _with(f"SELECT {_WORD_COLUMNS} FROM words ORDER BY count DESC, value, id LIMIT 20", _INDEXED, _WORDS))
 _add(
     "lemma_browse",
-    _columns(lambda c: words.browse(words.build_lemmata(_words(c)), "re%", min_count=2), *_lemma_columns),
+    _indexed(lambda x: words.browse(x.lemma(), "re%", min_count=2), *_lemma_columns),
     _with(f"SELECT {', '.join(_lemma_columns)} FROM lemmata WHERE value LIKE 're%' AND count >= 2", _INDEXED, _WORDS, _LEMMATA),
 )
+def _of_lemma(x: Index) -> DataFrame:
+    the = x.lemma().filter("value = 'the' AND language = 'en' AND pos IS NULL").select("id").first()
+    return words.browse(x.word(), lemma_id=the["id"] if the else -1)
+
+
+_add("word_browse_lemma", _indexed(_of_lemma, *_split), _with(f"SELECT {_WORD_COLUMNS} FROM words WHERE lemma_id = {stable_id_sql('NULL', repr('en'), repr('the'))} ORDER BY value, id", _INDEXED, _WORDS))
 _add(
     "statistics",
-    _columns(words.statistics, "name", "value"),
+    _indexed(lambda x: words.statistics(x.whole()), "name", "value"),
     _with(
-        """, s AS (SELECT 'document' AS name, count(*)::DOUBLE AS value FROM documents
-  UNION ALL SELECT 'document_attribute', count(*) FROM doc_attr
-  UNION ALL SELECT 'corpus', count(DISTINCT c) FROM corpora
-  UNION ALL SELECT 'document_corpus', count(*) FROM corpora WHERE c IS NOT NULL
-  UNION ALL SELECT 'span.tok', count(*) FROM tok
-  UNION ALL SELECT 'document@' || name, count(*) FROM doc_attr GROUP BY name
-  UNION ALL SELECT 'span@' || name, count(*) FROM attr GROUP BY name)
-SELECT * FROM s UNION ALL SELECT 'document_tok_ratio', (SELECT value FROM s WHERE name = 'span.tok') / (SELECT value FROM s WHERE name = 'document')
-UNION ALL SELECT 'span_tok_attribute_count_ratio', (SELECT sum(value) FROM s WHERE starts_with(name, 'span@')) / (SELECT value FROM s WHERE name = 'span.tok')""".removeprefix(", "),
+        """SELECT * FROM s UNION ALL SELECT x || '_ratio', (SELECT value FROM s WHERE name = x) / (SELECT value FROM s WHERE name = y)
+FROM (VALUES ('document_attribute_count', 'document_count'), ('span_attribute_count', 'span_count'), ('span_tok_attribute_count', 'span.tok')) AS r(x, y)""",
         document_attributes_sql(),
         "corpora AS (SELECT doc_id, 'lang-' || lower(lang) AS c FROM documents UNION ALL SELECT doc_id, 'src-' || lower(source) FROM documents)",
-    ).replace("documents)\ns AS", "documents),\ns AS"),
+        _INDEXED,
+        _WORDS,
+        _LEMMATA,
+        """s AS (SELECT 'document_count' AS name, count(*)::DOUBLE AS value FROM documents
+  UNION ALL SELECT 'document_attribute_count', count(*) FROM doc_attr
+  UNION ALL SELECT 'corpus_count', count(DISTINCT c) FROM corpora
+  UNION ALL SELECT 'profile_count', 0
+  UNION ALL SELECT 'span_count', (SELECT count(*) FROM tok) + (SELECT count(*) FROM par) + (SELECT count(*) FROM snt)
+  UNION ALL SELECT 'span_attribute_count', (SELECT count(*) FROM attr) + (SELECT count(*) FROM par) + (SELECT count(*) FROM snt)
+  UNION ALL SELECT 'span_tok_attribute_count', count(*) FROM attr
+  UNION ALL SELECT 'word_count', count(*) FROM words
+  UNION ALL SELECT 'lemma_count', count(*) FROM lemmata
+  UNION ALL SELECT 'span.tok', count(*) FROM tok
+  UNION ALL SELECT 'span.par', count(*) FROM par
+  UNION ALL SELECT 'span.snt', count(*) FROM snt
+  UNION ALL SELECT '@' || name, count(*) FROM doc_attr GROUP BY name
+  UNION ALL SELECT '@' || name, count(*) FROM attr GROUP BY name
+  UNION ALL SELECT '@n', (SELECT count(*) FROM par) + (SELECT count(*) FROM snt))""",
+        full=True,
+    ),
 )
 
 # documents and corpora
@@ -386,8 +413,8 @@ for _name, (_f, _c) in _DOCUMENT_FILTERS.items():
     _add(_name, _columns(lambda c, f=_f: corpora.get_documents(c, f), "id", "author", "title", "date_value"), f"SELECT doc_id AS id, source AS author, 'doc-' || doc_id AS title, n_chars::DOUBLE AS date_value FROM documents WHERE {_c}")
 _add("doc_page", _columns(lambda c: corpora.get_documents(c, corpora.DocumentFilter(), "date", True, page=2), "id", "date_value"), "SELECT doc_id AS id, n_chars::DOUBLE AS date_value FROM documents ORDER BY n_chars DESC, source DESC, 'doc-' || doc_id DESC, doc_id LIMIT 20 OFFSET 20")
 _add("doc_sort_keys", _columns(lambda c: c.document, "id", "sort_key"), f"WITH {_DOCS} SELECT doc_id AS id, sort_key FROM docs")
-_add("doc_attribute_names", _columns(lambda c: corpora.attribute_names(c, "T"), "name"), "SELECT unnest(['quality', 'toxic']) AS name")
-_add("doc_attribute_info", _columns(corpora.attribute_info, "name", "type"), "SELECT unnest(['author', 'title', 'date_value', 'sort_key', 'source', 'profile_id', 'lang', 'n_chars', 'quality', 'toxic']) AS name, unnest([0, 0, 1, 0, 0, 0, 0, 1, 1, 1]) AS type")
+_add("doc_attribute_names", _columns(lambda c: corpora.attribute_names(c, "T"), "name"), "WITH " + document_attributes_sql() + " SELECT DISTINCT name FROM doc_attr WHERE contains(lower(name), 't')")
+_add("doc_attribute_info", _columns(corpora.attribute_info, "name", "type"), "WITH " + document_attributes_sql() + " SELECT DISTINCT name, (name <> 'lang')::INT AS type FROM doc_attr UNION ALL SELECT unnest(['author', 'title', 'date_value', 'sort_key', 'source', 'profile_id']), unnest([0, 0, 1, 0, 0, 0])")
 _add(
     "corpus_list",
     _columns(lambda c: corpora.get_corpora(c, prefix="src-"), "id", "n_documents"),
@@ -410,16 +437,6 @@ _add(
     _columns(lambda c: corpora.add_corpus(c, "all-de", source="lang-de").document_corpus.filter("corpus_id = 'all-de'"), "corpus_id", "document_id"),
     "SELECT 'all-de' AS corpus_id, doc_id AS document_id FROM documents WHERE lower(lang) = 'de'",
 )
-_add(
-    "char_ranges",
-    lambda s, d: corpora.positions_of_ranges(
-        build_catalog(s, d, offsets=True).span,
-        table(s, d, "documents").select(F.col("doc_id").alias("document_id"), F.lit(0).alias("range_id"), F.lit(100).alias("start"), F.lit(6000).alias("end")),
-    ).select("document_id", "p1", "p2"),
-    _with("SELECT doc_id AS document_id, min(p1) AS p1, max(p2) AS p2 FROM documents LEFT JOIN tok ON document_id = doc_id AND index >= 100 AND index < 6000 GROUP BY doc_id", full=True),
-)
-
-
 def _tiles(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Ranges of 6000 characters that cover each whole text."""
     n = F.greatest(F.coalesce(F.length("text"), F.lit(0)), F.lit(1))
@@ -430,8 +447,8 @@ def _tiles(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 _add(
-    "char_ranges_all",
-    lambda s, d: corpora.positions_of_ranges(build_catalog(s, d, offsets=True).span, _tiles(s, d)).select("document_id", "range_id", "p1", "p2"),
+    "char_ranges",
+    lambda s, d: corpora.positions_of_ranges(index_of(s, d).token_spans(), _tiles(s, d)).select("document_id", "range_id", "p1", "p2"),
     _with(
         "SELECT doc_id AS document_id, (start // 6000)::INT AS range_id, min(p1) AS p1, max(p2) AS p2 FROM tiles LEFT JOIN tok ON document_id = doc_id AND index >= start AND index < start + 6000 GROUP BY doc_id, start",
         "tiles AS (SELECT doc_id, unnest(range(0, greatest(coalesce(length(text), 0), 1), 6000)) AS start FROM documents)",
@@ -442,16 +459,21 @@ _add(
 # lexicon: the words of the collection
 
 
-def _lexicon(c: Catalog) -> DataFrame:
-    return words.build_words(words.index_tokens(c)).groupBy("value").agg(F.min("id").alias("id"), F.min("lemma").alias("lemma")).select("id", "value", F.col("value").alias("text"), "lemma", F.lit("X").alias("pos"))
+def _lexicon(x: Index) -> DataFrame:
+    return x.word().groupBy("value").agg(F.min("id").alias("id"), F.min("lemma").alias("lemma")).select("id", "value", F.col("value").alias("text"), "lemma", F.lit("X").alias("pos"))
 
 
-for _mode, _text, _c in (("exact", "nation", "value = 'nation'"), ("prefix", "CON", "starts_with(value, 'con')"), ("suffix", "ing", "ends_with(value, 'ing')"), ("substring", "atio", "contains(value, 'atio')")):
-    _add(f"lookup_{_mode}", _columns(lambda c, m=_mode, t=_text: lexicon.find(_lexicon(c), t, m), "value", "lemma"), _with(f"SELECT value, min(lemma) AS lemma FROM words WHERE {_c} GROUP BY value", _INDEXED, _WORDS))
-_add("lookup_fuzzy", _columns(lambda c: lexicon.find(_lexicon(c), "nation", "fuzzy", 0.7), "value", "lemma"))
-_add("lookup_join", _columns(lambda c: lexicon.lookup(_lexicon(c), c.span.filter("p1 = 1").select("value")), "value", "lemma"), _with("SELECT value, min(lemma) AS lemma FROM words WHERE value IN (SELECT value FROM tok WHERE p1 = 1) GROUP BY value", _INDEXED, _WORDS))
-_add("lookup_join_all", _columns(lambda c: lexicon.lookup(_lexicon(c), c.span.filter("type = 'tok'").select("value")), "value", "lemma"), _with("SELECT value, min(lemma) AS lemma FROM words WHERE value IN (SELECT value FROM tok) GROUP BY value", _INDEXED, _WORDS))
-_add("word_check", _columns(lambda c: lexicon.check_words(c.span.select("value", F.lit(None).cast("string").alias("pos")), _lexicon(c).filter("length(value) > 4")), "value", "code", "data"))
+_LOOKUPS = {
+    "exact": ("the", 0.8, "value = 'the'"),
+    "prefix": ("CON", 0.8, "starts_with(value, 'con')"),
+    "suffix": ("ing", 0.8, "ends_with(value, 'ing')"),
+    "substring": ("atio", 0.8, "contains(value, 'atio')"),
+    "fuzzy": ("nation", 0.65, "abs(length(value) - 6) <= 2 AND 1 - damerau_levenshtein(value, 'nation') / greatest(length(value), 6) >= 0.65"),
+}
+for _mode, (_text, _t, _c) in _LOOKUPS.items():
+    _add(f"lookup_{_mode}", _indexed(lambda x, m=_mode, t=_text, v=_t: lexicon.find(_lexicon(x), t, m, v), "value", "lemma"), _with(f"SELECT value, min(lemma) AS lemma FROM words WHERE {_c} GROUP BY value", _INDEXED, _WORDS))
+_add("lookup_join", _indexed(lambda x: lexicon.lookup(_lexicon(x), x.token_spans().select("value")), "value", "lemma"), _with("SELECT value, min(lemma) AS lemma FROM words WHERE value IN (SELECT value FROM tok) GROUP BY value", _INDEXED, _WORDS))
+_add("word_check", _indexed(lambda x: lexicon.check_words(x.token_spans().select("value", F.lit(None).cast("string").alias("pos")), _lexicon(x)), "value", "code", "data"))
 
 
 def queries() -> dict[str, Query]:

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from spanforge.analysis.tokens import full_tokens
+from spanforge.runtime import delete
 
 BUCKETS = 64
 
@@ -43,12 +44,17 @@ def merge_batch(spark: SparkSession, docs: DataFrame, path: str, buckets: int =
         exists = folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(folder)
         merged = new
         if exists:
-            old = spark.read.parquet(path).filter(F.col("bucket").isin(*numbers))
+            old = spark.read.schema(new.schema).parquet(path).filter(F.col("bucket").isin(*numbers))
             merged = old.join(touched.select("document_id"), "document_id", "left_anti").select(*new.columns).unionByName(new)
-        staged = f"{path}.staged"
+        staged = f"{path.rstrip('/')}.staged"
         merged.repartition("bucket").sortWithinPartitions("document_id", "p1").write.mode("overwrite").partitionBy("bucket").parquet(staged)
         rows = spark.read.schema(new.schema).parquet(staged)
         rows.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("bucket").parquet(path)
+        # buckets that come out empty have no rows to overwrite what they had
+        left = {r["bucket"] for r in rows.select("bucket").distinct().collect()}
+        for b in set(numbers) - left:
+            delete(spark, f"{path}/bucket={b}")
+        delete(spark, staged)
     finally:
         docs.unpersist()
 
