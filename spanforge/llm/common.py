@@ -1,72 +1,25 @@
-"""What the operators of this subpackage share: the shared folder, shipping of code, tables and prefix sums."""
+"""What the operators of this subpackage share: tables, buckets, chunks and prefix sums."""
 
 from __future__ import annotations
 
 import math
-import os
-import tempfile
-import uuid
-import zipfile
 from collections.abc import Callable, Sequence
-from pathlib import Path
 
 import numpy as np
 from pyspark.ml.feature import Bucketizer
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from spanforge.runtime import shared_dir, shared_path, ship
+
+__all__ = ["shared_dir", "shared_path", "ship"]
+
 #: Rows of a chunk in a two-level prefix sum; a chunk is what one task sorts.
 CHUNK_ROWS = 4096
 #: Chunks that the driver finds bounds for at most, and how many sampled keys it uses for each (8 bytes a key).
 CHUNKS, CHUNK_SAMPLE = 1 << 16, 16
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that all executors share (spark.checkpoint.dir), with reliable checkpoints going there too.
-
-    Only where the session names none, as in tests on one machine, a temporary folder is made."""
-    sc = spark.sparkContext
-    named = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir")
-    current = sc._jsc.sc().getCheckpointDir()
-    if named:
-        if not current.isDefined():
-            sc.setCheckpointDir(named)
-        return named
-    if not current.isDefined():
-        sc.setCheckpointDir(tempfile.mkdtemp(prefix="shared-"))
-        current = sc._jsc.sc().getCheckpointDir()
-    return os.path.dirname(current.get())
-
-
-def shared_path(spark: SparkSession, kind: str) -> str:
-    """A new folder of the file system in the shared folder, for files that workers map into memory."""
-    base = shared_dir(spark)
-    if base.startswith("file:"):
-        base = "/" + base[5:].lstrip("/")
-    if "://" in base:
-        raise ValueError(f"spark.checkpoint.dir must be mounted on every machine, not {base}")
-    path = os.path.join(base, f"{kind}-{uuid.uuid4().hex}")
-    os.makedirs(path)
-    return path
-
-
-_shipped: set[str] = set()
-
-
-def ship(spark: SparkSession) -> None:
-    """Sends this package to the executors once per application, wherever the driver imported it from."""
-    sc = spark.sparkContext
-    if sc.applicationId in _shipped:
-        return
-    package = Path(__file__).resolve().parents[1]
-    target = os.path.join(shared_path(spark, "code"), f"{package.name}.zip")
-    with zipfile.ZipFile(target, "w") as z:
-        for p in sorted(package.rglob("*.py")):
-            z.write(p, p.relative_to(package.parent))
-    sc.addPyFile(target)
-    _shipped.add(sc.applicationId)
-
-
 def checkpoint(df: DataFrame) -> DataFrame:
     """Cuts lineage with a copy in the shared folder, which outlives the loss of executors."""
     shared_dir(df.sparkSession)
