@@ -1,19 +1,25 @@
 """Toxicity by weak supervision: voters, a generative label model, and a linear classifier on its posterior labels.
 
-1. Voters.  A lexicon voter fires on a word, a pattern voter on words that begin with some bytes, either on one such word
-   or only where such words are dense (`DENSE`), as beginnings that are mere chance in a long text aren't.  Besides a
-   seed lexicon, voters are found for each language among a bounded sample of labelled rows (`MAX_LABELLED`): what toxic
-   rows have far more often than clean ones, none of them nearly the same as one taken before.
-2. Label model.  The votes on all documents are counted in Spark by language and combination.  For each language, EM
-   fits a latent class: how common it is, how often each voter fires inside and outside it (its accuracy), and then the
-   correlations of voters within the classes; a voter that repeats what others say counts for less in the posterior.
+1. Voters.  A lexicon voter fires on a word or on words that begin with some bytes, either on one such word or only where they are
+   dense (`DENSE`), as beginnings that are mere chance in a long text aren't.  Besides a seed lexicon, voters are found for each
+   language among a bounded sample of labelled rows (`MAX_LABELLED`, `MAX_TEXT`): what toxic rows have far more often than clean
+   ones, none of them nearly the same as one taken before, and at most `VOTERS` a language.  Pattern voters fire on a second person
+   shortly before a word of the seed lexicon, and on runs of exclamation marks.
+2. Label model.  The votes on all documents are counted in Spark by language and combination.  For each language, EM fits a latent
+   class whose voters depend on each other: in each class a voter fires with a rate (its accuracy) given whether the one that it
+   depends on has fired, and which it depends on is the tree of the strongest correlations within the classes (those that are no
+   chance).  Rates, correlations and the tree are estimated together in each round, so voters that repeat each other bring their
+   evidence once.
 3. Classifier.  The posterior of the sampled rows, not their labels, trains a logistic regression over the presence and
-   density of hashed words and beginnings of words.  It needs no language and scores all documents, whole, in Arrow batches.
+   density of hashed words and beginnings of words, at most `FEATURES` of them.  It needs no language and scores all documents,
+   whole, in Arrow batches.
+
+The sample has one text of each id (the shortest, then the first in the alphabet), none longer than a 64th of `MAX_TEXT`.
 
 Defined cases: null and empty texts have no features and the score of the intercept, which is not toxic; null languages form
 a group that uses the voters of the pooled sample, as do languages with few toxic labels; null ids are scored too; rows
-that repeat get the same score; without labels only the seed lexicon votes, and without any posterior positive nothing is
-toxic; an empty table gives an empty one; `keep_clean` keeps all columns of the rows that it keeps.
+that repeat get the same score; without labels only the seed lexicon and the patterns vote, and without any posterior positive
+nothing is toxic; an empty table gives an empty one; `keep_clean` keeps all columns of the rows that it keeps.
 """
 
 from __future__ import annotations
@@ -23,7 +29,7 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from spanforge.llm.common import ship
@@ -31,7 +37,10 @@ from spanforge.llm.textkernel import Block, blocks
 
 #: Labelled rows that voters and classifier are fitted on: those of the least hashes of their ids.
 MAX_LABELLED = 8_000
+#: Characters of the sample's texts, in the same order.
+MAX_TEXT = 64 << 20
 VOTERS = 14
+FEATURES = 4096
 THRESHOLD = 0.5
 PREFIXES = (4, 5, 6, 7, 8)
 #: A feature is dense in a document that has it so often and in such a share of its words.
@@ -40,6 +49,11 @@ SEED_LEXICON = (
     "idiot moron imbecile stupid dumb pathetic worthless loser scum trash disgusting clown filth vermin retard bastard "
     "asshole bitch whore slut cunt fuck fucking shit bullshit motherfucker"
 ).split()
+SECOND_PERSON = "you your youre yourself u ur du dich dir dein deine ihr euch vous tu te toi ton ta tes votre usted tus".split()
+#: Words between a second person and a word of the lexicon, at most.
+NEAR = 3
+#: Voters of each language besides its own: the seed lexicon and the patterns.
+COMMON_VOTERS = 3
 _PREFIX_SALT = np.uint64(0x5851F42D4C957F2D)
 _TABLE = np.uint64((1 << 20) - 1)
 
@@ -93,37 +107,60 @@ class Lookup:
         return np.concatenate([doc, doc[dense]]), np.concatenate([feature, feature[dense] + self.n])
 
 
+def patterns(block: Block, seeds: np.ndarray, second: np.ndarray) -> np.ndarray:
+    """For each document the bits of the seed lexicon (1), a second person shortly before one of its words (2), and !! (4)."""
+    out = np.zeros(block.n_docs, np.int64)
+    starts, ends, docs = block.words()
+    if len(starts):
+        h = block.hash_ranges(starts, ends)
+        maybe = np.zeros(int(_TABLE) + 1, bool)
+        maybe[np.concatenate([seeds, second]) & _TABLE] = True
+        some = np.flatnonzero(maybe[h & _TABLE])
+        at, you = some[np.isin(h[some], seeds)], np.zeros(len(h), bool)
+        you[some[np.isin(h[some], second)]] = True
+        out[docs[at]] |= 1
+        for k in range(1, NEAR + 1):
+            before = at[at >= k]
+            hit = before[you[before - k] & (docs[before - k] == docs[before])]
+            out[docs[hit]] |= 2
+    shout = np.flatnonzero((block.data[:-1] == 33) & (block.data[1:] == 33))
+    of = np.searchsorted(block.offsets, shout, side="right") - 1
+    out[of[shout + 1 < block.offsets[of + 1]]] |= 4
+    return out
+
+
 @dataclass
 class Voters:
     """For each language ('' for the others) its voters: hash, whether it must be dense, how often it fires in toxic
-    and in clean sampled rows.  The seed lexicon is one more voter of each, the last."""
+    and in clean sampled rows.  The seed lexicon and the patterns are more voters of each, the last."""
 
     by_lang: dict[str, list[tuple[np.uint64, bool, float, float]]] = field(default_factory=dict)
     seeds: np.ndarray = field(default_factory=lambda: np.zeros(0, np.uint64))
-    seed_rates: dict[str, tuple[float, float]] = field(default_factory=dict)
+    second: np.ndarray = field(default_factory=lambda: np.zeros(0, np.uint64))
+    common_rates: dict[str, list[tuple[float, float]]] = field(default_factory=dict)
 
     def rates(self, lang: str) -> np.ndarray:
         """Outside and inside the class, a column for each voter."""
-        own = [(base, rate) for _, _, rate, base in self.by_lang[lang]] + [self.seed_rates.get(lang, (1e-4, 0.3))]
+        own = [(base, rate) for _, _, rate, base in self.by_lang[lang]] + self.common_rates.get(lang, [(1e-4, 0.3), (1e-5, 0.1), (1e-2, 0.03)])
         return np.clip(np.array(own).T, 1e-4, 1 - 1e-4)
 
     def prepare(self) -> tuple[Lookup, dict[str, int], np.ndarray]:
         """The lookup of all features, the number of each language, and the bit of each feature by language."""
-        lookup = Lookup(np.concatenate([self.seeds, *(np.array([v[0] for v in own], np.uint64) for own in self.by_lang.values())]))
+        lookup = Lookup(np.concatenate([np.zeros(0, np.uint64), *(np.array([v[0] for v in own], np.uint64) for own in self.by_lang.values())]))
         rows = {lang: k for k, lang in enumerate(sorted(self.by_lang))}
         bits = np.zeros((len(rows), 2 * lookup.n), np.int64)
         for lang, k in rows.items():
             own = self.by_lang[lang]
-            bits[k, lookup.number(self.seeds, np.zeros(len(self.seeds), int))] |= 1 << len(own)
             for b, (h, dense, _, _) in enumerate(own):
                 bits[k, lookup.number(h, int(dense))] |= 1 << b
         return lookup, rows, bits
 
 
-def votes_of(block: Block, langs: list, lookup: Lookup, rows: dict[str, int], bits: np.ndarray) -> np.ndarray:
+def votes_of(block: Block, langs: list, voters: Voters, lookup: Lookup, rows: dict[str, int], bits: np.ndarray) -> np.ndarray:
     """For each document the set of its voters that fire, as bits."""
     group = np.array([rows.get(x or "", rows[""]) for x in langs], int)
-    out = np.zeros(block.n_docs, np.int64)
+    own = np.array([len(voters.by_lang[x]) for x in sorted(rows, key=rows.get)], int)
+    out = patterns(block, voters.seeds, voters.second) << own[group]
     docs, feature = lookup.hits(block)
     np.bitwise_or.at(out, docs, bits[group[docs], feature])
     return out
@@ -143,7 +180,7 @@ def _candidates(texts: pa.Array, rows: np.ndarray, least: float) -> np.ndarray:
 
 def mine_voters(sample: pa.Table) -> Voters:
     """Voters from labelled rows (text, lang, toxic)."""
-    voters = Voters({}, np.unique(word_hashes(SEED_LEXICON)))
+    voters = Voters({}, np.unique(word_hashes(SEED_LEXICON)), np.unique(word_hashes(SECOND_PERSON)))
     langs = [x or "" for x in sample["lang"].to_pylist()]
     toxic = sample["toxic"].to_numpy() == 1
     texts = sample["text"].combine_chunks() if sample.num_rows else pa.array([], pa.string())
@@ -152,20 +189,22 @@ def mine_voters(sample: pa.Table) -> Voters:
         yes, no = np.flatnonzero(member & toxic), np.flatnonzero(member & ~toxic)
         if len(yes) < 5 and lang:
             continue
-        lookup = Lookup(np.concatenate([voters.seeds, _candidates(texts, yes, max(3, 0.03 * len(yes)))]))
+        lookup = Lookup(_candidates(texts, yes, max(3, 0.03 * len(yes))))
         hits: list[tuple[np.ndarray, np.ndarray]] = []
         for b in blocks(texts.take(pa.array(yes))):
             d, f = lookup.hits(b)
             hits.append((d + b.first, f))
         doc, feature = (np.concatenate(x) for x in zip(*hits)) if hits else (np.zeros(0, int), np.zeros(0, int))
-        inside, outside, seeded = np.bincount(feature, minlength=2 * lookup.n), np.zeros(2 * lookup.n), 0
-        seeds = lookup.number(voters.seeds, np.zeros(len(voters.seeds), int))
+        inside, outside = np.bincount(feature, minlength=2 * lookup.n), np.zeros(2 * lookup.n)
         for b in blocks(texts.take(pa.array(no))):
-            d, f = lookup.hits(b)
-            outside += np.bincount(f, minlength=2 * lookup.n)
-            seeded += len(np.unique(d[np.isin(f, seeds)]))
+            outside += np.bincount(lookup.hits(b)[1], minlength=2 * lookup.n)
+        fired = [np.zeros(COMMON_VOTERS), np.zeros(COMMON_VOTERS)]
+        for c, rows in enumerate((no, yes)):
+            for b in blocks(texts.take(pa.array(rows))):
+                mask = patterns(b, voters.seeds, voters.second)
+                fired[c] += [(mask >> k & 1).sum() for k in range(COMMON_VOTERS)]
         rate, base = inside / max(len(yes), 1), (outside + 0.5) / (len(no) + 1)
-        voters.seed_rates[lang] = (seeded + 0.1) / (len(no) + 1), (len(np.unique(doc[np.isin(feature, seeds)])) + 0.1) / (len(yes) + 1)
+        voters.common_rates[lang] = [((a + 0.1) / (len(no) + 1), (z + 0.1) / (len(yes) + 1)) for a, z in zip(*fired)]
         good = np.flatnonzero((rate / base >= 12) & (rate >= 0.1))
         order = np.lexsort((feature,))
         starts = np.searchsorted(feature[order], np.arange(2 * lookup.n + 1))
@@ -186,50 +225,85 @@ def mine_voters(sample: pa.Table) -> Voters:
 
 @dataclass
 class LabelModel:
-    """Of one language: prior of the toxic class, rates of firing outside and inside it, correlations, weights."""
+    """Of one language: prior of the toxic class; outside and inside it the rate of each voter and how often each two fire together;
+    for each voter the one that it depends on, or -1."""
 
     prior: float
     rates: np.ndarray
-    correlations: np.ndarray
-    weights: np.ndarray
+    joint: np.ndarray
+    parents: np.ndarray
 
     def posterior(self, masks: np.ndarray) -> np.ndarray:
-        fired = (masks[:, None] >> np.arange(len(self.weights))) & 1
-        ratio = np.log(self.rates[1] / self.rates[0]), np.log((1 - self.rates[1]) / (1 - self.rates[0]))
-        evidence = np.where(fired == 1, ratio[0], ratio[1]) * self.weights
-        logit = np.log(self.prior / (1 - self.prior)) + evidence.sum(axis=1)
+        fired = ((masks[:, None] >> np.arange(len(self.parents))) & 1).astype(bool)
+        logit = np.full(len(masks), np.log(self.prior / (1 - self.prior)))
+        for v, p in enumerate(self.parents):
+            given = [self.rates[c, v] if p < 0 else np.where(fired[:, p], self.joint[c, v, p] / self.rates[c, p], (self.rates[c, v] - self.joint[c, v, p]) / (1 - self.rates[c, p])) for c in (0, 1)]
+            outside, inside = (np.clip(g, 1e-5, 1 - 1e-5) for g in given)
+            logit = logit + np.where(fired[:, v], np.log(inside / outside), np.log((1 - inside) / (1 - outside)))
         return 1 / (1 + np.exp(-np.clip(logit, -500, 500)))
 
 
-def fit_label_model(masks: np.ndarray, counts: np.ndarray, rates: np.ndarray, rounds: int = 60) -> LabelModel:
+def strongest_tree(rates: np.ndarray, joint: np.ndarray, weights: np.ndarray) -> np.ndarray:
+    """For each voter its neighbour towards the root in the forest of the largest mutual information within the classes (Chow and Liu);
+    weights: how many documents each class has.  Pairs whose information may be chance aren't joined."""
+    n = rates.shape[1]
+    information = np.zeros((n, n))
+    for c in (0, 1):
+        for i_fires in (True, False):
+            for j_fires in (True, False):
+                a, b = (rates[c] if f else 1 - rates[c] for f in (i_fires, j_fires))
+                both = {(True, True): joint[c], (True, False): rates[c][:, None] - joint[c], (False, True): rates[c] - joint[c], (False, False): 1 - rates[c][:, None] - rates[c] + joint[c]}[i_fires, j_fires]
+                both = np.clip(both, 1e-12, 1)
+                information += weights[c] * both * np.log(both / np.clip(a[:, None] * b, 1e-12, 1))
+    np.fill_diagonal(information, 0)
+    parents = np.full(n, -1)
+    reached = np.zeros(n, bool)
+    best, towards = np.full(n, -np.inf), np.full(n, -1)
+    for _ in range(n):
+        v = int(np.where(reached, -np.inf, best).argmax()) if (~reached & np.isfinite(best)).any() else int(np.flatnonzero(~reached)[0])
+        parents[v] = towards[v] if best[v] > 12 else -1  # nats, of both classes: far above what chance gives
+        reached[v] = True
+        better = information[v] > best
+        best, towards = np.where(better, information[v], best), np.where(better, v, towards)
+    return parents
+
+
+def fit_label_model(masks: np.ndarray, counts: np.ndarray, rates: np.ndarray, rounds: int = 100, dependent: bool = True) -> LabelModel:
     """EM over combinations of votes and how many documents have each, from the given rates outside and inside the class.
 
-    The given rates also weigh as much as a twentieth of the documents, so the class can't drift to another meaning."""
+    The given rates also weigh as much as a twentieth of the documents, so the class can't drift to another meaning.
+    dependent: voters may depend on each other within the classes."""
     n_voters = rates.shape[1]
     fired = ((masks[:, None] >> np.arange(n_voters)) & 1).astype(float)
     n = counts.sum()
-    model = LabelModel(0.1, rates.copy(), np.zeros((2, n_voters, n_voters)), np.ones(n_voters))
+    model = LabelModel(0.1, rates.copy(), rates[:, :, None] * rates[:, None, :], np.full(n_voters, -1))
+    if dependent and n:
+        # what two voters do together more than the given rates explain is where the dependences come from at first
+        together, alone = (fired * counts[:, None]).T @ fired / n, counts @ fired / n
+        share = (alone - rates[0]) / np.maximum(rates[1] - rates[0], 1e-9)
+        model.prior = float(np.clip(np.median(share), 1e-3, 0.5))
+        excess = together - (1 - model.prior) * model.joint[0] - model.prior * model.joint[1]
+        for c in (0, 1):
+            model.joint[c] = np.clip(model.joint[c] + np.maximum(excess, 0), 0, np.minimum(rates[c][:, None], rates[c]))
+        model.parents = strongest_tree(model.rates, model.joint, n * np.array([1 - model.prior, model.prior]))
     q = model.posterior(masks)
-    for _ in range(rounds):
+    for k in range(rounds):
         weight = [counts * (1 - q), counts * q]
         model.prior = float(np.clip(weight[1].sum() / max(n, 1), 1e-4, 0.5))
         for c in (0, 1):
             held = 1 + 0.05 * n * (model.prior if c else 1 - model.prior)
-            model.rates[c] = np.clip((weight[c] @ fired + held * rates[c]) / (weight[c].sum() + held), 1e-5, 1 - 1e-5)
+            total = weight[c].sum() + held
+            model.rates[c] = np.clip((weight[c] @ fired + held * rates[c]) / total, 1e-5, 1 - 1e-5)
+            model.joint[c] = ((fired * weight[c][:, None]).T @ fired + held * np.outer(rates[c], rates[c])) / total
         model.rates[1] = np.maximum(model.rates[1], np.minimum(model.rates[0] * 1.01, 1 - 1e-5))
+        for c in (0, 1):
+            model.joint[c] = np.clip(model.joint[c], np.maximum(0, model.rates[c][:, None] + model.rates[c] - 1), np.minimum(model.rates[c][:, None], model.rates[c]))
+        if dependent and k < rounds // 2:  # then the tree stays, so that EM converges
+            model.parents = strongest_tree(model.rates, model.joint, np.array([w.sum() for w in weight]))
         new = model.posterior(masks)
-        if np.abs(new - q).max(initial=0) < 1e-6:
+        if k > rounds // 2 and np.abs(new - q).max(initial=0) < 1e-6:
             break
         q = new
-    for c, w in enumerate((counts * (1 - q), counts * q)):
-        total = max(w.sum(), 1e-9)
-        centred = fired - (w @ fired) / total
-        cov = (centred * w[:, None]).T @ centred / total
-        sd = np.sqrt(np.maximum(np.diag(cov), 1e-9))
-        model.correlations[c] = cov / np.outer(sd, sd)
-    shared = np.where(model.correlations.max(axis=0) > 0.2, np.clip(model.correlations.max(axis=0), 0, 1), 0)
-    np.fill_diagonal(shared, 0)
-    model.weights = 1 / (1 + shared.sum(axis=1))
     return model
 
 
@@ -247,7 +321,7 @@ class Classifier:
         return 1 / (1 + np.exp(-np.clip(logit, -500, 500)))
 
 
-def train_classifier(texts: pa.Array, posterior: np.ndarray, rounds: int = 300, most: int = 4096) -> Classifier:
+def train_classifier(texts: pa.Array, posterior: np.ndarray, rounds: int = 300, most: int = FEATURES) -> Classifier:
     """Logistic regression on soft labels, over features that the posterior makes likelier in one class."""
     if not len(posterior) or posterior.max() < 0.5:
         return Classifier(np.zeros(0, np.uint64), np.zeros(0), -10.0)
@@ -286,8 +360,10 @@ def train_classifier(texts: pa.Array, posterior: np.ndarray, rounds: int = 300,
     return Classifier(hashes, weights, b0)
 
 
-def labelled_sample(docs: DataFrame, labels: DataFrame, most: int, columns: list[str]) -> pa.Table:
-    """At most so many labelled rows, of the least hashes of their ids: doc_id, the label columns, text and lang."""
+def labelled_sample(docs: DataFrame, labels: DataFrame, most: int, columns: list[str], most_text: int = MAX_TEXT) -> pa.Table:
+    """At most so many labelled rows and characters, of the least hashes of their ids: doc_id, the label columns, text and lang.
+
+    Of an id with several texts the shortest (then first) counts, and texts of more than a 64th of `most_text` don't."""
     ids = (
         labels.select(F.col("doc_id").cast("bigint").alias("__id"), *columns)
         .filter("__id is not null")
@@ -297,8 +373,11 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, most: int, columns: list
         .limit(most)
     )
     lang = F.col("lang") if "lang" in docs.columns else F.lit(None).cast("string")
-    texts = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text", lang.alias("lang"))
-    return texts.join(F.broadcast(ids), F.col("doc_id") == F.col("__id")).select("doc_id", "text", "lang", *columns).toArrow()
+    size = F.coalesce(F.char_length("text"), F.lit(0))
+    texts = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.struct(size.alias("n"), "text", lang.alias("lang")).alias("t")).filter(F.col("t.n") <= most_text // 64)
+    one = texts.join(F.broadcast(ids), F.col("doc_id") == F.col("__id")).groupBy("doc_id", *columns).agg(F.min("t").alias("t"))
+    upto = F.sum("t.n").over(Window.orderBy(F.xxhash64("doc_id"), "doc_id").rowsBetween(Window.unboundedPreceding, 0))  # of at most `most` rows
+    return one.withColumn("__upto", upto).filter(F.col("__upto") <= most_text).select("doc_id", "t.text", "t.lang", *columns).toArrow()
 
 
 def fit(docs: DataFrame, labels: DataFrame, max_labelled: int = MAX_LABELLED) -> Classifier:
@@ -315,7 +394,7 @@ def fit(docs: DataFrame, labels: DataFrame, max_labelled: int = MAX_LABELLED) ->
             langs = batch.column(1).to_pylist()
             for b in blocks(batch.column(0)):
                 own = langs[b.first : b.last]
-                masks = votes_of(b, own, lookup, rows, bits)
+                masks = votes_of(b, own, voters, lookup, rows, bits)
                 for lang, mask in zip(own, masks.tolist()):
                     key = (rows.get(lang or "", rows[""]), mask)
                     seen[key] = seen.get(key, 0) + 1
@@ -333,7 +412,7 @@ def fit(docs: DataFrame, labels: DataFrame, max_labelled: int = MAX_LABELLED) ->
     langs = sample["lang"].to_pylist()
     for b in blocks(texts):
         own = langs[b.first : b.last]
-        masks = votes_of(b, own, lookup, rows, bits)
+        masks = votes_of(b, own, voters, lookup, rows, bits)
         groups = np.array([rows.get(x or "", rows[""]) for x in own])
         for k in np.unique(groups):
             here = np.flatnonzero(groups == k)
