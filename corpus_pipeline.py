@@ -1,11 +1,21 @@
-"""The pipeline over the table of documents: each stage works on all that the one before it kept."""
+"""The pipeline over the table of documents: each stage works on all that the one before it kept.
+
+Defined cases, stage by stage as its operator defines them: an empty table gives an empty one; null, empty and very long texts, null
+ids, sources and languages go through (documents without text have no near duplicates, keep one copy of each in the mixture if their
+source has no other text, and get a piece without a sequence); documents of which id and text repeat count as copies, and one of
+them stays; columns besides those of documents are kept until the last stage, whatever their names, but for copy_no, which the
+mixture drops.
+
+A stage's result is written to the shared folder; it is deleted when the next one is written, and the last one stays.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
 from spanforge.llm import mixing, ngram_join, packing, secrets, toxicity
-from spanforge.llm.common import shared_path, table
+from spanforge.llm.common import table
+from spanforge.runtime import delete, shared_uri
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -48,9 +58,10 @@ ORACLE_SQL = None
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Applies the stages to documents; each result is written to the shared folder and read again."""
     docs = table(spark, sf_dir, "documents")
-    base = shared_path(spark, "pipeline")
+    base = shared_uri(spark, "pipeline")
     for k, (_, stage) in enumerate(STAGES):
-        out = f"file://{base}/{k}"
-        stage(spark, docs, sf_dir).write.parquet(out)
-        docs = spark.read.parquet(out)
+        stage(spark, docs, sf_dir).write.parquet(f"{base}/{k}")
+        docs = spark.read.parquet(f"{base}/{k}")
+        if k:
+            delete(spark, f"{base}/{k - 1}")
     return docs
