@@ -321,6 +321,101 @@ def test_label_model_finds_rates():
     assert abs(model.prior - 0.2) < 0.05 and np.abs(model.rates - rates).max() < 0.12
 
 
+def test_label_model_of_voters_that_repeat_each_other():
+    """Four voters follow a topic that is no toxicity; taken as independent, they take over the class."""
+    rng = np.random.default_rng(5)
+    n = 60_000
+    truth = rng.random(n) < 0.15
+
+    def votes(outside, inside):
+        return rng.random(n) < np.where(truth, inside, outside)
+
+    topic = rng.random(n) < 0.12
+    repeated = [np.where(rng.random(n) < 0.95, topic | (truth & (rng.random(n) < 0.3)), votes(0.02, 0.3)) for _ in range(4)]
+    fired = np.stack([*repeated, votes(0.02, 0.6), votes(0.03, 0.5), votes(0.01, 0.4)], axis=1).astype(int)
+    rates = np.array([fired[~truth].mean(axis=0), fired[truth].mean(axis=0)])
+    masks, counts = np.unique((fired << np.arange(7)).sum(axis=1), return_counts=True)
+    given = rates * np.where(np.arange(7) < 4, [[0.8], [1.2]], [[1.2], [0.9]])
+    model, independent = (toxicity.fit_label_model(masks, counts.astype(float), given.copy(), dependent=x) for x in (True, False))
+    assert np.abs(model.rates - rates).max() < 0.06 and abs(model.prior - 0.15) < 0.05
+    assert np.abs(independent.rates - rates).max() > 0.2
+    assert (model.parents[:4] >= -1).all() and (model.parents[1:4] >= 0).all() and model.parents.max() < 7
+    p = model.posterior(masks)
+    right = [np.average((p[np.searchsorted(masks, (fired << np.arange(7)).sum(axis=1))] >= 0.5) == truth)]
+    q = independent.posterior(masks)
+    assert right[0] > np.average((q[np.searchsorted(masks, (fired << np.arange(7)).sum(axis=1))] >= 0.5) == truth) + 0.02
+
+
+def test_pattern_voters():
+    texts = ["you are such an idiot", "you see the idiot", "idiot you", "you a b c d idiot", "What!! no", "a! !", "!", "!", "", "Your MORON", "you"]
+    seeds, second = np.unique(toxicity.word_hashes(toxicity.SEED_LEXICON)), np.unique(toxicity.word_hashes(toxicity.SECOND_PERSON))
+    got = np.concatenate([toxicity.patterns(b, seeds, second) for b in blocks(pa.array(texts))])
+    assert got.tolist() == [1, 3, 1, 1, 4, 0, 0, 0, 0, 3, 0]
+
+
+def words_and_bytes(text, fold):
+    (b,) = blocks(pa.array([text]), fold=fold)
+    return [bytes(b.data[i:j]) for i, j in zip(*b.words()[:2])], bytes(b.data)
+
+
+def one_hash(word):
+    (b,) = blocks(pa.array([word.decode()]), fold=False)
+    return int(b.hash_ranges(np.array([0]), np.array([len(word)]))[0])
+
+
+def test_toxicity_scores_against_plain_counts():
+    rng = np.random.default_rng(8)
+    texts = ["idiot idiot moron", "the idiotic moronic word is worthless " * 3, "", "nothing here", "Idiots among a very long text " + "fine words " * 200]
+    hashes = np.unique(np.concatenate([h for b in blocks(pa.array(texts)) for h, _ in toxicity.features(b)]))[::2]
+    model = toxicity.Classifier(hashes, rng.normal(size=2 * len(hashes)), -0.3)
+    (block,) = blocks(pa.array(texts))
+    got = model.scores(block, toxicity.Lookup(hashes))
+    number = {int(h): k for k, h in enumerate(hashes)}
+    for text, p in zip(texts, got):
+        words, _ = words_and_bytes(text, True)
+        n = Counter(one_hash(w) for w in words)
+        for size in toxicity.PREFIXES:
+            n.update(_prefix(w[:size]) for w in words if len(w) > size)
+        logit = -0.3
+        for h, c in n.items():
+            if h in number:
+                logit += model.weights[number[h]]
+                if c >= toxicity.DENSE[0] and c >= toxicity.DENSE[1] * len(words):
+                    logit += model.weights[number[h] + len(hashes)]
+        assert p == pytest.approx(1 / (1 + np.exp(-logit)))
+
+
+def _prefix(part):
+    return one_hash(part) ^ int(toxicity._PREFIX_SALT)
+
+
+def test_quality_scores_against_plain_counts():
+    rng = np.random.default_rng(9)
+    texts = ["One two two three, ONE!", "", "x", "äö ü.. 12", "ab abc abcd abcde"]
+    model = quality.QualityModel(rng.normal(size=(quality.N_GROUPS, quality._SIZE)).astype(np.float32), 0.2, 1.3, -0.1)
+    (block,) = blocks(pa.array(texts), fold=False)
+    for text, p in zip(texts, model.probabilities(block)):
+        words, data = words_and_bytes(text, False)
+        groups = [[one_hash(w) >> (64 - quality.BITS) for w in words], []]
+        for a, b in zip(words, words[1:]):
+            pair = quality.ngram_hashes(np.array([one_hash(a), one_hash(b)], np.uint64), np.zeros(2, int), 2)[0]
+            groups[1].append(quality._SIZE - 1 if a == b else int(pair[0]) >> (64 - quality.BITS))
+        for n in (3, 4):
+            value = [int.from_bytes(data[k : k + n], "little") for k in range(len(data) - n + 1)]
+            groups.append([((v * 2654435761 ^ n * 0x9E37) & 0xFFFFFFFF) >> (32 - quality.BITS) for v in value])
+        logit = 0.2 + sum(10 * np.mean(w[g].astype(float)) for w, g in zip(model.weights, groups) if g)
+        assert p == pytest.approx(1 / (1 + np.exp(-(1.3 * logit - 0.1))))
+
+
+def test_toxicity_sample_is_bounded(spark):
+    docs = spark.createDataFrame([(k, "w" * (10 + k % 3), "en") for k in range(40)] + [(1, "short", "en")] * 3 + [(2, "y" * 500, "en"), (None, "z", "en")], "doc_id bigint, text string, lang string")
+    labels = spark.createDataFrame([(k, k % 2) for k in range(40)] + [(100, 1)], "doc_id bigint, toxic int")
+    got = toxicity.labelled_sample(docs, labels, 30, ["toxic"], 64 * 12).to_pylist()
+    ids = [r["doc_id"] for r in got]
+    assert 20 <= len(ids) <= 30 and len(set(ids)) == len(ids) and all(len(r["text"]) <= 12 for r in got)
+    assert len(toxicity.labelled_sample(docs, labels, 30, ["toxic"], 64 * 5)) == sum(r["text"] == "short" for r in got)
+
+
 def test_toxicity_of_small_sample(docs, labels, rows):
     got = {r["doc_id"]: r["toxic"] for r in toxicity.score_toxicity(docs, labels).collect() if r["doc_id"] is not None and r["doc_id"] < 60 and r["doc_id"] != rows[6][0]}
     assert all(got[r[0]] == ("idiot" in r[1]) for r in rows[:60] if r[0] in got)
@@ -363,6 +458,62 @@ def test_language_spans(spark):
     assert got[101] == [("ru", 1, 4)] and got[102] == [("und", 1, 2)] and got[103] == [("und", 0, 0)]
 
 
+def spans_by_brute_force(rows, penalty=langid.PENALTY):
+    """(doc_id, span, lang, first word, last word) from plain counts of trigrams and the plain recursion."""
+
+    def grams(w):
+        x = b" " + w + b" "
+        return [((x[k] | x[k + 1] << 8 | x[k + 2] << 16) * 2654435761 & 0xFFFFFFFF) >> 16 for k in range(len(x) - 2)]
+
+    def script(w):
+        c = ord(w.decode()[0])
+        return next((k for k, (a, z) in enumerate([(48, 57), (0x41, 0x24F), (0x370, 0x3FF), (0x400, 0x4FF)]) if a <= c <= z))
+
+    counts, scripts = {}, {}
+    for _, text, lang in rows:
+        for w in words_and_bytes(text or "", True)[0] if lang else ():
+            scripts.setdefault(lang, Counter())[script(w)] += 1
+            counts.setdefault(lang, Counter()).update(grams(w) if script(w) else ())
+    trained = sorted(k for k in counts if counts[k].total())
+    names = sorted({*trained, *(x for x in langid.DEFAULTS if x), "und"})
+    log = {k: np.log(np.bincount(list(counts[k].elements()), minlength=1 << 16) + 0.5) - np.log(counts[k].total() + 0.5 * (1 << 16)) for k in trained}
+    mean = sum(log.values()) / len(log)
+    out = []
+    for i, text, _ in rows:
+        words = words_and_bytes(text or "", True)[0]
+        table = []
+        for w in words:
+            s = script(w)
+            users = [k for k in trained if scripts[k][s] >= 0.1 * (scripts[k].total() - scripts[k][0])] or [langid.DEFAULTS[s] or "und"]
+            allowed = names if not s else users
+            table.append([-1e6 if k not in allowed else 0.0 if not s or k not in log else float((log[k] - mean)[grams(w)].sum()) for k in names])
+        if not any(any(v) for v in table):
+            out.append((i, 1, "und", min(len(words), 1), len(words)))
+            continue
+        value, back = np.array(table[0]), []
+        for row in table[1:]:
+            best = int(value.argmax())
+            move = value[best] - penalty > value
+            back.append(np.where(move, best, np.arange(len(names))))
+            value = np.where(move, value[best] - penalty, value) + row
+        path = [int(value.argmax())]
+        for b in back[::-1]:
+            path.append(int(b[path[-1]]))
+        path = path[::-1]
+        cut = [k for k in range(len(path)) if not k or path[k] != path[k - 1]] + [len(path)]
+        out += [(i, n + 1, names[path[a]], a + 1, z) for n, (a, z) in enumerate(zip(cut, cut[1:]))]
+    return out
+
+
+def test_language_spans_against_brute_force(spark):
+    rng = random.Random(15)
+    rows = [(k, sentence(rng, ("en", "de")[k % 2], rng.randint(1, 40)), ("en", "de")[k % 2]) for k in range(30)]
+    rows += [(50 + k, " ".join(sentence(rng, x, rng.randint(1, 25)) for x in rng.choices(["en", "de"], k=4)) + " 12 кот", None) for k in range(15)]
+    rows += [(80, None, "en"), (81, "?!", None), (82, "12 34", "de"), (83, "μια λέξη the bread 7", None), (84, "fluss", ""), (None, "brot brot", None), (85, rows[1][1], "fr")]
+    got = langid.identify_languages(spark.createDataFrame(rows, "doc_id bigint, text string, lang string").repartition(3)).collect()
+    assert Counter(map(tuple, got)) == Counter(spans_by_brute_force(rows))
+
+
 # 4 and 5
 
 
@@ -675,15 +826,35 @@ def test_tables_of_hashes(tmp_path):
     rng = np.random.default_rng(3)
     h = np.unique(rng.integers(0, 1 << 63, 20_000, dtype=np.uint64))
     count = rng.choice([1, 2, 254, 255, 256, 10**12], len(h))
-    kneser_ney.save_table(f"{tmp_path}/t", h, count=count)
-    assert (kneser_ney.look_up(f"{tmp_path}/t", h, ("count",))[0] == count).all()
-    assert (kneser_ney.look_up(f"{tmp_path}/t", rng.integers(0, 1 << 63, 2000, dtype=np.uint64), ("count",))[0] == 0).sum() >= 1999
-    assert (kneser_ney.look_up(f"{tmp_path}/none", h, ("count",))[0] == 0).all()
+    kneser_ney.save_table(f"{tmp_path}/t", h, [count])
+    assert (kneser_ney.look_up(f"{tmp_path}/t", h, 1)[0] == count).all()
+    assert (kneser_ney.look_up(f"{tmp_path}/t", rng.integers(0, 1 << 63, 2000, dtype=np.uint64), 1)[0] == 0).sum() >= 1999
+    assert (kneser_ney.look_up(f"{tmp_path}/none", h, 1) == 0).all()
+    n1, n2, n3 = (rng.choice([0, 1, 2, 15, 16, 10**10], len(h)) for _ in range(3))
+    rows = [n1 + 2 * n2 + n3 * rng.integers(3, 6, len(h)), n1, n2, n3]
+    kneser_ney.save_table(f"{tmp_path}/c", h, rows)
+    assert (kneser_ney.look_up(f"{tmp_path}/c", h, 4) == np.stack(rows)).all()
 
 
 # the pipeline
 
 
+@pytest.mark.parametrize("kind", ["empty", "clashing"])
+def test_pipeline_of_awkward_tables(spark, docs, labels, tmp_path, kind):
+    """An empty table, and columns with the names that stages use; all but the last stage keep the columns."""
+    base = str(tmp_path)
+    (docs.filter("false") if kind == "empty" else docs.filter("doc_id is null or doc_id < 30")).write.parquet(f"{base}/documents.parquet")
+    labels.write.parquet(f"{base}/labels.parquet")
+    read = spark.read.parquet(f"{base}/documents.parquet")
+    for k, (_, stage) in enumerate(corpus_pipeline.STAGES):
+        before, n = read.columns, read.count()
+        stage(spark, read, base).write.parquet(f"{base}/{k}")
+        read = spark.read.parquet(f"{base}/{k}")
+        # the mixture's own column isn't kept
+        assert k == 4 or set(before) - {"copy_no"} == set(read.columns) - {"copy_no"}
+        assert (read.count() == 0) == (n == 0)
+
+
 def test_pipeline_against_brute_force(spark, rows, labels, tmp_path):
     base = str(tmp_path)
     spark.createDataFrame(rows, DDL).repartition(3).write.parquet(f"{base}/documents.parquet")
@@ -695,7 +866,7 @@ def test_pipeline_against_brute_force(spark, rows, labels, tmp_path):
     left = [left[k] for k in kept_by_brute_force([(r[0], r[1]) for r in left])]
     scanned = []
     for i, t, lang, source, n in left:
-        found = secrets.brute_force(t) if t and i != 103 else []
+        found = secrets.brute_force(t) if t and i != 103 else secrets.build_scanner()(t or "")
         t = secrets.redact(t, found) if found else t
         scanned.append((i, t, lang, source, len(t) if found else n))
     mixed = sql(scanned, mixing.oracle())
