@@ -55,24 +55,44 @@ def token_stream(
     return exploded.select(id_col, *carried, (F.col("pos") + 1).alias("position"), F.col("t.raw").alias("raw"), F.col("t.value").alias("value"))
 
 
-def full_tokens(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", *carried: str, filters: tuple[str, ...] = ("normal",)) -> DataFrame:
-    """Rows (id, carried columns, position, index, length, line, sentence, raw, value) of white space tokens.
+def full_tokens(
+    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", *carried: str, filters: tuple[str, ...] = ("normal",), tokenizer: str = "whitespace", protected: str | None = None
+) -> DataFrame:
+    """Rows (id, carried columns, position, index, length, line, sentence, raw, value) of all tokens that the filters leave something of.
 
     Positions, character offsets (code points from 0), lines and sentences are running sums over one window per document: one
-    shuffle, which leaves the tokens clustered by document."""
-    lines = docs.select(id_col, *carried, F.posexplode(F.split(text_col, "\n")).alias("line", "body"))
-    pieces = lines.select(id_col, *carried, (F.col("line") + 1).alias("line"), F.posexplode(F.split("body", r"\s")).alias("k", "raw"))
+    shuffle, which leaves the tokens clustered by document.  protected: a column of ranges (start, end) of the text; of the tokens that
+    begin there only the edges are trimmed and the case is folded."""
+    if tokenizer not in TOKENIZERS:
+        raise ValueError(f"no tokenizer {tokenizer}")
+    kept = [*carried, *([protected] if protected else [])]
+    if tokenizer == "whitespace":
+        lines = docs.select(id_col, *kept, F.posexplode(F.split(text_col, "\n")).alias("line", "body"))
+        pieces = lines.select(id_col, *kept, (F.col("line") + 1).alias("line"), F.posexplode(F.split("body", r"\s")).alias("k", "raw"))
+        width = F.length("raw") + 1  # with the blank behind it
+    else:  # pieces and white space make up the whole text
+        pieces = docs.select(id_col, *kept, F.posexplode(F.regexp_extract_all(text_col, F.lit(r"\s|" + STANDARD), F.lit(0))).alias("k", "raw")).withColumn("line", F.lit(0))
+        width = F.length("raw")
+    value = F.col("raw")
     for f in filters:
-        pieces = pieces.withColumn("value", TOKEN_FILTERS[f](F.col("value" if "value" in pieces.columns else "raw")))
+        value = TOKEN_FILTERS[f](value)
+    if tokenizer != "whitespace":
+        value = F.when(F.col("raw").rlike(r"^\s$"), F.lit("")).otherwise(value)
+    pieces = pieces.withColumn("value", value)
     w = Window.partitionBy(id_col).orderBy("line", "k")
     upto, before = w.rowsBetween(Window.unboundedPreceding, 0), w.rowsBetween(Window.unboundedPreceding, -1)
-    size = F.length("raw")
+    placed = pieces.withColumn("index", (F.sum(width).over(upto) - width).cast("int"))
+    if protected:
+        inside = F.exists(protected, lambda r: (F.col("index") >= r["start"]) & (F.col("index") < r["end"]))
+        edges = F.lower(F.regexp_replace("raw", r"^[^\p{L}\p{Nd}]+|[^\p{L}\p{Nd}]+$", ""))
+        placed = placed.withColumn("value", F.when(inside, edges).otherwise(F.col("value")))
+    if tokenizer != "whitespace":
+        placed = placed.withColumn("line", F.coalesce(F.sum((F.col("raw") == "\n").cast("int")).over(before), F.lit(0)).cast("int") + 1)
     return (
-        pieces.withColumns(
+        placed.withColumns(
             {
                 "position": F.sum((F.col("value") != "").cast("int")).over(upto).cast("int"),
-                "index": (F.sum(size + 1).over(upto) - 1 - size).cast("int"),
-                "length": size,
+                "length": F.length("raw"),
                 "sentence": (F.coalesce(F.sum(F.col("raw").rlike(SENTENCE_END).cast("int")).over(before), F.lit(0)) + 1).cast("int"),
             }
         )

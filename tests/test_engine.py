@@ -8,7 +8,7 @@ from compare import compare, connect
 from pyspark.sql import functions as F
 
 import __spark_entry__ as entry
-from spanforge.analysis import markup, reading
+from spanforge.analysis import markup, reading, tagged
 from spanforge.analysis.tokens import full_tokens, token_stream
 from spanforge.functions import text as fn
 from spanforge.model import ATTRIBUTE_DDL, CORPUS_DDL, DOCUMENT_ATTRIBUTE_DDL, DOCUMENT_CORPUS_DDL, DOCUMENT_DDL, SPAN_DDL, Catalog
@@ -231,6 +231,69 @@ def test_profile(spark):
         profile.build(docs, {"token_filters": ["nothing"]})
 
 
+def test_profile_tokenizers(spark):
+    docs = spark.createDataFrame([(1, "s", "l'incenso 100$ x\n<b>Rossi's,</b> due &amp; tre."), (2, "t", "A<b>c</b>d")], "id bigint, source string, content string")
+
+    def tokens(p, of=1):
+        c = profile.build(docs, p)
+        return c, [(r["value"], r["index"]) for r in c.span.filter(f"type = 'tok' and document_id = {of}").orderBy("p1").collect()]
+
+    text = docs.first()["content"]
+    _, got = tokens({"tokenizer": "standard"})
+    assert [v for v, _ in got][:5] == ["l'", "incenso", "100", "$", "x"] and all(text[i].lower() == v[0] or not text[i].isalnum() for v, i in got)
+    assert [v for v, _ in tokens({"token_filters": []})[1]][:2] == ["l'incenso", "100$"]
+    assert [v for v, _ in tokens({"tokenizer": "xml"}, 2)[1]] == ["a", "c", "d"] and ("rossi's", text.index("Rossi")) in tokens({"tokenizer": "xml"})[1]
+    c, got = tokens({"tokenizer": "xml", "protected_tags": ["b"], "attributes": ["letters"]})
+    assert ("rossi's", text.index("Rossi")) in got and c.span_attribute.filter("name = 'letters'").count() == len(got) + 3
+    for bad in ({"tokenizer": "none"}, {"text_filters": ["none"]}):
+        with pytest.raises(ValueError):
+            profile.build(docs, bad)
+    replaced = profile.build(docs, {"text_filters": [{"replace": [["due", "duo", False, 1]]}]})
+    assert replaced.span.filter("value = 'duo'").count() == 1
+
+
+def test_profile_tagging_and_structures(spark):
+    docs = spark.createDataFrame([(1, "s", XML), (2, "t", XML.replace("1320", "1400"))], "id bigint, source string, content string")
+    p = {"text_filters": ["tei"], "mappings": ["date=date/@when ^(\\d{4})"], "tagging": {"stop_tags": ["head"], "most": 2}, "structure_filter": True, "structure_documents": {"DATE": "1320"}}
+    p["structures"] = [{"type": "l", "path": "l", "value": "{text}"}, {"type": "x", "path": "persName", "value": "PROPN", "ghost": True, "attribute": "pos"}]
+    c = profile.build(docs, p, tagger=lambda ws: [{"upos": w[:1], "pos": "X", "lemma": w.lower() + "_"} for w in ws])
+    spans = c.span.filter("document_id = 1").orderBy("type", "p1").collect()
+    assert [(r["type"], r["value"]) for r in spans if r["type"] == "l"] == [("l", "mater abiit sic"), ("l", "dixit arrius mihi")]
+    assert {r["value"]: (r["pos"], r["lemma"]) for r in spans if r["type"] == "tok"}["arrius"] == ("PROPN", "arrius_") and spans[2]["pos"] == "X"
+    assert c.span.filter("document_id = 2 and type = 'l'").count() == 0
+    assert [r["p1"] for r in c.span.join(c.span_attribute.filter("name = 's0'").select(F.col("span_id").alias("id")), "id").filter("document_id = 1").orderBy("p1").collect()] == [1, 2, 4, 6]
+
+
+def test_tagger(spark):
+    text = "Vado della casa di Benedetta ecc. ,"
+    conllu = "\n".join(
+        "\t".join(x)
+        for x in [
+            ("1", "Vado", "andare", "VERB", "V", "Mood=Ind|Number=Sing", "0", "root", "_", "TokenRange=0:4"), ("2-3", "della", "_", "_", "_", "_", "_", "_", "_", "TokenRange=5:10"),
+            ("2", "di", "di", "ADP", "E", "_", "4", "case", "_", "_"), ("3", "la", "il", "DET", "RD", "Gender=Fem|Number=Sing", "4", "det", "_", "_"),
+            ("4", "casa", "casa", "NOUN", "S", "Gender=Fem", "1", "obl", "_", "TokenRange=11:15"), ("6", "Benedetta", "benedetto", "ADJ", "A", "_", "4", "amod", "_", "TokenRange=19:28"),
+            ("7", "ecc.", "ecc", "NOUN", "S", "_", "4", "x", "_", "TokenRange=29:33"), ("8", ",", ",", "PUNCT", "F", "_", "4", "punct", "_", "TokenRange=34:35"),
+        ]
+    )
+    rows = tagged.parse_conllu("# x\n" + conllu)
+    assert len(rows) == 6 and [c["upos"] for c in rows[1]["children"]] == ["ADP", "DET"]
+    names = [c.split(" ")[0] for c in tagged.TAGGED_DDL.split(", ")]
+    found = spark.createDataFrame([tuple({"document_id": 1, **r}[n] for n in names) for r in rows], tagged.TAGGED_DDL)
+    spans = [(k, 1, "tok", k, k, text.index(w), len(w), None, "PROPN" if w == "Benedetta" else None, None, w.lower(), w) for k, w in enumerate(text.split(), 1)]
+    spans = spark.createDataFrame(spans, SPAN_DDL)
+    rule = {"min": 2, "max": 2, "tokens": [{"upos": "ADP"}, {"upos": "ADV", "optional": True}, {"upos": "DET", "feats": {"Number": "Sing"}}], "target": {"upos": "ADP", "xpos": "EA", "feats": {"*": "2", "Case": "Gen", "Number": "2"}}}
+    over = spark.createDataFrame([(1, text.index("ecc"), 3, "X", None, {"Abbr": "Yes"})], "document_id bigint, index int, length int, upos string, xpos string, feats map<string,string>")
+    out, attributes = tagged.apply_tagger(spans, found, preserved=["PROPN"], multiwords=[rule], overrides=over, extended_pos=True, prefix="u_")
+    got = {r["value"]: (r["pos"], r["lemma"]) for r in out.collect()}
+    assert got["vado"] == ("VERB.V", "andare") and got["della"] == ("ADP.EA", "della") and got["casa"] == ("NOUN.S", "casa")
+    assert got["benedetta"] == ("PROPN", None) and got["ecc."] == ("X.S", "ecc") and got[","] == (None, None) and got["di"] == (None, None)
+    of = {}
+    for r in attributes.collect():
+        of.setdefault(r["span_id"], {})[r["name"]] = r["value"]
+    assert of[2] == {"u_xpos": "EA", "u_gender": "fem", "u_number": "sing", "u_case": "gen"} and of[1]["u_mood"] == "ind" and of[1]["u_head"] == "0" and of[6]["u_abbr"] == "yes" and 5 not in of
+    assert tagged.child_rule([{"upos": "DET"}], [rule]) is None
+
+
 def test_files(spark, catalog, tmp_path):
     (tmp_path / "in").mkdir()
     (tmp_path / "in" / "b.txt").write_text("uno due\ntre")
