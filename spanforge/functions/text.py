@@ -5,7 +5,6 @@ from __future__ import annotations
 import unicodedata
 from collections.abc import Iterator
 
-import numpy as np
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -217,8 +216,3 @@ def char_index(text: str, line: int, column: int) -> int:
             return len(text)
         at = found + 1
     return min(at + column - 1, len(text))
-
-
-def similarity_matrix(a: list[str], b: list[str]) -> np.ndarray:
-    """osa similarities of small lists, for tests and tools."""
-    return np.array([[1.0 if x == y else 1 - osa_distance(x, y) / max(len(x), len(y)) for y in b] for x in a])

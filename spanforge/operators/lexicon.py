@@ -6,7 +6,7 @@ A lexicon is a DataFrame (id, value, text, lemma, pos).
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator, Sequence
+from collections.abc import Iterator, Mapping, Sequence
 from functools import reduce
 
 import pandas as pd
@@ -14,6 +14,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from spanforge.functions.text import osa_similarity, plain_text
+from spanforge.model import Catalog
+from spanforge.operators.search import kwic
 from spanforge.runtime import ship
 
 LEXICON_DDL = "id bigint, value string, text string, lemma string, pos string"
@@ -243,6 +245,39 @@ def check_words(
     return out.withColumn("code", code).select("value", "pos", "code", of(0).alias("type"), of(1).alias("message"), of(2).alias("action"), data.alias("data"))
 
 
+def check_spans(
+    catalog: Catalog,
+    lexicon: DataFrame,
+    white: Sequence[str] = (),
+    excluded_pos: Sequence[str] = (),
+    excluded_attributes: Mapping[str, str | None] | None = None,
+    alphabetic: bool = False,
+    context: int = 5,
+) -> DataFrame:
+    """What `check_words` finds wrong with the tokens of no language of their own, a row for each token: its document and context too.
+
+    excluded_attributes: tokens that have such an attribute (of this value, if one is named) aren't checked.  context: tokens on either
+    side; with 0 the context is the token's text."""
+    spans = catalog.span.filter("type = 'tok'").filter(F.coalesce("language", F.lit("")) == "")
+    if excluded_pos:
+        spans = spans.filter(~F.coalesce("pos", F.lit("")).isin(*excluded_pos))
+    if alphabetic:
+        spans = spans.filter(F.col("value").rlike(r"\p{L}"))
+    for name, value in (excluded_attributes or {}).items():
+        test = F.lower("name") == name.lower()
+        bad = catalog.span_attribute.filter(test if value is None else test & (F.col("value") == value)).select(F.col("span_id").alias("id"))
+        spans = spans.join(bad, "id", "left_anti")
+    wrong = check_words(spans.select("value", "pos"), lexicon, white).filter("type <> 'info'")
+    on = (F.col("s.value") == F.col("w.value")) & F.col("s.pos").eqNullSafe(F.col("w.pos"))
+    found = spans.alias("s").join(wrong.alias("w"), on).select("s.*", "w.code", F.col("w.type").alias("severity"), "w.message", "w.action", "w.data")
+    if context:
+        found = kwic(found, catalog, context)
+        words = F.concat_ws(" ", F.filter("left", lambda x: x != ""), F.array(F.concat(F.lit("["), "text", F.lit("]"))), F.filter("right", lambda x: x != ""))
+    else:
+        words = F.col("text")
+    return found.select("id", "document_id", "p1", "value", "pos", "lemma", "code", F.col("severity").alias("type"), "message", "action", "data", words.alias("context"))
+
+
 _MORPH = {"NOUN": "NOUN", "ADJ": "ADJ", "VER": "VERB", "ADV": "ADV", "ART": "DET", "PRE": "ADP", "PRO": "PRON", "CON": "CCONJ", "INT": "INTJ", "DET": "DET", "AUX": "AUX", "MOD": "AUX"}
 _FEATURES = {"m": "gender=masc", "f": "gender=fem", "s": "number=sing", "p": "number=plur", "pos": "degree=pos", "comp": "degree=comp", "sup": "degree=sup", "ind": "mood=ind", "sub": "mood=sub", "cond": "mood=cond", "impr": "mood=imp", "inf": "verbform=inf", "ger": "verbform=ger", "part": "verbform=part", "pres": "tense=pres", "past": "tense=past", "impf": "tense=imp", "fut": "tense=fut", "1": "person=1", "2": "person=2", "3": "person=3"}
 

@@ -2,14 +2,13 @@
 
 from __future__ import annotations
 
-import math
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from spanforge.model import DOCUMENT_PRIVILEGED, Catalog
 from spanforge.operators.location import SPAN
 from spanforge.plans.compiler import Options, compile_query
+from spanforge.plans.parser import parse_batch
 
 PAGE_SIZE = 20
 MAX_PAGE_SIZE = 100
@@ -59,10 +58,6 @@ def search_page(catalog: Catalog, found: DataFrame, page: int = 1, size: int = P
     return keyed.orderBy(*order).limit(page * size).offset((page - 1) * size).select(*columns)
 
 
-def page_count(total: int, size: int = PAGE_SIZE) -> int:
-    return math.ceil(total / size)
-
-
 def kwic(results: DataFrame, catalog: Catalog, size: int = 5) -> DataFrame:
     """Adds left and right, arrays of `size` values before p1 and after p2, with empty values where the document ends.
 
@@ -92,10 +87,28 @@ def flat_kwic(contexts: DataFrame, size: int) -> DataFrame:
     return contexts.select(*before, *left, "value", *right, *(c for c in rest if c not in SPAN))
 
 
-def export_kwic(catalog: Catalog, query: str, path: str, context: int = 5, rows_per_file: int = 0, sort: tuple[str, ...] = (), options: Options = Options()) -> None:
-    """All results of a query with their contexts as CSV files, in order."""
+def export_kwic(
+    catalog: Catalog, query: str, path: str, context: int = 5, rows_per_file: int = 0, sort: tuple[str, ...] = (), options: Options = Options(),
+    first_page: int = 1, last_page: int = 0, size: int = PAGE_SIZE,
+) -> None:
+    """The results of a query with their contexts as CSV files, in order; pages first_page to last_page (0: all)."""
     results = with_documents(compile_query(catalog, query, options), catalog)
+    if last_page:
+        columns = results.columns
+        keyed, order = sorted_results(results, catalog, sort)
+        results = keyed.orderBy(*order).limit(last_page * size).offset((first_page - 1) * size).select(*columns)
     flat = flat_kwic(kwic(results, catalog, context), context)
     keyed, order = sorted_results(flat, catalog, sort)
-    out = keyed.orderBy(*order).select(*flat.columns)
+    ordered = keyed.orderBy(*order)
+    if first_page > 1 and not last_page:
+        ordered = ordered.offset((first_page - 1) * size)
+    out = ordered.select(*flat.columns)
     out.write.mode("overwrite").option("header", True).option("maxRecordsPerFile", rows_per_file).csv(path)
+
+
+def export_batch(catalog: Catalog, text: str, folder: str, **how) -> list[tuple[str, str]]:
+    """Exports the queries of a file, each to a folder of its own; (query, its folder) of all.  how: as for `export_kwic`."""
+    out = [(q, f"{folder}/query-{k:04d}") for k, q in enumerate(parse_batch(text), 1)]
+    for query, path in out:
+        export_kwic(catalog, query, path, **how)
+    return out

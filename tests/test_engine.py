@@ -1,6 +1,8 @@
 """Words, corpora, lexicon, markup, reading, profiles, sources, the stream, and some registered queries against their SQL."""
 
 import os
+import subprocess
+import sys
 from dataclasses import replace
 
 import pytest
@@ -12,7 +14,7 @@ from spanforge.analysis import markup, reading, tagged
 from spanforge.analysis.tokens import full_tokens, token_stream
 from spanforge.functions import text as fn
 from spanforge.model import ATTRIBUTE_DDL, CORPUS_DDL, DOCUMENT_ATTRIBUTE_DDL, DOCUMENT_CORPUS_DDL, DOCUMENT_DDL, SPAN_DDL, Catalog
-from spanforge.operators import corpora, lexicon, profile, words
+from spanforge.operators import corpora, lexicon, profile, search, words
 from spanforge.plans.compiler import compile_query
 from spanforge.sources import files
 from spanforge.streaming import incremental
@@ -335,6 +337,71 @@ def test_stream(spark, tmp_path):
         assert sorted(ids(spark.read.parquet(out), "value")) == ["cinque", "due", "quattro", "sei", "uno"]
 
 
+def test_emptied_documents(spark, tmp_path):
+    """A document that is alone in its bucket loses all its tokens."""
+    out = f"{tmp_path}/out"
+
+    def merge(*rows):
+        incremental.merge_batch(spark, spark.createDataFrame(rows, "source string, content string"), out, 64)
+        spark.catalog.refreshByPath(out)
+        return sorted(ids(spark.read.schema("value string, bucket int").parquet(out), "value")) if os.path.exists(out) else []
+
+    assert merge(("a", "uno due"), ("b", "tre")) == ["due", "tre", "uno"]
+    assert merge(("a", " - ")) == ["tre"] and merge(("a", ""), ("b", None)) == [] and merge(("b", "quattro")) == ["quattro"]
+
+
+def test_ids_of_any_document(spark):
+    """Documents numbered by hashes: spans have ids of their own, and positional queries and contexts work."""
+    big = [2**62, 2**62 + 1, -(2**63), 5, 9_000_000_001]
+    docs = spark.createDataFrame([(d, "s", "the house of the lord. the end") for d in big], "id bigint, source string, content string")
+    c = profile.build(docs, {"sentences": {}, "attributes": ["len"]})
+    assert c.span.select("id").distinct().count() == c.span.count() == len(big) * 9
+    found = compile_query(c, '[value="the"] BEFORE(m=1) [value="of"]')
+    assert sorted(ids(found, "document_id")) == sorted(big)
+    assert {tuple(r["left"] + r["right"]) for r in search.kwic(found, c, 2).collect()} == {("", "", "house", "of")}
+    assert compile_query(c, '[value="the"] AND [len=="3"] INSIDE() [$snt]').count() == 3 * len(big)
+
+
+def test_batch_export(spark, catalog, tmp_path):
+    done = search.export_batch(catalog, "dicebat\n\n[value=\"mater\"]\n\n@[author=\"Anon\"]; [value=\"x\"]\n", f"{tmp_path}/out", context=1)
+    assert [q for q, _ in done] == ['[value="dicebat"]', '[value="mater"]', '@[author="Anon"]; [value="x"]']
+    read = [[r.asDict() for r in spark.read.option("header", True).csv(p).collect()] for _, p in done]
+    assert [len(r) for r in read] == [3, 2, 0] and {r["c1"] for r in read[0]} == {"dicebat", "mater"} and {r["author"] for r in read[1]} == {"Catullus", "Horatius"}
+    search.export_kwic(catalog, '[value="dicebat"]', f"{tmp_path}/page", 1, first_page=2, last_page=2, size=2)
+    assert spark.read.option("header", True).csv(f"{tmp_path}/page").count() == 1
+
+
+def test_check_spans(spark, catalog):
+    lex = spark.createDataFrame([(1, "mater", "mater", "mater", None)], lexicon.LEXICON_DDL)
+    plain = replace(catalog, span=catalog.span.withColumn("language", F.lit(None).cast("string")))
+    got = {r["id"]: (r["code"], r["context"]) for r in lexicon.check_spans(plain, lex, alphabetic=True, excluded_attributes={"X": "1"}, context=1).collect()}
+    assert got == {12: ("not_found", "Dicebat [dicebat] mater"), 21: ("not_found", "[dicebat] mater")}
+    assert lexicon.check_spans(plain, lex, excluded_pos=["VERB"], context=0).first()["context"] == "12"
+    assert lexicon.check_spans(catalog, lex).count() == 0
+
+
+def test_workers_get_the_code(tmp_path):
+    """Workers that start elsewhere than in the repository."""
+    root = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+    program = f"""
+import sys
+sys.path.append({root!r})
+from pyspark.sql import SparkSession, functions as F
+from spanforge.analysis import markup
+from spanforge.operators import lexicon, profile
+spark = SparkSession.builder.master("local-cluster[1,1,1024]").config("spark.ui.enabled", "false").config("spark.checkpoint.dir", {str(tmp_path)!r}).config("spark.sql.shuffle.partitions", 2).getOrCreate()
+lex = spark.createDataFrame([(1, "nation", "nation", "nation", "X")], lexicon.LEXICON_DDL)
+print("FOUND", lexicon.find(lex, "natoin", "fuzzy", 0.7).count())
+docs = spark.createDataFrame([(1, "s", "<p>One <b>two</b></p>")], "id bigint, source string, content string")
+print("FOUND", markup.structures(docs, [markup.StructureDefinition("b", "b")], "id", "content").count())
+print("FOUND", profile.build(docs, {{"text_filters": ["tags"], "structures": [{{"type": "b", "path": "b"}}]}}).span.count())
+spark.stop()
+"""
+    env = {k: v for k, v in os.environ.items() if k != "PYTHONPATH"} | {"SPARK_SCALA_VERSION": "2.13"}
+    run = subprocess.run([sys.executable, "-c", program], cwd=tmp_path, env=env, capture_output=True, text=True, timeout=280)
+    assert [x.split()[1] for x in run.stdout.splitlines() if x.startswith("FOUND")] == ["1", "1", "3"], run.stderr[-2000:]
+
+
 @pytest.mark.parametrize("name", ["tok_offsets", "struct_snt", "pair_fuzzy", "scope_doc_open", "loc_not_near", "loc_shared_structure", "kwic", "lemma_counts", "statistics", "search_sort_attribute", "doc_bins", "index_spans", "char_ranges", "lookup_join", "lookup_fuzzy", "tag_filter", "token_distribution"])
 def test_against_sql(spark, name):
     if not os.path.exists(DATA):
