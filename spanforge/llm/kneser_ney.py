@@ -9,7 +9,7 @@
    once for the n-gram without its first word, whose order is written in the same way after one more shuffle, and so on down to
    the words.  What is known of a hot context in several buckets is added up with the next order.
 3. The files lie in the shared folder as sorted arrays: hashes in segments of about 64, of which the low 32 bits are stored, and
-   counts in a byte each with a list of the larger ones.  Workers map them into memory and look up hashes by binary search.  (Of
+   a byte for the count (or what is known of a context) with a list of the rare ones.  Workers map them into memory and look up hashes by binary search.  (Of
    n-grams that differ about one in 10**8 shares a slot with another.)
 
     p(w|h) = max(c(hw) - D(c), 0) / c(h) + g(h) p(w|h'),   g(h) = (D1 N1(h) + D2 N2(h) + D3 N3(h)) / c(h)
@@ -173,19 +173,41 @@ def _segments(h: np.ndarray, n: int) -> np.ndarray:
     return (((h >> _32) & np.uint64(0xFFFFFF)) * np.uint64(n)) >> np.uint64(24)
 
 
-def save_table(path: str, h: np.ndarray, **values: np.ndarray) -> None:
-    """A table of numbers by hash."""
+def _context_codes() -> tuple[np.ndarray, np.ndarray]:
+    """The frequent rows (total, n1, n2, n3) of contexts by code, and codes by total, n1, n2 and n3 (4 bits each); 255 is none."""
+    rows = [
+        (n1 + 2 * n2 + above, n1, n2, n3)
+        for n1 in range(16) for n2 in range(8) for n3 in range(6) for above in (range(3 * n3, 16) if n3 else (0,)) if 0 < n1 + 2 * n2 + above < 16
+    ]
+    rows = sorted(rows)[:255]
+    codes = np.full(1 << 16, 255, np.uint8)
+    decoded = np.zeros((256, 4), np.int64)
+    for k, (total, n1, n2, n3) in enumerate(rows):
+        codes[total << 12 | n1 << 8 | n2 << 4 | n3] = k
+        decoded[k] = total, n1, n2, n3
+    return decoded, codes
+
+
+_CONTEXTS, _CONTEXT_CODES = _context_codes()
+_DECODED = {1: np.arange(256)[:, None], 4: _CONTEXTS}
+
+
+def save_table(path: str, h: np.ndarray, values: list[np.ndarray]) -> None:
+    """A table of rows of numbers by hash: counts, or what is known of contexts.  Frequent rows take a byte."""
     n = max(1, len(h) // SEGMENT)
     key = (_segments(h, n) << _32) | (h & np.uint64(0xFFFFFFFF))
     by = np.argsort(key)
     key = key[by]
     offsets = np.searchsorted(key, np.arange(n + 1, dtype=np.uint64) << _32).astype(np.uint32)
-    arrays = {"low": key.astype(np.uint32), "offsets": offsets}
-    for name, v in values.items():
-        v = v[by]
-        large = np.flatnonzero(v >= 255)
-        arrays |= {name: np.minimum(v, 255).astype(np.uint8), f"{name}-at": large.astype(np.uint32), f"{name}-large": v[large].astype(np.int64)}
-    _save(path, **arrays)
+    rows = np.stack([v[by] for v in values])
+    if len(values) == 1:
+        code = np.minimum(rows[0], 255).astype(np.uint8)
+    else:
+        small = (rows < 16).all(axis=0)
+        code = np.full(len(h), 255, np.uint8)
+        code[small] = _CONTEXT_CODES[rows[0, small] << 12 | rows[1, small] << 8 | rows[2, small] << 4 | rows[3, small]]
+    rare = np.flatnonzero(code == 255)
+    _save(path, low=key.astype(np.uint32), offsets=offsets, code=code, at=rare.astype(np.uint32), rare=rows[:, rare].astype(np.int64))
 
 
 _maps: dict[str, np.ndarray | None] = {}
@@ -198,9 +220,9 @@ def _map(path: str) -> np.ndarray | None:
     return _maps[path]
 
 
-def look_up(path: str, h: np.ndarray, names: tuple[str, ...]) -> list[np.ndarray]:
-    """The numbers of hashes, 0 where there is none."""
-    out = [np.zeros(len(h), np.int64) for _ in names]
+def look_up(path: str, h: np.ndarray, width: int) -> np.ndarray:
+    """The rows of hashes, `width` numbers each, 0 where there is none."""
+    out = np.zeros((width, len(h)), np.int64)
     low = _map(f"{path}.low.npy")
     if low is None or not len(low):
         return out
@@ -214,13 +236,11 @@ def look_up(path: str, h: np.ndarray, names: tuple[str, ...]) -> list[np.ndarray
         a, z = np.where(less, middle + 1, a), np.where(less, z, middle)
     hit = np.flatnonzero(a < end)
     hit = hit[low[a[hit]] == wanted[hit]]
-    at = a[hit]
-    for x, name in zip(out, names):
-        v = _map(f"{path}.{name}.npy")[at].astype(np.int64)
-        over = np.flatnonzero(v == 255)
-        if len(over):
-            v[over] = _map(f"{path}.{name}-large.npy")[np.searchsorted(_map(f"{path}.{name}-at.npy"), at[over])]
-        x[hit] = v
+    code = _map(f"{path}.code.npy")[a[hit]]
+    out[:, hit] = _DECODED[width][code].T
+    over = np.flatnonzero(code == 255)
+    if len(over):
+        out[:, hit[over]] = _map(f"{path}.rare.npy")[:, np.searchsorted(_map(f"{path}.at.npy"), a[hit[over]])]
     return out
 
 
@@ -322,8 +342,6 @@ def _by_context(context: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, li
 
 
 def _reduce(path: str, k: int, limit: int, n_buckets: int):
-    names = ("total", "n1", "n2", "n3")
-
     def run(table: pa.Table) -> pa.Table:
         """Of one bucket of n-grams of k words: writes them and their contexts, passes on the n-grams without their first word, what is
         known of hot contexts, and counts of counts.  What comes in of hot contexts of the order above is added up and written."""
@@ -336,7 +354,7 @@ def _reduce(path: str, k: int, limit: int, n_buckets: int):
                 (above if kind else parts).append(pickle.loads(payload))
         if above:
             (h,), values = sum_equal([np.concatenate([unpack_sorted(p[0]) for p in above])], [np.concatenate([unpack(p[1][k]) for p in above]).astype(np.int64) for k in range(4)])
-            save_table(os.path.join(path, f"hot{k + 1}-{bucket:05d}"), h, **dict(zip(names, values)))
+            save_table(os.path.join(path, f"hot{k + 1}-{bucket:05d}"), h, values)
         if not parts:
             return pa.Table.from_batches([_blobs(rows)])
         columns = [np.concatenate([unpack_sorted(p[0]) for p in parts]).astype(np.int64)]
@@ -345,11 +363,11 @@ def _reduce(path: str, k: int, limit: int, n_buckets: int):
         del parts
         columns, (counts,) = sum_equal(columns, [counts])
         context, gram, hot, _ = gram_buckets(columns, limit, n_buckets)
-        save_table(os.path.join(path, f"gram{k}-{bucket:05d}"), gram, count=counts)
+        save_table(os.path.join(path, f"gram{k}-{bucket:05d}"), gram, [counts])
         rows.append((bucket, 10 + k, _tell(counts).tobytes()))
         if k > 1:
             h, values = _by_context(context[~hot], counts[~hot])
-            save_table(os.path.join(path, f"context{k}-{bucket:05d}"), h, **dict(zip(names, values)))
+            save_table(os.path.join(path, f"context{k}-{bucket:05d}"), h, values)
             h, values = _by_context(context[hot], counts[hot])
             rows += [(b, 1, pickle.dumps((pack_sorted(h[at]), [pack(v[at]) for v in values]), 5)) for b, at in _split(bucket_of(h, n_buckets), n_buckets)]
             lower, (n,) = sum_equal(columns[1:], [np.ones(len(counts), np.int64)])
@@ -386,11 +404,10 @@ class KneserNey:
     def __post_init__(self) -> None:
         self.told = self.told or [np.zeros(7, np.int64) for _ in range(self.order)]
 
-    def _find(self, kind: str, h: np.ndarray, bucket: np.ndarray, names: tuple[str, ...]) -> list[np.ndarray]:
-        out = [np.zeros(len(h), np.int64) for _ in names]
+    def _find(self, kind: str, h: np.ndarray, bucket: np.ndarray, width: int) -> np.ndarray:
+        out = np.zeros((width, len(h)), np.int64)
         for b, at in _split(bucket, self.vocabulary.n_buckets):
-            for x, v in zip(out, look_up(os.path.join(self.vocabulary.path, f"{kind}-{b:05d}"), h[at], names)):
-                x[at] = v
+            out[:, at] = look_up(os.path.join(self.vocabulary.path, f"{kind}-{b:05d}"), h[at], width)
         return out
 
     def probabilities(self, columns: list[np.ndarray], doc: np.ndarray | None = None) -> np.ndarray:
@@ -403,7 +420,7 @@ class KneserNey:
         for k in range(self.order, 0, -1):
             context, gram, hot, bucket = gram_buckets(columns[self.order - k :], limit, n_buckets)
             kind, first, of_kind, times = np.unique(gram ^ mark, return_index=True, return_inverse=True, return_counts=True)
-            (count,) = self._find(f"gram{k}", gram[first], bucket[first], ("count",))
+            (count,) = self._find(f"gram{k}", gram[first], bucket[first], 1)
             own = np.zeros(len(kind), np.int64)
             if doc is not None:
                 if k == self.order:
@@ -420,7 +437,7 @@ class KneserNey:
                 stats = np.stack([np.zeros(len(at), np.int64)] * 4)
                 for name, here in ((f"context{k}", ~hot[head]), (f"hot{k}", hot[head])):
                     if here.any():
-                        stats[:, here] = self._find(name, context[head[here]], bucket_of(context[head[here]], n_buckets), ("total", "n1", "n2", "n3"))
+                        stats[:, here] = self._find(name, context[head[here]], bucket_of(context[head[here]], n_buckets), 4)
                 if doc is not None:
                     to = of_context.ravel()[first]
                     for row, change in zip(stats, _changes(count, own)):
