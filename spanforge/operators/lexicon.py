@@ -141,7 +141,8 @@ def tag_query(tag: Column, query: str) -> Column:
 
 # variants of Italian forms
 
-_ENCLITICS = "gliene gliela glielo glieli gliele mela melo meli mele tela telo teli tele cela celo vela velo sela selo mi ti ci vi si lo la li le ne gli".split()
+_ENCLITICS = "gliene gliela glielo glieli gliele mela melo meli mele tela telo teli tele cela celo vela velo sela selo seli sele mene tene cene vene sene celi cele veli vele gliene mi ti ci vi si lo la li le ne gli".split()
+_INVERTED = dict(zip("àèìòùáéíóú", "áéíóúàèìòù"))
 _ACCENTS = {"a'": "à", "e'": "è", "i'": "ì", "o'": "ò", "u'": "ù"}
 
 
@@ -158,12 +159,18 @@ def italian_variants(word: str) -> list[tuple[str, str]]:
         stem = m[1]
         for form in (stem + m[2], stem + "e", stem[:-1] + ("co" if stem.endswith("ch") else "go") if stem.endswith(("ch", "gh")) else "", stem + "o"):
             add(form, "superlative")
+    if m := re.fullmatch(r"(da|di|fa|sta|va)(?:mmi|tti|llo|lle|lla|lli|cci|nne)", w):  # short imperatives double what follows
+        add(m[1] + "'", "enclitic")
+        add(m[1], "enclitic")
     for clitic in _ENCLITICS:  # verbs with pronouns at the end
         if w.endswith(clitic) and len(w) - len(clitic) >= 3:
             stem = w[: -len(clitic)]
             add(stem, "enclitic")
-            if stem.endswith("r"):
+            if stem.endswith("r"):  # infinitives, those in -rre before those in -re
+                add(stem + "re", "enclitic")
                 add(stem + "e", "enclitic")
+            if clitic == "si" and re.search(r"[ei]si$", w):  # present participles
+                add(stem[:-1] + "e", "enclitic")
             if stem.endswith(("a", "e", "i")) and not stem.endswith("r"):
                 add(stem + "re", "enclitic")
             if len(stem) > 3 and stem[-1] == stem[-2]:
@@ -171,14 +178,18 @@ def italian_variants(word: str) -> list[tuple[str, str]]:
     if re.fullmatch(r".{2,}[lnmr]", w):  # a vowel has fallen off
         for v in "eoai":
             add(w + v, "truncation")
-        if w.endswith("r"):
-            add(w + "re", "truncation")
+        for v in "eio":  # of a double consonant one has fallen off too
+            add(w + w[-1] + v, "truncation")
     if w.endswith("'"):  # or has been elided
         for v in "oaei":
             add(w[:-1] + v, "elision")
         for mark, letter in _ACCENTS.items():
             if w.endswith(mark):
                 add(w[: -len(mark)] + letter, "accent")
+    if w.startswith("'"):
+        add(w[1:], "artifact")
+    if w.endswith("'"):
+        add(w[:-1], "artifact")
     trimmed = re.sub(r"^[^\w]+|[^\w]+$", "", w)
     add(trimmed, "artifact")
     add(re.sub(r"(\w)-(\w)", r"\1\2", w), "artifact")
@@ -187,11 +198,13 @@ def italian_variants(word: str) -> list[tuple[str, str]]:
         add(w[:-1], "iota")
     if re.match(r"is[bcdfglmnpqrtvz]", w):
         add(w[1:], "prothesis")
-    for plain, accented in (("à", "á"), ("è", "é"), ("ì", "í"), ("ò", "ó"), ("ù", "ú")):
-        if plain in w:
-            add(w.replace(plain, accented), "accent")
-        if accented in w:
-            add(w.replace(accented, plain), "accent")
+    marked = [k for k, c in enumerate(w) if c in _INVERTED]
+    for mask in range(1, 1 << min(len(marked), 4)):  # any of the first accents may be the other one
+        letters = list(w)
+        for bit, k in enumerate(marked[:4]):
+            if mask >> bit & 1:
+                letters[k] = _INVERTED[w[k]]
+        add("".join(letters), "accent")
     add(plain_text(w), "accent")
     return out
 
