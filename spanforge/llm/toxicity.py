@@ -168,13 +168,22 @@ def votes_of(block: Block, langs: list, voters: Voters, lookup: Lookup, rows: di
 
 def _candidates(texts: pa.Array, rows: np.ndarray, least: float) -> np.ndarray:
     """Hashes of features that at least so many of the rows have."""
-    found = [np.zeros(0, np.uint64)]
+    every, counts, found = np.zeros(0, np.uint64), np.zeros(0, np.int64), []
+
+    def merged() -> tuple[np.ndarray, np.ndarray]:
+        new, n = np.unique(np.concatenate([np.zeros(0, np.uint64), *found]), return_counts=True)
+        found.clear()
+        both, to = np.unique(np.concatenate([every, new]), return_inverse=True)
+        return both, np.bincount(to.ravel(), np.concatenate([counts, n]), len(both)).astype(np.int64)
+
     for b in blocks(texts.take(pa.array(rows))):
         h, d = (np.concatenate(x) for x in zip(*features(b)))
         order = np.lexsort((d, h))
         h, d = h[order], d[order]
         found.append(h[np.append(True, (h[1:] != h[:-1]) | (d[1:] != d[:-1]))] if len(h) else h)
-    every, counts = np.unique(np.concatenate(found), return_counts=True)
+        if sum(map(len, found)) > 1 << 21:
+            every, counts = merged()
+    every, counts = merged()
     return every[counts >= least]
 
 
@@ -326,14 +335,11 @@ def train_classifier(texts: pa.Array, posterior: np.ndarray, rounds: int = 300,
     if not len(posterior) or posterior.max() < 0.5:
         return Classifier(np.zeros(0, np.uint64), np.zeros(0), -10.0)
     lookup = Lookup(_candidates(texts, np.flatnonzero(posterior >= 0.5), 3))
-    rows, cols = [], []
+    inside, outside = np.zeros(2 * lookup.n), np.zeros(2 * lookup.n)
     for b in blocks(texts):
         d, f = lookup.hits(b)
-        rows.append(d + b.first)
-        cols.append(f)
-    row, col = np.concatenate(rows), np.concatenate(cols)
-    inside = np.bincount(col, posterior[row], 2 * lookup.n)
-    outside = np.bincount(col, 1 - posterior[row], 2 * lookup.n)
+        inside += np.bincount(f, posterior[d + b.first], 2 * lookup.n)
+        outside += np.bincount(f, 1 - posterior[d + b.first], 2 * lookup.n)
     n1, n0 = posterior.sum(), (1 - posterior).sum()
     odds = np.log((inside + 0.5) / (n1 + 1)) - np.log((outside + 0.5) / (n0 + 1))
     chosen = np.flatnonzero((odds > 2.5) & (inside >= 3))
@@ -341,8 +347,13 @@ def train_classifier(texts: pa.Array, posterior: np.ndarray, rounds: int = 300,
     chosen.sort()
     number = np.full(2 * lookup.n, -1)
     number[chosen] = np.arange(len(chosen))
-    keep = number[col] >= 0
-    row, col = row[keep], number[col[keep]]
+    rows, cols = [np.zeros(0, np.int32)], [np.zeros(0, np.int32)]
+    for b in blocks(texts):
+        d, f = lookup.hits(b)
+        keep = number[f] >= 0
+        rows.append((d[keep] + b.first).astype(np.int32))
+        cols.append(number[f[keep]].astype(np.int32))
+    row, col = np.concatenate(rows), np.concatenate(cols)
     w, b0 = np.zeros(len(chosen)), float(np.log(n1 / n0)) if n0 > 0 else 0.0
     g2, gb2 = np.full(len(chosen), 1e-8), 1e-8
     balance = np.where(posterior >= 0.5, min(10.0, n0 / n1), 1.0)
