@@ -7,6 +7,7 @@ as the application runs."""
 from __future__ import annotations
 
 from collections.abc import Callable
+from dataclasses import replace
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -26,15 +27,16 @@ class Index:
     def __init__(self, spark: SparkSession, sf_dir: str):
         self.spark, self.sf_dir = spark, sf_dir
         self.path = shared_uri(spark, "index")
-        self.written: set[str] = set()
+        self.frames: dict[str, DataFrame] = {}
+        self.catalogs: dict[tuple[str, ...], Catalog] = {}
 
     def stored(self, name: str, make: Callable[[], DataFrame], bloom: str | None = None) -> DataFrame:
         path = f"{self.path}/{name}"
-        if name not in self.written:
+        if name not in self.frames:
             out = make().write.mode("overwrite")
             (out.option(f"parquet.bloom.filter.enabled#{bloom}", "true") if bloom else out).parquet(path)
-            self.written.add(name)
-        return self.spark.read.parquet(path)
+            self.frames[name] = self.spark.read.parquet(path)
+        return self.frames[name]
 
     def tokens(self) -> DataFrame:
         """Tokens with all that spans, structures and attributes need."""
@@ -77,11 +79,14 @@ class Index:
         return out
 
     def catalog(self, structures: tuple[str, ...] = ()) -> Catalog:
+        if structures in self.catalogs:
+            return self.catalogs[structures]
         c = build_catalog(self.spark, self.sf_dir)
         c.span, c.span_attribute = self.token_spans(), self.attributes()
         for kind in structures:
             own = self.structures(kind)
             c.span, c.span_attribute = c.span.unionByName(own), c.span_attribute.unionByName(structure_attributes(own))
+        self.catalogs[structures] = c
         return c
 
     def word(self) -> DataFrame:
@@ -101,9 +106,8 @@ class Index:
 
     def whole(self) -> Catalog:
         """All tables, with structures and the word index."""
-        c = self.catalog(STRUCTURES)
-        c.word, c.lemma, c.word_count, c.lemma_count = self.word(), self.lemma(), self.word_count(), self.lemma_count()
-        return c
+        own = {"word": self.word(), "lemma": self.lemma(), "word_count": self.word_count(), "lemma_count": self.lemma_count()}
+        return replace(self.catalog(STRUCTURES), **own)
 
 
 _indexes: dict[tuple[str, str], Index] = {}
