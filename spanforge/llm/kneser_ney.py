@@ -9,8 +9,9 @@
    once for the n-gram without its first word, whose order is written in the same way after one more shuffle, and so on down to
    the words.  What is known of a hot context in several buckets is added up with the next order.
 3. The files lie in the shared folder as sorted arrays: hashes in segments of about 64, of which the low 32 bits are stored, and
-   a byte for the count (or what is known of a context) with a list of the rare ones.  Workers map them into memory and look up hashes by binary search.  (Of
-   n-grams that differ about one in 10**8 shares a slot with another.)
+   a byte for the count (or what is known of a context) with a list of the rare ones.  Those of neighbouring buckets are joined, as
+   a worker holds as many files open, and searches as many, as there are.  Workers map them into memory and look up hashes by binary
+   search.  (Of n-grams that differ about one in 10**8 shares a slot with another.)
 
     p(w|h) = max(c(hw) - D(c), 0) / c(h) + g(h) p(w|h'),   g(h) = (D1 N1(h) + D2 N2(h) + D3 N3(h)) / c(h)
     p(w)   = max(n(w) - D'(n), 0) / N + g' / (V + 1)
@@ -34,7 +35,8 @@ from __future__ import annotations
 import os
 import pickle
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from contextlib import suppress
 from dataclasses import dataclass, field
 
 import numpy as np
@@ -49,6 +51,10 @@ from spanforge.llm.textkernel import blocks, mix64, pack, pack_sorted, unpack, u
 ORDER = 3
 #: Bytes of text whose n-grams are counted together, and those whose n-grams are looked up together.
 GROUP_TEXT, SCORE_TEXT = 12 << 20, 3 << 20
+#: Words of text whose n-grams go to a bucket of their own.
+BUCKET_WORDS = 2_000_000
+#: Files that the buckets of a table are joined in; more where one would have more than `PART_BUCKETS`.
+PARTS, PART_BUCKETS = 16, 256
 #: Words that occur at least 2**HOT times make hot contexts.
 HOT = 20
 #: Numbers that aren't words.
@@ -130,12 +136,23 @@ def gram_buckets(columns: list[np.ndarray], limit: int, n_buckets: int) -> tuple
 def _order(columns: list[np.ndarray]) -> np.ndarray:
     """The order of rows by the columns."""
     bits = [max(1, int(c.max(initial=0)).bit_length()) for c in columns]
-    if sum(bits) > 63:
+    over = max(0, sum(bits) - 64)
+    if over >= bits[-1]:
         return np.lexsort(columns[::-1])
     key = np.zeros(len(columns[0]), np.uint64)
-    for c, b in zip(columns, bits):
+    for c, b in zip(columns[:-1], bits):
         key = (key << np.uint64(b)) | c.astype(np.uint64)
-    return np.argsort(key)
+    key = (key << np.uint64(bits[-1] - over)) | (columns[-1].astype(np.uint64) >> np.uint64(over))
+    by = np.argsort(key)
+    if over:  # rows that differ in the last bits alone
+        key, last = key[by], columns[-1][by]
+        same = key[1:] == key[:-1]
+        run = np.cumsum(np.append(0, ~same))
+        mixed = np.zeros(len(by), bool)
+        mixed[run[1:][same & (last[1:] != last[:-1])]] = True
+        at = np.flatnonzero(mixed[run])
+        by[at] = by[at][np.lexsort((last[at], run[at]))]
+    return by
 
 
 def sum_equal(columns: list[np.ndarray], values: list[np.ndarray]) -> tuple[list[np.ndarray], list[np.ndarray]]:
@@ -172,17 +189,71 @@ def _tell(counts: np.ndarray) -> np.ndarray:
 # files
 
 
+def _write(path: str, arrays: dict[str, tuple[np.dtype, tuple[int, ...], Iterator[np.ndarray]]]) -> None:
+    """A file of arrays, each given by its type, its shape and its pieces.  Attempts of a task write the same file; the last one to end
+    stays."""
+    head, at = {}, 0
+    for name, (kind, shape, _) in arrays.items():
+        head[name] = np.dtype(kind).str, shape, at
+        at += -(-np.dtype(kind).itemsize * int(np.prod(shape)) // 64) * 64
+    told = pickle.dumps(head, 5)
+    start = -(-(8 + len(told)) // 64) * 64
+    part = f"{path}.{uuid.uuid4().hex}.part"
+    with open(part, "wb") as f:
+        f.write(len(told).to_bytes(8, "little") + told)
+        for name, (kind, _, pieces) in arrays.items():
+            f.seek(start + head[name][2])
+            for x in pieces:
+                f.write(np.ascontiguousarray(x, kind).data)
+        f.truncate(start + at)
+    os.replace(part, path)
+
+
 def _save(path: str, **arrays: np.ndarray) -> None:
-    """Attempts of a task write the same files; the last one to end stays."""
-    for name, x in arrays.items():
-        part = f"{path}.{name}.{uuid.uuid4().hex}.part"
-        with open(part, "wb") as f:
-            np.save(f, x)
-        os.replace(part, f"{path}.{name}.npy")
+    _write(path, {name: (x.dtype, x.shape, iter([x])) for name, x in arrays.items()})
+
+
+def _arrays(path: str) -> dict[str, tuple[np.dtype, tuple[int, ...], int]]:
+    """Types, shapes and places of a file's arrays."""
+    with open(path, "rb") as f:
+        size = int.from_bytes(f.read(8), "little")
+        start = -(-(8 + size) // 64) * 64
+        return {name: (np.dtype(kind), shape, start + at) for name, (kind, shape, at) in pickle.loads(f.read(size)).items()}
+
+
+def _read(path: str, name: str) -> np.ndarray:
+    kind, shape, at = _arrays(path)[name]
+    return np.fromfile(path, kind, int(np.prod(shape)), offset=at).reshape(shape)
+
+
+def part_count(n_buckets: int) -> int:
+    return min(n_buckets, max(PARTS, -(-n_buckets // PART_BUCKETS)))
+
+
+def part_of(bucket: np.ndarray, n_buckets: int) -> np.ndarray:
+    """Neighbouring buckets are in the same part."""
+    return bucket * part_count(n_buckets) // n_buckets
+
+
+def _join(path: str, table: str, n_buckets: int, part: int, write: Callable[[str, list[str], list[int]], None]) -> None:
+    """Writes one file of the files of a part's buckets, which are deleted, by `write` (file, files of buckets that have one, buckets).
+    As a file is there before the first of those that it is made of is deleted, an attempt that finds no such file has all of them."""
+    numbers = np.flatnonzero(part_of(np.arange(n_buckets), n_buckets) == part).tolist()
+    target, names = f"{path}/{table}.{part:05d}", [f"{path}/{table}-{b:05d}" for b in numbers]
+    found = [x if os.path.exists(x) else "" for x in names]
+    if any(found) and not os.path.exists(target):
+        try:
+            write(target, found, numbers)
+        except FileNotFoundError:
+            if not os.path.exists(target):
+                raise
+    for x in names:
+        with suppress(FileNotFoundError):
+            os.remove(x)
 
 
-def _segments(h: np.ndarray, n: int) -> np.ndarray:
-    return (((h >> _32) & np.uint64(0xFFFFFF)) * np.uint64(n)) >> np.uint64(24)
+def _segments(h: np.ndarray, n: np.ndarray | np.uint64) -> np.ndarray:
+    return (((h >> _32) & np.uint64(0xFFFFFF)) * n) >> np.uint64(24)
 
 
 def _context_codes() -> tuple[np.ndarray, np.ndarray]:
@@ -207,7 +278,7 @@ _DECODED = {1: np.arange(256)[:, None], 4: _CONTEXTS}
 def save_table(path: str, h: np.ndarray, values: list[np.ndarray]) -> None:
     """A table of rows of numbers by hash: counts, or what is known of contexts.  Frequent rows take a byte."""
     n = max(1, len(h) // SEGMENT)
-    key = (_segments(h, n) << _32) | (h & np.uint64(0xFFFFFFFF))
+    key = (_segments(h, np.uint64(n)) << _32) | (h & np.uint64(0xFFFFFFFF))
     by = np.argsort(key)
     key = key[by]
     offsets = np.searchsorted(key, np.arange(n + 1, dtype=np.uint64) << _32).astype(np.uint32)
@@ -219,40 +290,85 @@ def save_table(path: str, h: np.ndarray, values: list[np.ndarray]) -> None:
         code = np.full(len(h), 255, np.uint8)
         code[small] = _CONTEXT_CODES[rows[0, small] << 12 | rows[1, small] << 8 | rows[2, small] << 4 | rows[3, small]]
     rare = np.flatnonzero(code == 255)
-    _save(path, low=key.astype(np.uint32), offsets=offsets, code=code, at=rare.astype(np.uint32), rare=rows[:, rare].astype(np.int64))
+    rows = rows[:, rare].T.astype(np.int64)
+    _save(path, low=key.astype(np.uint32), offsets=offsets, code=code, at=rare.astype(np.uint32), rare=rows, first=np.zeros(1, np.int64), segments=np.array([0, n]))
 
 
-_maps: dict[str, np.ndarray | None] = {}
+def join_tables(target: str, names: list[str], numbers: list[int]) -> None:
+    """One table of those of some buckets ("" where there is none), with the first segment of each."""
+    shapes = [{k: v[1] for k, v in _arrays(x).items()} if x else {"low": (0,), "offsets": (2,), "at": (0,), "rare": (0, 0)} for x in names]
+    entries, segments, rare = (np.cumsum([0, *(x[k][0] - less for x in shapes)]) for k, less in (("low", 0), ("offsets", 1), ("at", 0)))
+    width = max(x["rare"][1] for x in shapes)
+    kind = np.uint32 if entries[-1] < 1 << 32 else np.int64
+    there = [(x, n) for x, n in zip(names, entries) if x]
 
+    def offsets() -> Iterator[np.ndarray]:
+        for x, n in zip(names, entries):
+            yield (_read(x, "offsets")[:-1] if x else np.zeros(1, np.int64)) + np.int64(n)
+        yield entries[-1:]
 
-def _map(path: str) -> np.ndarray | None:
-    """A file of the model, mapped into memory once per worker."""
+    arrays = {
+        "low": (np.uint32, (int(entries[-1]),), (_read(x, "low") for x, _ in there)),
+        "offsets": (kind, (int(segments[-1]) + 1,), offsets()),
+        "code": (np.uint8, (int(entries[-1]),), (_read(x, "code") for x, _ in there)),
+        "at": (kind, (int(rare[-1]),), (_read(x, "at") + np.int64(n) for x, n in there)),
+        "rare": (np.int64, (int(rare[-1]), width), (_read(x, "rare") for x, _ in there)),
+        "first": (np.int64, (1,), iter([np.array(numbers[:1])])),
+        "segments": (np.int64, (len(segments),), iter([segments])),
+    }
+    _write(target, arrays)
+
+
+_maps: dict[str, dict[str, np.ndarray] | None] = {}
+
+
+def _map(path: str) -> dict[str, np.ndarray] | None:
+    """The arrays of a file of the model, mapped into memory once per worker."""
     if path not in _maps:
-        _maps[path] = np.load(path, mmap_mode="r").view(np.ndarray) if os.path.exists(path) else None
+        _maps[path] = None
+        if os.path.exists(path):
+            data = np.memmap(path, np.uint8, "r").view(np.ndarray)
+            _maps[path] = {k: np.ndarray(shape, kind, data, at) for k, (kind, shape, at) in _arrays(path).items()}
     return _maps[path]
 
 
-def look_up(path: str, h: np.ndarray, width: int) -> np.ndarray:
-    """The rows of hashes, `width` numbers each, 0 where there is none."""
+def look_up(path: str, h: np.ndarray, width: int, bucket: np.ndarray | int = 0) -> np.ndarray:
+    """The rows of hashes in their buckets (0 in a file of one bucket), `width` numbers each, 0 where there is none."""
     out = np.zeros((width, len(h)), np.int64)
-    low = _map(f"{path}.low.npy")
-    if low is None or not len(low):
+    stored = _map(path)
+    if stored is None or not len(stored["low"]):
         return out
-    offsets = _map(f"{path}.offsets.npy")
-    segment, wanted = _segments(h, len(offsets) - 1).astype(np.int64), (h & np.uint64(0xFFFFFFFF)).astype(np.uint32)
+    low, offsets, segments = stored["low"], stored["offsets"], stored["segments"]
+    b = bucket - stored["first"][0]
+    begin = segments[b]
+    segment = begin.astype(np.uint64) + _segments(h, (segments[b + 1] - begin).astype(np.uint64))
+    key = (segment << _32) | (h & np.uint64(0xFFFFFFFF))
+    by = np.argsort(key)  # neighbours lie together, and what is asked twice is looked up once
+    key = key[by]
+    new = np.ones(len(key), bool)
+    new[1:] = key[1:] != key[:-1]
+    at = np.flatnonzero(new)
+    key = key[at]
+    segment, wanted = (key >> _32).astype(np.int64), key.astype(np.uint32)
     a, end = offsets[segment].astype(np.int64), offsets[segment + 1].astype(np.int64)
-    z = end.copy()
-    while (a < z).any():
-        middle = (a + z) >> 1
-        less = (low[np.minimum(middle, len(low) - 1)] < wanted) & (a < z)
-        a, z = np.where(less, middle + 1, a), np.where(less, z, middle)
-    hit = np.flatnonzero(a < end)
-    hit = hit[low[a[hit]] == wanted[hit]]
-    code = _map(f"{path}.code.npy")[a[hit]]
-    out[:, hit] = _DECODED[width][code].T
+    # the place of the last smaller one, or the place before the segment
+    place, last = a - 1, end - 1
+    step = 1 << max(0, int((end - a).max()).bit_length() - 1)
+    while step:
+        to = np.minimum(place + step, last)
+        place = np.where(low.take(to, mode="clip") < wanted, np.maximum(to, place), place)
+        step >>= 1
+    place += 1
+    hit = np.flatnonzero(place < end)
+    hit = hit[low[place[hit]] == wanted[hit]]
+    place = place[hit]
+    code = stored["code"][place]
+    found = np.zeros((len(key), width), np.int64)
+    found[hit] = _DECODED[width][code]
     over = np.flatnonzero(code == 255)
     if len(over):
-        out[:, hit[over]] = _map(f"{path}.rare.npy")[:, np.searchsorted(_map(f"{path}.at.npy"), a[hit[over]])]
+        found[hit[over]] = stored["rare"][np.searchsorted(stored["at"], place[over])]
+    out[:, by] = found.T[:, np.cumsum(new) - 1]
     return out
 
 
@@ -269,19 +385,25 @@ class Vocabulary:
     hot_limit: int
 
     def ids(self, h: np.ndarray) -> np.ndarray:
-        word, inverse = np.unique(h, return_inverse=True)
+        word, _, inverse, _ = distinct(h)
         out = np.full(len(word), UNKNOWN, np.int64)
-        cut = np.searchsorted(bucket_of(word, self.n_buckets), np.arange(self.n_buckets + 1))
-        for b in np.flatnonzero(np.diff(cut)):
-            stored = _map(os.path.join(self.path, f"words-{b:05d}.hash.npy"))
+        cut = np.searchsorted(part_of(bucket_of(word, self.n_buckets), self.n_buckets), np.arange(part_count(self.n_buckets) + 1))
+        for p in np.flatnonzero(np.diff(cut)):
+            stored = _map(os.path.join(self.path, f"words.{p:05d}"))
             if stored is None:
                 continue
-            w = word[cut[b] : cut[b + 1]]
-            at = np.minimum(np.searchsorted(stored, w), len(stored) - 1)
-            kind = _map(os.path.join(self.path, f"words-{b:05d}.kind.npy"))[at]
-            rank = _map(os.path.join(self.path, f"words-{b:05d}.rank.npy"))[at]
-            out[cut[b] : cut[b + 1]] = np.where(stored[at] == w, self.base[kind, b] + rank, UNKNOWN)
-        return out[inverse.ravel()]
+            w = word[cut[p] : cut[p + 1]]
+            at = np.minimum(np.searchsorted(stored["hash"], w), len(stored["hash"]) - 1)
+            out[cut[p] : cut[p + 1]] = np.where(stored["hash"][at] == w, stored["id"][at], UNKNOWN)
+        return out[inverse]
+
+    def join(self, target: str, names: list[str], numbers: list[int]) -> None:
+        """One file of the words of some buckets with their numbers."""
+        there = [(x, b) for x, b in zip(names, numbers) if x]
+        n = sum(_arrays(x)["hash"][1][0] for x, _ in there)
+        kind = np.uint32 if self.base.max() + n < 1 << 32 else np.int64
+        hashes_, ids = (_read(x, "hash") for x, _ in there), (self.base[_read(x, "kind"), b] + _read(x, "rank") for x, b in there)
+        _write(target, {"hash": (np.uint64, (n,), hashes_), "id": (kind, (n,), ids)})
 
 
 _BLOBS = pa.schema([("bucket", pa.int32()), ("kind", pa.int32()), ("payload", pa.binary())])
@@ -305,7 +427,7 @@ def _count_words(n_buckets: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for _, _, words, _ in groups(batch, 0):
-                word, count = np.unique(words, return_counts=True)
+                word, _, _, count = distinct(words)
                 yield _blobs([(b, 0, pickle.dumps((pack_sorted(word[at]), pack(count[at])), 5)) for b, at in _split(bucket_of(word, n_buckets), n_buckets)])
 
     return run
@@ -322,7 +444,7 @@ def _number_words(path: str):
         rank = np.empty(len(word), np.uint32)
         rank[by] = np.arange(len(word)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
         _save(os.path.join(path, f"words-{bucket:05d}"), hash=word, kind=kind, rank=rank)
-        return pa.Table.from_batches([_blobs([(bucket, 0, sizes.astype(np.int64).tobytes())])])
+        return pa.Table.from_batches([_blobs([(bucket, 0, np.append(sizes, count.sum()).astype(np.int64).tobytes())])])
 
     return run
 
@@ -335,14 +457,14 @@ def _gram_rows(columns: list[np.ndarray], counts: np.ndarray, bucket: np.ndarray
     return [(b, 0, pickle.dumps((pack_sorted(columns[0][at]), [pack(c[at]) for c in columns[1:]], pack(counts[at])), 5)) for b, at in _split(bucket, n_buckets)]
 
 
-def _count(order: int, vocabulary: Vocabulary):
+def _count(order: int, vocabulary: Vocabulary, n_buckets: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for _, _, words, docs in groups(batch, 0):
                 columns, _ = sequences(vocabulary.ids(words), docs, order)
                 columns, (counts,) = sum_equal(columns, [np.ones(len(columns[0]), np.int64)])
-                bucket = gram_buckets(columns, vocabulary.hot_limit, vocabulary.n_buckets)[3]
-                yield _blobs(_gram_rows(columns, counts, bucket, vocabulary.n_buckets))
+                bucket = gram_buckets(columns, vocabulary.hot_limit, n_buckets)[3]
+                yield _blobs(_gram_rows(columns, counts, bucket, n_buckets))
 
     return run
 
@@ -410,6 +532,7 @@ class KneserNey:
     """The model in the vocabulary's path: counts of counts of the n-grams of each order, words first."""
 
     vocabulary: Vocabulary
+    n_buckets: int
     order: int = ORDER
     told: list[np.ndarray] = field(default_factory=list)
 
@@ -418,16 +541,17 @@ class KneserNey:
 
     def _find(self, kind: str, h: np.ndarray, bucket: np.ndarray, width: int) -> np.ndarray:
         out = np.zeros((width, len(h)), np.int64)
-        for b, at in _split(bucket, self.vocabulary.n_buckets):
-            out[:, at] = look_up(os.path.join(self.vocabulary.path, f"{kind}-{b:05d}"), h[at], width)
+        for p, at in _split(part_of(bucket, self.n_buckets), part_count(self.n_buckets)):
+            out[:, at] = look_up(os.path.join(self.vocabulary.path, f"{kind}.{p:05d}"), h[at], width, bucket[at])
         return out
 
     def probabilities(self, columns: list[np.ndarray], doc: np.ndarray | None = None) -> np.ndarray:
         """Of the last word of each n-gram after the others.  doc: the document of each n-gram, whose own counts are taken off; all
         n-grams of a document must be there."""
-        n, n_buckets, limit = len(columns[-1]), self.vocabulary.n_buckets, self.vocabulary.hot_limit
+        n, n_buckets, limit = len(columns[-1]), self.n_buckets, self.vocabulary.hot_limit
         mark = np.zeros(n, np.uint64) if doc is None else mix64(doc.astype(np.uint64) + _GOLDEN)
-        levels: list[tuple[np.ndarray, ...]] = []
+        # of each order: where one of each n-gram is, which each one is, and p = share + rest * (p of the order below)
+        levels: list[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]] = []
         lost: tuple[np.ndarray, np.ndarray] | None = None  # marked hashes of n-grams and what is taken off them
         for k in range(self.order, 0, -1):
             context, gram, hot, bucket = gram_buckets(columns[self.order - k :], limit, n_buckets)
@@ -442,34 +566,30 @@ class KneserNey:
                 own = np.minimum(own, count)  # of an n-gram that shares its slot
                 gone = np.flatnonzero((own > 0) & (own == count))
                 if k > 1:
-                    below = hashes([c[first[gone]] for c in columns[self.order - k + 1 :]])[1] ^ mark[first[gone]]
-                    lost = np.unique(below, return_counts=True)
+                    below, _, _, lower = distinct(hashes([c[first[gone]] for c in columns[self.order - k + 1 :]])[1] ^ mark[first[gone]])
+                    lost = below, lower
             if k > 1:
-                at, head, of_context, _ = distinct(context ^ mark)
-                stats = np.stack([np.zeros(len(at), np.int64)] * 4)
+                at, head, to, _ = distinct((context ^ mark)[first])
+                head = first[head]
+                stats = np.zeros((4, len(at)), np.int64)
                 for name, here in ((f"context{k}", ~hot[head]), (f"hot{k}", hot[head])):
                     if here.any():
                         stats[:, here] = self._find(name, context[head[here]], bucket_of(context[head[here]], n_buckets), 4)
-                if doc is not None:
-                    to = of_context[first]
-                    for row, change in zip(stats, _changes(count, own)):
-                        row -= np.bincount(to, change, len(at)).astype(np.int64)
-                    stats = np.maximum(stats, 0)
-                levels.append(((count - own)[of_kind], stats[:, of_context]))
             else:
-                tell = self.told[0]
-                stats = np.stack([np.full(n, tell[j]) for j in (6, 0, 1, 4)])
-                if doc is not None:
-                    of_doc = doc[first]
-                    for row, change in zip(stats, _changes(count, own)):
-                        row -= np.bincount(of_doc, change, int(doc.max(initial=0)) + 1).astype(np.int64)[doc]
-                levels.append(((count - own)[of_kind], stats))
-        p = np.full(n, 1.0 / (self.told[0][5] + 1))
-        for k, (count, (total, n1, n2, n3)) in enumerate(levels[::-1]):
-            d = discounts(self.told[k])
-            whole = np.maximum(total, 1)
+                to = np.zeros(len(kind), np.int64) if doc is None else doc[first]
+                stats = np.repeat(self.told[0][[6, 0, 1, 4]][:, None], int(to.max(initial=0)) + 1, axis=1)
+            if doc is not None:
+                for row, change in zip(stats, _changes(count, own)):
+                    row -= np.bincount(to, change, len(row)).astype(np.int64)
+                stats = np.maximum(stats, 0) if k > 1 else stats
+            total, n1, n2, n3 = stats
+            d, whole = discounts(self.told[k - 1]), np.maximum(total, 1)
             rest = np.where(total > 0, (d[1] * n1 + d[2] * n2 + d[3] * n3) / whole, 1.0)
-            p = np.where(total > 0, (count - d[np.minimum(count, 3)]) / whole, 0) + rest * p
+            left = count - own
+            levels.append((first, of_kind, np.where(total > 0, 1 / whole, 0)[to] * (left - d[np.minimum(left, 3)]), rest[to]))
+        p = np.full(n, 1.0 / (self.told[0][5] + 1))
+        for first, of_kind, share, rest in levels[::-1]:
+            p = (share + rest * p[first])[of_kind]
         return p
 
 
@@ -480,26 +600,35 @@ def fit(docs: DataFrame, text_col: str = "text", order: int = ORDER, hot: int =
     spark = docs.sparkSession
     ship(spark)
     texts = docs.select(F.col(text_col).alias("text"))
-    n_buckets = bucket_count(texts, 1.2)
+    n_buckets = bucket_count(texts, 1.2)  # of words
     path = shared_path(spark, "kneser-ney")
+
+    def join(tables: list[str], n: int, write: Callable[[str, list[str], list[int]], None]) -> None:
+        parts = part_count(n)
+        spark.sparkContext.parallelize(range(parts), parts).foreach(lambda p: [_join(path, x, n, p, write) for x in tables])
+
     counted = texts.mapInArrow(_count_words(n_buckets), _DDL).groupBy("bucket").applyInArrow(_number_words(path), _DDL)
-    sizes = np.zeros((64, n_buckets), np.int64)
+    sizes, n_words = np.zeros((64, n_buckets), np.int64), 0
     for row in counted.select("bucket", "payload").collect():  # a short row for each bucket
-        sizes[:, row["bucket"]] = np.frombuffer(row["payload"], np.int64)
+        *sizes[:, row["bucket"]], here = np.frombuffer(row["payload"], np.int64)
+        n_words += int(here)
     falling = sizes[::-1].ravel()
     base = (WORDS + np.cumsum(falling) - falling).reshape(64, n_buckets)[::-1]
     vocabulary = Vocabulary(path, n_buckets, base, WORDS + int(sizes[hot:].sum()))
     shared = spark.sparkContext.broadcast(vocabulary)  # 512 bytes for each bucket
-    model = KneserNey(vocabulary, order)
+    join(["words"], n_buckets, lambda *x: shared.value.join(*x))
+    n_buckets = min(1 << 16, max(int(spark.conf.get("spark.sql.shuffle.partitions")), n_words // BUCKET_WORDS))
+    model = KneserNey(vocabulary, n_buckets, order)
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        return _count(order, shared.value)(batches)
+        return _count(order, shared.value, n_buckets)(batches)
 
     rows = texts.mapInArrow(count, _DDL)
     for k in range(order, 0, -1):
         rows = rows.groupBy("bucket").applyInArrow(_reduce(path, k, vocabulary.hot_limit, n_buckets), _DDL)
     for row in rows.select("kind", "payload").collect():  # a short row for each bucket and order
         model.told[row["kind"] - 11] += np.frombuffer(row["payload"], np.int64)
+    join([f"gram{k}" for k in range(1, order + 1)] + [f"{x}{k}" for x in ("context", "hot") for k in range(2, order + 1)], n_buckets, join_tables)
     return model
 
 

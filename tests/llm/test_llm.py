@@ -2,6 +2,7 @@
 
 import os
 import random
+import resource
 import time
 import zlib
 from collections import Counter
@@ -836,6 +837,48 @@ def test_tables_of_hashes(tmp_path):
     assert (kneser_ney.look_up(f"{tmp_path}/c", h, 4) == np.stack(rows)).all()
 
 
+def test_scoring_holds_few_files_open(spark):
+    """However many buckets the model has; all of their words and n-grams are found."""
+    rng = random.Random(11)
+    texts = [" ".join(f"w{int(rng.paretovariate(0.5))}" for _ in range(400)) for _ in range(20)]
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", 60)
+    try:
+        model = kneser_ney.fit(spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string"))
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+    limits = resource.getrlimit(resource.RLIMIT_NOFILE)
+    resource.setrlimit(resource.RLIMIT_NOFILE, (len(os.listdir("/proc/self/fd")) + 300, limits[1]))
+    try:
+        ((_, _, words, docs),) = kneser_ney.groups(pa.record_batch([pa.array(texts)], ["text"]), 0)
+        columns, doc = kneser_ney.sequences(model.vocabulary.ids(words), docs, model.order)
+        got = np.bincount(doc, np.log(model.probabilities(columns, doc)))
+    finally:
+        resource.setrlimit(resource.RLIMIT_NOFILE, limits)
+    assert got == pytest.approx(kneser_ney.brute_force([t.split() for t in texts]), rel=1e-9)
+
+
+def test_joined_tables_keep_each_bucket(tmp_path):
+    """Also where a bucket has no table, and where files of an attempt that ended late are left."""
+    rng = np.random.default_rng(5)
+    h, n_buckets = np.unique(rng.integers(0, 1 << 63, 5000, dtype=np.uint64)), 40
+    bucket, count = rng.integers(0, n_buckets - 1, len(h)), rng.choice([1, 2, 254, 255, 10**12], len(h))
+    bucket[bucket == 7] = 8
+    for b in np.unique(bucket):
+        kneser_ney.save_table(f"{tmp_path}/t-{b:05d}", h[bucket == b], [count[bucket == b]])
+    part = kneser_ney.part_of(np.arange(n_buckets), n_buckets)
+    for p in [*np.unique(part), 0]:
+        kneser_ney._join(str(tmp_path), "t", n_buckets, int(p), kneser_ney.join_tables)
+        if not p:
+            kneser_ney.save_table(f"{tmp_path}/t-00000", h[:1], [count[:1]])
+    assert sorted(os.listdir(tmp_path)) == ["t-00000"] + [f"t.{p:05d}" for p in np.unique(part)]
+    for p in np.unique(part):
+        at = np.append(here := np.flatnonzero(part[bucket] == p), here)
+        assert (kneser_ney.look_up(f"{tmp_path}/t.{p:05d}", h[at], 1, bucket[at])[0] == count[at]).all()
+        for b in np.flatnonzero(part == p):
+            assert (kneser_ney.look_up(f"{tmp_path}/t.{p:05d}", h[bucket != b], 1, np.full((bucket != b).sum(), b)) == 0).all()
+
+
 # the pipeline
 
 
