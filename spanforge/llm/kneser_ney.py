@@ -173,12 +173,14 @@ def distinct(x: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndar
     """The distinct values, where one of each is, which of them each element is, and how often each is there; faster than by a
     stable sort, which numpy's own takes."""
     by = np.argsort(x)
+    x = x.take(by)
     new = np.ones(len(x), bool)
-    new[1:] = x[by[1:]] != x[by[:-1]]
+    new[1:] = x[1:] != x[:-1]
     at = np.flatnonzero(new)
+    times = np.diff(np.append(at, len(x)))
     inverse = np.empty(len(x), np.int64)
-    inverse[by] = np.cumsum(new) - 1
-    return x[by[at]], by[at], inverse, np.diff(np.append(at, len(x)))
+    inverse[by] = np.repeat(np.arange(len(at)), times)
+    return x.take(at), by.take(at), inverse, times
 
 
 def _tell(counts: np.ndarray) -> np.ndarray:
@@ -272,7 +274,9 @@ def _context_codes() -> tuple[np.ndarray, np.ndarray]:
 
 
 _CONTEXTS, _CONTEXT_CODES = _context_codes()
-_DECODED = {1: np.arange(256)[:, None], 4: _CONTEXTS}
+#: The code of a hash that isn't there.
+_NONE = 256
+_DECODED = {k: np.ascontiguousarray(np.append(x, np.zeros((1, k), np.int64), axis=0).T) for k, x in ((1, np.arange(256)[:, None]), (4, _CONTEXTS))}
 
 
 def save_table(path: str, h: np.ndarray, values: list[np.ndarray]) -> None:
@@ -332,25 +336,18 @@ def _map(path: str) -> dict[str, np.ndarray] | None:
     return _maps[path]
 
 
-def look_up(path: str, h: np.ndarray, width: int, bucket: np.ndarray | int = 0) -> np.ndarray:
-    """The rows of hashes in their buckets (0 in a file of one bucket), `width` numbers each, 0 where there is none."""
-    out = np.zeros((width, len(h)), np.int64)
+def _codes(path: str, h: np.ndarray, bucket: np.ndarray | int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The codes of hashes in their buckets, which are the rare ones, and the rows of these."""
     stored = _map(path)
     if stored is None or not len(stored["low"]):
-        return out
+        return np.full(len(h), _NONE, np.uint16), np.zeros(0, np.int64), np.zeros((0, 0), np.int64)
     low, offsets, segments = stored["low"], stored["offsets"], stored["segments"]
     b = bucket - stored["first"][0]
-    begin = segments[b]
-    segment = begin.astype(np.uint64) + _segments(h, (segments[b + 1] - begin).astype(np.uint64))
-    key = (segment << _32) | (h & np.uint64(0xFFFFFFFF))
-    by = np.argsort(key)  # neighbours lie together, and what is asked twice is looked up once
-    key = key[by]
-    new = np.ones(len(key), bool)
-    new[1:] = key[1:] != key[:-1]
-    at = np.flatnonzero(new)
-    key = key[at]
+    segment = _segments(h, np.diff(segments).astype(np.uint64).take(b))
+    segment += segments.astype(np.uint64).take(b)
+    key, _, which, _ = distinct((segment << _32) | (h & np.uint64(0xFFFFFFFF)))  # neighbours lie together
     segment, wanted = (key >> _32).astype(np.int64), key.astype(np.uint32)
-    a, end = offsets[segment].astype(np.int64), offsets[segment + 1].astype(np.int64)
+    a, end = offsets.take(segment).astype(np.int64), offsets.take(segment + 1).astype(np.int64)
     # the place of the last smaller one, or the place before the segment
     place, last = a - 1, end - 1
     step = 1 << max(0, int((end - a).max()).bit_length() - 1)
@@ -360,18 +357,30 @@ def look_up(path: str, h: np.ndarray, width: int, bucket: np.ndarray | int = 0)
         step >>= 1
     place += 1
     hit = np.flatnonzero(place < end)
-    hit = hit[low[place[hit]] == wanted[hit]]
-    place = place[hit]
-    code = stored["code"][place]
-    found = np.zeros((len(key), width), np.int64)
-    found[hit] = _DECODED[width][code]
+    hit = hit[low.take(place.take(hit)) == wanted.take(hit)]
+    code = np.full(len(key), _NONE, np.uint16)
+    code[hit] = stored["code"].take(place.take(hit))
+    over = np.flatnonzero(code == 255)
+    rows = stored["rare"].take(np.searchsorted(stored["at"], place.take(over)), axis=0)
+    place[over] = np.arange(len(over))
+    code = code.take(which)
     over = np.flatnonzero(code == 255)
-    if len(over):
-        found[hit[over]] = stored["rare"][np.searchsorted(stored["at"], place[over])]
-    out[:, by] = found.T[:, np.cumsum(new) - 1]
+    return code, over, rows.take(place.take(which.take(over)), axis=0)
+
+
+def _decode(code: np.ndarray, rare: list[tuple[np.ndarray, np.ndarray]], width: int) -> np.ndarray:
+    out = np.stack([x.take(code) for x in _DECODED[width]])
+    for at, rows in rare:
+        out[:, at] = rows.T
     return out
 
 
+def look_up(path: str, h: np.ndarray, width: int, bucket: np.ndarray | int = 0) -> np.ndarray:
+    """The rows of hashes in their buckets (0 in a file of one bucket), `width` numbers each, 0 where there is none."""
+    code, over, rows = _codes(path, h, bucket)
+    return _decode(code, [(over, rows)] if len(over) else [], width)
+
+
 # words
 
 
@@ -540,10 +549,12 @@ class KneserNey:
         self.told = self.told or [np.zeros(7, np.int64) for _ in range(self.order)]
 
     def _find(self, kind: str, h: np.ndarray, bucket: np.ndarray, width: int) -> np.ndarray:
-        out = np.zeros((width, len(h)), np.int64)
+        code, rare = np.full(len(h), _NONE, np.uint16), []
         for p, at in _split(part_of(bucket, self.n_buckets), part_count(self.n_buckets)):
-            out[:, at] = look_up(os.path.join(self.vocabulary.path, f"{kind}.{p:05d}"), h[at], width, bucket[at])
-        return out
+            code[at], over, rows = _codes(os.path.join(self.vocabulary.path, f"{kind}.{p:05d}"), h.take(at), bucket.take(at))
+            if len(over):
+                rare.append((at.take(over), rows))
+        return _decode(code, rare, width)
 
     def probabilities(self, columns: list[np.ndarray], doc: np.ndarray | None = None) -> np.ndarray:
         """Of the last word of each n-gram after the others.  doc: the document of each n-gram, whose own counts are taken off; all
@@ -556,7 +567,7 @@ class KneserNey:
         for k in range(self.order, 0, -1):
             context, gram, hot, bucket = gram_buckets(columns[self.order - k :], limit, n_buckets)
             kind, first, of_kind, times = distinct(gram ^ mark)
-            (count,) = self._find(f"gram{k}", gram[first], bucket[first], 1)
+            (count,) = self._find(f"gram{k}", gram.take(first), bucket.take(first), 1)
             own = np.zeros(len(kind), np.int64)
             if doc is not None:
                 if k == self.order:
@@ -564,17 +575,17 @@ class KneserNey:
                 elif lost is not None and len(lost[0]):
                     own[np.searchsorted(kind, lost[0])] = lost[1]
                 own = np.minimum(own, count)  # of an n-gram that shares its slot
-                gone = np.flatnonzero((own > 0) & (own == count))
+                gone = first[(own > 0) & (own == count)]
                 if k > 1:
-                    below, _, _, lower = distinct(hashes([c[first[gone]] for c in columns[self.order - k + 1 :]])[1] ^ mark[first[gone]])
+                    below, _, _, lower = distinct(hashes([c.take(gone) for c in columns[self.order - k + 1 :]])[1] ^ mark.take(gone))
                     lost = below, lower
             if k > 1:
-                at, head, to, _ = distinct((context ^ mark)[first])
-                head = first[head]
-                stats = np.zeros((4, len(at)), np.int64)
-                for name, here in ((f"context{k}", ~hot[head]), (f"hot{k}", hot[head])):
-                    if here.any():
-                        stats[:, here] = self._find(name, context[head[here]], bucket_of(context[head[here]], n_buckets), 4)
+                at, head, to, _ = distinct((context ^ mark).take(first))
+                head = first.take(head)
+                h, is_hot_ = context.take(head), hot.take(head)
+                stats = self._find(f"context{k}", h, bucket_of(h, n_buckets), 4)
+                if is_hot_.any():
+                    stats[:, is_hot_] = self._find(f"hot{k}", h[is_hot_], bucket_of(h[is_hot_], n_buckets), 4)
             else:
                 to = np.zeros(len(kind), np.int64) if doc is None else doc[first]
                 stats = np.repeat(self.told[0][[6, 0, 1, 4]][:, None], int(to.max(initial=0)) + 1, axis=1)
@@ -586,10 +597,10 @@ class KneserNey:
             d, whole = discounts(self.told[k - 1]), np.maximum(total, 1)
             rest = np.where(total > 0, (d[1] * n1 + d[2] * n2 + d[3] * n3) / whole, 1.0)
             left = count - own
-            levels.append((first, of_kind, np.where(total > 0, 1 / whole, 0)[to] * (left - d[np.minimum(left, 3)]), rest[to]))
+            levels.append((first, of_kind, np.where(total > 0, 1 / whole, 0).take(to) * (left - d.take(left, mode="clip")), rest.take(to)))
         p = np.full(n, 1.0 / (self.told[0][5] + 1))
         for first, of_kind, share, rest in levels[::-1]:
-            p = (share + rest * p[first])[of_kind]
+            p = (share + rest * p.take(first)).take(of_kind)
         return p
 
 

@@ -837,6 +837,18 @@ def test_tables_of_hashes(tmp_path):
     assert (kneser_ney.look_up(f"{tmp_path}/c", h, 4) == np.stack(rows)).all()
 
 
+@pytest.mark.parametrize("bits", [(21, 21, 21), (22, 22, 22), (26, 26, 26), (40, 40, 3), (40, 40, 40)])
+def test_order_of_rows(bits):
+    """Also where the columns have more than 64 bits together, with rows that differ in the last ones alone."""
+    rng = np.random.default_rng(9)
+    columns = [rng.integers(0, 3, 4000) + (1 << b) - 4 for b in bits[:2]] + [rng.integers(0, 1 << min(bits[2], 8), 4000)]
+    columns[2][0] = (1 << bits[2]) - 1
+    by = kneser_ney._order(columns)
+    assert sorted(by) == [*range(4000)]
+    rows = list(zip(*(c[by].tolist() for c in columns)))
+    assert rows == sorted(rows)
+
+
 def test_scoring_holds_few_files_open(spark):
     """However many buckets the model has; all of their words and n-grams are found."""
     rng = random.Random(11)
