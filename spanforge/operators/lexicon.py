@@ -13,7 +13,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from spanforge.functions.text import osa_similarity, plain_text
+from spanforge.functions.text import damerau_similarity, plain_text
 from spanforge.model import Catalog
 from spanforge.operators.search import kwic
 from spanforge.runtime import ship
@@ -51,15 +51,23 @@ def find(
         elif mode == "substring":
             out = out.filter(value.contains(low))
         else:
-            # a transposition is two edits without one, so twice the distance bounds those
-            room = max(2, len(text) // 3)
-            edits = 2 * int((1 - threshold) * (len(text) + room) + 1e-9)
-            near = out.filter((F.abs(F.length("value") - len(text)) <= room) & (F.levenshtein("value", F.lit(text), edits) >= 0))
-            out = near.filter(osa_similarity(F.col("value"), text) >= threshold)
+            out = out.filter(F.abs(F.length("value") - len(text)) <= max(2, len(text) // 3))
+            out = may_be_similar(out, text, threshold).filter(damerau_similarity(F.col("value"), text) >= threshold)
     out = out.orderBy("value", "id")
     return out if page is None else out.limit(page * size).offset((page - 1) * size)
 
 
+def may_be_similar(lexicon: DataFrame, text: str, threshold: float) -> DataFrame:
+    """Without entries that are too far from the text: the distance is at most what the threshold leaves of the longer length, and
+    at least the difference of the lengths in bytes; of values in ASCII it is at least half of the edits without transpositions."""
+    most = (1 - threshold) * F.greatest(F.length("value"), F.lit(len(text))) + 1e-9
+    out = lexicon.filter(F.abs(F.octet_length("value") - len(text.encode())) <= most)
+    if threshold <= 0 or not text.isascii():
+        return out
+    edits = 2 * int((1 - threshold) * len(text) / threshold + 1e-9)  # a similar value has at most len(text) / threshold characters
+    return out.filter((F.octet_length("value") > F.length("value")) | (F.levenshtein("value", F.lit(text), edits) >= 0))
+
+
 # tags: POS:Feature=Value|Feature=Value
 
 
