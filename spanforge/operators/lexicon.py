@@ -31,8 +31,8 @@ def lookup(lexicon: DataFrame, words: DataFrame, with_pos: bool = False) -> Data
 def find(
     lexicon: DataFrame, text: str | None = None, mode: str = "exact", threshold: float = 0.8, lemma: str | None = None, pos: str | None = None, page: int | None = None, size: int = 20
 ) -> DataFrame:
-    """Entries whose value fits; prefix, suffix and substring ignore case.  A fuzzy search first drops entries whose length is off by
-    more than the greater of 2 and a third."""
+    """Entries whose value fits; prefix, suffix and substring ignore case.  A fuzzy search takes all entries of at least this
+    similarity; what it drops before they are compared can't have it."""
     if mode not in MODES:
         raise ValueError(f"no mode {mode}")
     out = lexicon
@@ -51,7 +51,6 @@ def find(
         elif mode == "substring":
             out = out.filter(value.contains(low))
         else:
-            out = out.filter(F.abs(F.length("value") - len(text)) <= max(2, len(text) // 3))
             out = may_be_similar(out, text, threshold).filter(damerau_similarity(F.col("value"), text) >= threshold)
     out = out.orderBy("value", "id")
     return out if page is None else out.limit(page * size).offset((page - 1) * size)

@@ -22,3 +22,12 @@ def test_fuzzy_distance_is_that_of_sql(spark):
     values = ["nation", "aintion", "aention", "natoin", "natioß", "ßation", "notion", "nat", "tion"]
     got = sorted(r["value"] for r in lexicon.find(lexicon_of(spark, values), "nation", "fuzzy", 0.65).collect())
     assert "aintion" in got and got == fuzzy_sql(values, "nation", 0.65)
+
+
+def test_fuzzy_finds_values_of_any_length(spark):
+    values = ["nation", "nationxyz", "donations", "aneaution", "nationwxyz", "nat", "nati", "ationn", "x" * 60]
+    for threshold in (0.65, 0.5, 0.3):
+        got = sorted(r["value"] for r in lexicon.find(lexicon_of(spark, values), "nation", "fuzzy", threshold).collect())
+        assert got == fuzzy_sql(values, "nation", threshold)
+    assert lexicon.find(lexicon_of(spark, values), "nation", "fuzzy", 0.65).filter(F.length("value") == 9).count() == 3
+    assert lexicon.find(lexicon_of(spark, values), "nation", "fuzzy", 0.0).count() == len(values)
