@@ -7,11 +7,11 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from spanforge.functions.text import keep_alnum_apos, normalise_token, normalised_pieces
+from spanforge.analysis import scan
+from spanforge.functions.text import SENTENCE_END, keep_alnum_apos, normalise_token, normalised_pieces
 
 #: A currency sign alone, or a run that ends after an apostrophe which isn't its first character.
 STANDARD = r"\p{Sc}|[^\s\p{Sc}][^\s\p{Sc}']*'?"
-SENTENCE_END = "[.?!;][\"”’»)]*$"
 
 
 def split_whitespace(text: Column) -> Column:
@@ -60,11 +60,13 @@ def full_tokens(
 ) -> DataFrame:
     """Rows (id, carried columns, position, index, length, line, sentence, raw, value) of all tokens that the filters leave something of.
 
-    Positions, character offsets (code points from 0), lines and sentences are running sums over one window per document: one
-    shuffle, which leaves the tokens clustered by document.  protected: a column of ranges (start, end) of the text; of the tokens that
-    begin there only the edges are trimmed and the case is folded."""
+    Pieces between white space go through one pass over the texts, without a shuffle.  With other filters or tokenizers positions,
+    character offsets (code points from 0), lines and sentences are running sums over one window per document.  protected: a column of
+    ranges (start, end) of the text; of the tokens that begin there only the edges are trimmed and the case is folded."""
     if tokenizer not in TOKENIZERS:
         raise ValueError(f"no tokenizer {tokenizer}")
+    if (tokenizer, tuple(filters), protected) == ("whitespace", ("normal",), None):
+        return scan.tokens(docs, id_col, text_col, carried, ("position", "index", "length", "line", "sentence", "raw", "value"))
     kept = [*carried, *([protected] if protected else [])]
     if tokenizer == "whitespace":
         lines = docs.select(id_col, *kept, F.posexplode(F.split(text_col, "\n")).alias("line", "body"))

@@ -7,8 +7,8 @@ from dataclasses import dataclass, fields
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from spanforge.analysis.tokens import full_tokens, token_stream
-from spanforge.functions.text import MARKED, PLAIN, STEM_PATTERN, sort_key, stem
+from spanforge.analysis import scan
+from spanforge.functions.text import MARKED, PLAIN, STEM_PATTERN, sort_key
 
 DOCUMENT_PRIVILEGED = ("author", "title", "date_value", "sort_key", "source", "profile_id")
 SPAN_PRIVILEGED = ("id", "document_id", "type", "p1", "p2", "index", "length", "language", "pos", "lemma", "value", "text")
@@ -40,6 +40,7 @@ ID_STEP = 1_000_000_000
 ID_DOCUMENTS = 9_000_000_000
 KINDS = ("tok", "par", "snt")
 TEXT, NUMBER = 0, 1
+ATTRIBUTE = "attribute_"
 
 
 def truncated(df: DataFrame) -> DataFrame:
@@ -51,7 +52,10 @@ def truncated(df: DataFrame) -> DataFrame:
 class Catalog:
     """All tables of a collection.  Every one is lazy; what a query doesn't touch isn't read.
 
-    The word index (word, lemma and their counts) is there once `words.with_word_index` has made it."""
+    The word index (word, lemma and their counts) is there once `words.with_word_index` has made it.
+
+    wide: where an index has them, the spans with a column for each name of an attribute (ATTRIBUTE and the name); these are all
+    attributes that there are."""
 
     document: DataFrame
     document_attribute: DataFrame
@@ -64,6 +68,7 @@ class Catalog:
     lemma: DataFrame | None = None
     word_count: DataFrame | None = None
     lemma_count: DataFrame | None = None
+    wide = None  # no field, as it is no table of its own
 
     def write(self, path: str, mode: str = "overwrite") -> None:
         """All tables as Parquet, with values cut to their limits.  Spans and attributes stand clustered by document, so scans of few
@@ -148,12 +153,11 @@ def document_corpora(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def token_spans(spark: SparkSession, sf_dir: str, offsets: bool = False) -> DataFrame:
-    """Tokens; without character offsets there is no shuffle at all."""
+    """Tokens, with their character offsets if these are asked for; there is no shuffle."""
     d = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
-    if offsets:
-        t = full_tokens(d, "doc_id", "text", "lang")
-    else:
-        t = token_stream(d, "doc_id", "text", "lang").withColumns({"index": F.lit(0), "length": F.length("raw")})
+    t = scan.tokens(d, "doc_id", "text", ("lang",), ("position", *(["index"] if offsets else []), "length", "raw", "value", "pos", "lemma"))
+    if not offsets:
+        t = t.withColumn("index", F.lit(0))
     return t.select(
         span_id(F.col("doc_id"), F.col("position"), "tok").alias("id"),
         F.col("doc_id").alias("document_id"),
@@ -163,27 +167,20 @@ def token_spans(spark: SparkSession, sf_dir: str, offsets: bool = False) -> Data
         "index",
         "length",
         F.col("lang").alias("language"),
-        F.when(F.col("value").rlike(r"^\d+$"), F.lit("NUM")).alias("pos"),
-        stem(F.col("value")).alias("lemma"),
+        "pos",
+        "lemma",
         "value",
         F.col("raw").alias("text"),
     )
 
 
 def structure_spans(spark: SparkSession, sf_dir: str, kind: str) -> DataFrame:
-    """Paragraphs ('par', the lines of a text) or sentences ('snt', up to a token that ends in . ? ! or ;)."""
+    """Paragraphs ('par', the lines of a text) or sentences ('snt', up to a token that ends in . ? ! or ;), of those that have tokens."""
     d = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
-    return structures_of(full_tokens(d, "doc_id", "text", "lang"), kind)
-
-
-def structures_of(tokens: DataFrame, kind: str) -> DataFrame:
-    by = {"par": "line", "snt": "sentence"}[kind]
-    grouped = tokens.groupBy("doc_id", by).agg(
-        F.min("position").alias("p1"), F.max("position").alias("p2"), F.min("index").alias("index"), F.max(F.col("index") + F.col("length")).alias("end"), F.first("lang").alias("language")
-    )
+    found = scan.structures(d, "doc_id", "text", ("lang",), {"par": "line", "snt": "sentence"}[kind])
     none = F.lit(None).cast("string")
     length = (F.col("end") - F.col("index")).cast("int")
-    return grouped.select(
+    return found.select(
         span_id(F.col("doc_id"), F.col("p1"), kind).alias("id"),
         F.col("doc_id").alias("document_id"),
         F.lit(kind).alias("type"),
@@ -191,7 +188,7 @@ def structures_of(tokens: DataFrame, kind: str) -> DataFrame:
         "p2",
         "index",
         length.alias("length"),
-        "language",
+        F.col("lang").alias("language"),
         none.alias("pos"),
         none.alias("lemma"),
         length.cast("string").alias("value"),

@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from spanforge.functions.text import only_letters, stable_id, to_number
-from spanforge.model import Catalog
+from spanforge.model import ATTRIBUTE, Catalog
 
 DEFAULT_BINS = {"date_value": 3}
 SKIPPED_ATTRIBUTES = ("date",)
@@ -47,9 +47,11 @@ def lemma_id(value: str = "lemma") -> Column:
     return stable_id(F.col("pos"), F.col("language"), F.col(value))
 
 
-def build_words(tokens: DataFrame) -> DataFrame:
-    """id, lemma_id, value, reversed_value, language, pos, lemma, count of each distinct (language, value, pos, lemma)."""
-    counted = tokens.groupBy("language", "value", "pos", "lemma").agg(F.count(F.lit(1)).alias("count"))
+def build_words(tokens: DataFrame, count: Column | None = None) -> DataFrame:
+    """id, lemma_id, value, reversed_value, language, pos, lemma, count of each distinct (language, value, pos, lemma).
+
+    count: an aggregate, where rows aren't tokens."""
+    counted = tokens.groupBy("language", "value", "pos", "lemma").agg((F.count(F.lit(1)) if count is None else count).alias("count"))
     return counted.select(
         word_id().alias("id"), lemma_id().alias("lemma_id"), "value", F.reverse("value").alias("reversed_value"), "language", "pos", "lemma", "count"
     )
@@ -146,11 +148,35 @@ def count_words(tokens: DataFrame, pairs: DataFrame) -> DataFrame:
     return joined.groupBy("word_id", "lemma_id", "doc_attr_name", "doc_attr_value").agg(F.sum("n").alias("count"))
 
 
+def document_classes(pairs: DataFrame) -> DataFrame:
+    """(document_id, class, pairs): documents that are in the same classes have the same number."""
+    own = pairs.groupBy("document_id").agg(F.array_sort(F.collect_list(F.struct(F.col("name").alias("doc_attr_name"), F.col("value").alias("doc_attr_value")))).alias("pairs"))
+    return own.select("document_id", F.xxhash64("pairs").alias("class"), "pairs")
+
+
+#: So many different sets of classes are sent to all machines.
+SENT_CLASSES = 20_000
+
+
+def count_by_class(counted: DataFrame, classes: DataFrame) -> DataFrame:
+    """As count_words, from (class, language, value, pos, lemma, n) and (class, pairs).
+
+    What is shuffled is a row for a word of some documents of a class; the pairs of the class are looked up afterwards."""
+    word = ("language", "value", "pos", "lemma")
+    if classes.limit(SENT_CLASSES + 1).count() <= SENT_CLASSES:
+        spread = counted.repartition("value", "language").join(F.broadcast(classes), "class")  # the counts by pairs need no further exchange
+    else:
+        spread = counted.join(classes, "class")
+    spread = spread.select(*word, "n", F.inline("pairs"))
+    out = spread.groupBy(*word, "doc_attr_name", "doc_attr_value").agg(F.sum("n").alias("count"))
+    return out.select(word_id().alias("word_id"), lemma_id().alias("lemma_id"), "doc_attr_name", "doc_attr_value", "count")
+
+
 def count_lemmata(word_counts: DataFrame) -> DataFrame:
     return word_counts.groupBy("lemma_id", "doc_attr_name", "doc_attr_value").agg(F.sum("count").alias("count"))
 
 
-def token_distribution(counts: DataFrame, attribute: str, word: int | None = None, lemma: int | None = None) -> DataFrame:
+def token_distribution(counts: DataFrame, attribute: str, word: int | Column | None = None, lemma: int | Column | None = None) -> DataFrame:
     """(doc_attr_value, count) of one word or lemma, most frequent first."""
     which = F.col("word_id") == word if word is not None else F.col("lemma_id") == lemma
     found = counts.filter(which & (F.lower("doc_attr_name") == attribute.lower()) & (F.col("count") > 0))
@@ -221,15 +247,25 @@ def statistics(catalog: Catalog) -> DataFrame:
     def grouped(df: DataFrame, column: str, prefix: str) -> DataFrame:
         return df.groupBy(F.concat(F.lit(prefix), F.col(column)).alias("name")).agg(F.count(F.lit(1)).cast("double").alias("value"))
 
-    tok = catalog.span.filter("type = 'tok'").select(F.col("id").alias("span_id"))
-    of_spans = grouped(catalog.span_attribute, "name", "@")
-    of_documents = grouped(catalog.document_attribute, "name", "@").join(of_spans.select("name"), "name", "left_anti")
-    sized = [
-        size(catalog.corpus, "corpus_count"), size(catalog.document, "document_count"), size(catalog.document_attribute, "document_attribute_count"), size(catalog.profile, "profile_count"),
-        size(catalog.span, "span_count"), size(catalog.span_attribute, "span_attribute_count"), size(catalog.span_attribute.join(tok, "span_id", "left_semi"), "span_tok_attribute_count"),
-    ]
+    of_documents = grouped(catalog.document_attribute, "name", "@")
+    sized = [size(catalog.corpus, "corpus_count"), size(catalog.document, "document_count"), size(catalog.document_attribute, "document_attribute_count"), size(catalog.profile, "profile_count")]
+    if catalog.wide is not None:  # one scan tells all of spans, a few rows
+        spark, names = catalog.wide.sparkSession, [c for c in catalog.wide.columns if c.startswith(ATTRIBUTE)]
+        found = catalog.wide.groupBy("type").agg(F.count(F.lit(1)).alias("n"), *(F.count(c).alias(c) for c in names)).collect()
+        each = {c: sum(r[c] for r in found) for c in names}
+        of_tok = sum(r[c] for r in found if r["type"] == "tok" for c in names)
+        ddl = "name string, value double"
+        of_spans = spark.createDataFrame([("@" + c[len(ATTRIBUTE) :], float(n)) for c, n in each.items() if n], ddl)
+        of_types = spark.createDataFrame([("span." + r["type"], float(r["n"])) for r in found], ddl)
+        counts = (("span_count", sum(r["n"] for r in found)), ("span_attribute_count", sum(each.values())), ("span_tok_attribute_count", of_tok))
+        sized.append(spark.createDataFrame([(n, float(x)) for n, x in counts], ddl))
+    else:
+        tok = catalog.span.filter("type = 'tok'").select(F.col("id").alias("span_id"))
+        of_spans, of_types = grouped(catalog.span_attribute, "name", "@"), grouped(catalog.span, "type", "span.")
+        sized += [size(catalog.span, "span_count"), size(catalog.span_attribute, "span_attribute_count"), size(catalog.span_attribute.join(tok, "span_id", "left_semi"), "span_tok_attribute_count")]
+    of_documents = of_documents.join(of_spans.select("name"), "name", "left_anti")
     sized += [size(df, name) for df, name in ((catalog.word, "word_count"), (catalog.lemma, "lemma_count")) if df is not None]
-    counted = reduce(DataFrame.unionByName, [*sized, grouped(catalog.span, "type", "span.")])
+    counted = reduce(DataFrame.unionByName, [*sized, of_types])
 
     def of(n: str) -> Column:
         return F.max(F.when(F.col("name") == n, F.col("value")))

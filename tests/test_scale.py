@@ -1,8 +1,11 @@
 """Cases of what once differed from SQL, left something out or grew faster than its input."""
 
 import duckdb
+import pyarrow as pa
 from pyspark.sql import functions as F
 
+from spanforge.analysis import scan
+from spanforge.analysis.tokens import full_tokens
 from spanforge.functions import text as fn
 from spanforge.operators import lexicon
 
@@ -31,3 +34,35 @@ def test_fuzzy_finds_values_of_any_length(spark):
         assert got == fuzzy_sql(values, "nation", threshold)
     assert lexicon.find(lexicon_of(spark, values), "nation", "fuzzy", 0.65).filter(F.length("value") == 9).count() == 3
     assert lexicon.find(lexicon_of(spark, values), "nation", "fuzzy", 0.0).count() == len(values)
+
+
+ODD = [(1, "One, two. \"Three\"\r\n\n four's\t5 €  six;", "en"), (2, None, "en"), (3, "", "de"), (4, " \n ", None), (None, "Größe der Straße.", "de"), (5, "a b. c" * 40, "en"), (5, "again the fifth", "en")]
+ODD_DDL = "doc_id bigint, text string, lang string"
+
+
+def plan(df):
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_tokens_and_structures_need_no_shuffle(spark):
+    docs = spark.createDataFrame(ODD, ODD_DDL)
+    assert "Exchange" not in plan(full_tokens(docs, "doc_id", "text", "lang"))
+    assert "Exchange" not in plan(scan.structures(docs, "doc_id", "text", ("lang",), "line"))
+
+
+def test_parts_of_texts_make_no_difference(spark, monkeypatch):
+    texts = [t for _, t, _ in ODD] + ["x y.\nz " * 30]
+
+    def found():
+        out = []
+        for t in scan.cut(texts):
+            raw, value = (t.looks.column(c).take(pa.array(t.kind)).to_pylist() for c in ("raw", "value"))
+            out += zip(t.text.tolist(), t.position.tolist(), t.index.tolist(), t.length.tolist(), t.line.tolist(), t.sentence.tolist(), raw, value)
+        return out
+
+    whole = found()
+    assert whole[:7] == [(0, 1, 0, 4, 1, 1, "One,", "one"), (0, 2, 5, 4, 1, 1, "two.", "two"), (0, 3, 10, 7, 1, 2, '"Three"', "three"), (0, 4, 21, 6, 3, 2, "four's", "four's"), (0, 5, 28, 1, 3, 2, "5", "5"), (0, 6, 30, 1, 3, 2, "€", "€"), (0, 7, 33, 4, 3, 2, "six;", "six")]
+    assert all(t[t_index : t_index + n] == raw for k, _, t_index, n, _, _, raw, _ in whole for t in [texts[k]])
+    for size in (5, 23):
+        monkeypatch.setattr(scan, "CHARACTERS", size)
+        assert found() == whole
