@@ -2,7 +2,8 @@
 
 A tree of pairs and logical operators becomes one scan of the spans with one condition: AND, OR and NOT of span sets are
 those of conditions on a span.  Attributes that such a tree asks for are gathered in one aggregation over the spans' attributes
-and joined once, or semi joined where there is one alone.  Positional operators join such sets.
+and joined once, or semi joined where there is one alone; where an index has them as columns of the spans, they are part of the
+scan.  Positional operators join such sets.
 """
 
 from __future__ import annotations
@@ -13,7 +14,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from spanforge.functions.text import like_pattern, normalise_literal, to_number, trigram_similarity
-from spanforge.model import DOCUMENT_PRIVILEGED, NUMERIC_PRIVILEGED, SPAN_PRIVILEGED, Catalog
+from spanforge.model import ATTRIBUTE, DOCUMENT_PRIVILEGED, NUMERIC_PRIVILEGED, SPAN_PRIVILEGED, Catalog
 from spanforge.operators.location import SPAN, locate, locate_within, sweepable
 from spanforge.plans.parser import NUMERIC_OPS, Location, Logical, Pair, Query, QueryError, parse
 
@@ -143,8 +144,9 @@ class _Compiler:
             if not node.structure and self.options.strategy != "join" and self.is_plain(node.left) and self.is_plain(node.right) and sweepable(node.op, node.args):
                 asked: list[Pair] = []
                 tests = self.condition(node.left, asked), self.condition(node.right, asked)
-                if not asked:
-                    return locate_within(self.spans, *tests, node.op, node.args, node.negated).select(*SPAN)
+                if not asked or self.catalog.wide is not None:
+                    sides = (self.flagged(asked) if asked else self.spans).select(*SPAN, tests[0].alias("__left"), tests[1].alias("__right"))
+                    return locate_within(sides, F.col("__left"), F.col("__right"), node.op, node.args, node.negated).select(*SPAN)
             left, right = self.set_of(node.left), self.set_of(node.right)
             structures = self.spans.filter(F.col("type") == node.structure) if node.structure else None
             return locate(left, right, node.op, node.args, node.negated, structures, self.options.strategy)
@@ -169,6 +171,8 @@ class _Compiler:
         open_pairs: list[Pair] = []
         test = self.condition(node, open_pairs)
         spans = self.spans
+        if open_pairs and self.catalog.wide is not None:
+            return self.flagged(open_pairs).filter(test).select(*SPAN)
         if open_pairs and isinstance(node, Pair):
             ids = self.catalog.span_attribute.filter(_attribute_test(node, self.options.literals)).select(F.col("span_id").alias("id"))
             kind = F.col("type") == (node.structure or "tok")
@@ -184,6 +188,17 @@ class _Compiler:
             spans = spans.join(flags, "id", "left")
         return spans.filter(test).select(*SPAN)
 
+    def flagged(self, open_pairs: list[Pair]) -> DataFrame:
+        """The spans with a column for each pair that asks for an attribute, where attributes are columns of the spans."""
+        wide, flags = self.catalog.wide, {}
+        for k, p in enumerate(open_pairs):
+            column = next((c for c in wide.columns if c.lower() == ATTRIBUTE + p.name.lower()), None)
+            there = F.lit(False) if column is None else F.col(column).isNotNull()
+            if column is not None and p.op is not None:
+                there = there & F.coalesce(compare(F.col(column), p.op, p.value, literals=self.options.literals), F.lit(False))
+            flags[f"__a{k}"] = there
+        return self.within(wide).withColumns(flags)
+
     def condition(self, node: object, open_pairs: list[Pair]) -> Column:
         """A condition that is never null."""
         if isinstance(node, Logical):
