@@ -13,7 +13,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from spanforge.functions.text import like_pattern, normalise_literal, to_number, trigram_similarity
+from spanforge.functions.text import like_pattern, normalise_literal, to_number, trigram_at_least
 from spanforge.model import ATTRIBUTE, DOCUMENT_PRIVILEGED, NUMERIC_PRIVILEGED, SPAN_PRIVILEGED, Catalog
 from spanforge.operators.location import SPAN, locate, locate_within, sweepable
 from spanforge.plans.parser import NUMERIC_OPS, Location, Logical, Pair, Query, QueryError, parse
@@ -64,9 +64,9 @@ def compare(column: Column, op: str, value: str, numeric: bool = False, literals
     if op == "%=":
         text, _, threshold = value.rpartition(":")
         try:
-            return trigram_similarity(column, text) >= float(threshold) if text else trigram_similarity(column, value) >= FUZZY_THRESHOLD
+            return trigram_at_least(column, text, float(threshold)) if text else trigram_at_least(column, value, FUZZY_THRESHOLD)
         except ValueError:
-            return trigram_similarity(column, value) >= FUZZY_THRESHOLD
+            return trigram_at_least(column, value, FUZZY_THRESHOLD)
     raise QueryError(f"no operator {op}")
 
 

@@ -1,5 +1,6 @@
 """Cases of what once differed from SQL, left something out or grew faster than its input."""
 
+import random
 from dataclasses import replace
 
 import duckdb
@@ -7,11 +8,12 @@ import pyarrow as pa
 from pyspark.sql import functions as F
 
 from spanforge import queries
-from spanforge.analysis import scan
+from spanforge.analysis import markup, scan
 from spanforge.analysis.tokens import full_tokens
 from spanforge.functions import text as fn
 from spanforge.index import Index
-from spanforge.operators import lexicon, words
+from spanforge.operators import corpora, lexicon, words
+from spanforge.operators.location import locate
 from spanforge.plans.compiler import compile_query
 
 
@@ -111,3 +113,12 @@ def test_attributes_and_one_word_are_asked_of_the_scan(spark, tmp_path):
     one, general = ({r["name"]: r["value"] for r in words.statistics(k).collect()} for k in (c, replace(c)))
     assert one == general and one["span_tok_attribute_count"] == 7 and c.wide is not None
     assert "word_count" not in x.frames
+
+
+def test_trigrams_are_made_of_likely_words_alone(spark):
+    values = ["nation", "Nation's", "national", "ration", "on na", "n", "", None, "nat.ion", "xx nation yy zz"]
+    df = spark.createDataFrame([(v,) for v in values], "v string")
+    for t in (0.0, 0.2, 0.4, 0.9, 1.0, 1.1):
+        rows = df.select(fn.trigram_at_least(F.col("v"), "nation", t).alias("a"), (fn.trigram_similarity(F.col("v"), "nation") >= t).alias("b")).collect()
+        assert [r["a"] for r in rows] == [r["b"] for r in rows]
+    assert "contains" in plan(df.filter(fn.trigram_at_least(F.col("v"), "nation", 0.4))).lower()
