@@ -122,3 +122,12 @@ def test_trigrams_are_made_of_likely_words_alone(spark):
         rows = df.select(fn.trigram_at_least(F.col("v"), "nation", t).alias("a"), (fn.trigram_similarity(F.col("v"), "nation") >= t).alias("b")).collect()
         assert [r["a"] for r in rows] == [r["b"] for r in rows]
     assert "contains" in plan(df.filter(fn.trigram_at_least(F.col("v"), "nation", 0.4))).lower()
+
+
+def test_texts_leave_workers_in_parts(spark, monkeypatch):
+    monkeypatch.setattr(markup, "CHARACTERS", 10)
+    batches = [pa.array(["<b>x</b>", None, "<i>", "y" * 30, "z"]), pa.array([], pa.string()), pa.array([None], pa.string())]
+    parts = list(markup.in_parts(markup.fill_tags, iter(batches)))
+    assert [len(p) for p in parts] == [3, 1, 1, 0, 1] and [x for p in parts for x in p.to_pylist()] == ["   x    ", None, "   ", "y" * 30, "z", None]
+    df = spark.createDataFrame([(k, None if k % 7 == 0 else f"<p>{k}</p>") for k in range(100)], "k int, t string").repartition(3)
+    assert all(r["o"] == (None if r["k"] % 7 == 0 else f"   {r['k']}    ") for r in df.select("k", markup.on_text(markup.fill_tags, F.col("t")).alias("o")).collect())
