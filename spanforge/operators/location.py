@@ -5,8 +5,8 @@ Two physical strategies give the same rows:
 * sweep: both sides are sorted by position within their document, and one running minimum or maximum per document tells
   whether a partner exists.  Its cost grows with the sizes of the sides, never with their product, so two frequent
   words in a long document do no harm.  It covers all predicates whose partner is found by one coordinate.
-* join: a semi or anti join on the document with the predicate as a residual, for the rest (bounds on both ends of
-  INSIDE, bounded overlaps, a shared structure).
+* join: a semi or anti join on the document with the predicate as a residual, for the rest (upper bounds of INSIDE, which is
+  joined on pages of positions too, bounded overlaps, a shared structure).
 """
 
 from __future__ import annotations
@@ -149,6 +149,12 @@ def locate(
         inside = (F.col("b.document_id") == F.col("s.document_id")) & (F.col("s.p1") <= b1) & (F.col("s.p2") >= b2)
         b = b.join(s, inside).select("b.*", F.col("s.p1").alias("s1"), F.col("s.p2").alias("s2")).alias("b")
     condition = (F.col("a.document_id") == F.col("b.document_id")) & predicate(op, args, a1, a2, b1, b2)
+    if op == "INSIDE" and min(args.get("ms", INF), args.get("me", INF)) < INF:
+        # one coordinate of a partner is so near that both meet on a page of positions
+        low, high, at = (b1 + args.get("ns", 0), b1 + args.get("ms", INF), a1) if args.get("ms", INF) < INF else (b2 - args.get("me", INF), b2 - args.get("ne", 0), a2)
+        page = max(64, abs(args["ms"] - args.get("ns", 0)) if args.get("ms", INF) < INF else abs(args["me"] - args.get("ne", 0)))
+        b = b.select("b.*", F.explode(F.sequence(F.floor(low / page), F.floor(high / page))).alias("page")).alias("b")
+        condition = condition & (F.floor(at / page) == F.col("b.page"))
     if structures is not None:
         condition = condition & (F.col("b.s1") <= a1) & (F.col("b.s2") >= a2)
     return a.join(b, condition, "left_anti" if negated else "left_semi")

@@ -131,3 +131,15 @@ def test_texts_leave_workers_in_parts(spark, monkeypatch):
     assert [len(p) for p in parts] == [3, 1, 1, 0, 1] and [x for p in parts for x in p.to_pylist()] == ["   x    ", None, "   ", "y" * 30, "z", None]
     df = spark.createDataFrame([(k, None if k % 7 == 0 else f"<p>{k}</p>") for k in range(100)], "k int, t string").repartition(3)
     assert all(r["o"] == (None if r["k"] % 7 == 0 else f"   {r['k']}    ") for r in df.select("k", markup.on_text(markup.fill_tags, F.col("t")).alias("o")).collect())
+
+
+def test_bounded_inside_meets_on_pages(spark):
+    random.seed(4)
+    spans = [(k, random.choice([1, 2]), a, a + random.randrange(90)) for k, a in enumerate(random.choices(range(1500), k=400))]
+    df = spark.createDataFrame(spans, "id bigint, document_id bigint, p1 int, p2 int")
+    for args in ({"ms": 1, "ne": 2}, {"ns": 3, "ms": 70}, {"me": 5}, {"ns": 1, "ms": 200, "ne": 1, "me": 40}, {"ns": 2, "ms": 1}):
+        ns, ms, ne, me = (args.get(k, d) for k, d in (("ns", 0), ("ms", 1 << 30), ("ne", 0), ("me", 1 << 30)))
+        expected = sorted(a[0] for a in spans if any(a[1] == b[1] and ns <= a[2] - b[2] <= ms and ne <= b[3] - a[3] <= me for b in spans))
+        found = locate(df, df, "INSIDE", args)
+        assert sorted(r["id"] for r in found.collect()) == expected and "page" in plan(found)
+        assert locate(df, df, "INSIDE", args, negated=True).count() == len(spans) - len(expected)
