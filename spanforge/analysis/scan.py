@@ -215,6 +215,23 @@ def structures(docs: DataFrame, id_col: str, text_col: str, carried: Sequence[st
     return _mapped(docs, text_col, columns, ", ".join([*_ddl(docs, columns), *(f"`{n}` int" for n in own)]), make)
 
 
+def pages(docs: DataFrame, id_col: str, text_col: str, size: int) -> DataFrame:
+    """(document_id, page, low, high, p1, p2, indexes): the tokens that begin on a page of so many characters, least and greatest of
+    their indexes and positions, and the indexes; their positions are numbers that follow each other."""
+
+    def make(rest: pa.RecordBatch, parts: Iterator[Tokens]) -> Iterator[pa.RecordBatch]:
+        for t in parts:
+            page = t.index // size
+            first = np.flatnonzero(np.concatenate([[True], (np.diff(t.text) != 0) | (np.diff(page) != 0)]))
+            offsets = np.append(first, len(page)).astype(np.int32)
+            last = offsets[1:] - 1
+            of_text = rest.take(pa.array(t.text[first]))
+            arrays = [pa.array(page[first].astype(np.int64)), *(pa.array(x) for x in (t.index[first], t.index[last], t.position[first], t.position[last])), pa.ListArray.from_arrays(pa.array(offsets), pa.array(t.index))]
+            yield from _sliced(pa.RecordBatch.from_arrays([*of_text.columns, *arrays], [id_col, "page", "low", "high", "p1", "p2", "indexes"]))
+
+    return _mapped(docs, text_col, [id_col], ", ".join([*_ddl(docs, [id_col]), "page bigint, low int, high int, p1 int, p2 int, indexes array<int>"]), make)
+
+
 def words(docs: DataFrame, text_col: str, by: Sequence[str]) -> DataFrame:
     """(columns of by, value, pos, lemma, n): the tokens that are letters alone, counted by these columns of their documents; several
     rows of the same are to be summed up."""

@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
-from collections.abc import Mapping, Sequence
+from collections.abc import Iterator, Mapping, Sequence
 from dataclasses import dataclass
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from spanforge.model import DOCUMENT_PRIVILEGED, NUMBER, TEXT, Catalog
+from spanforge.runtime import ship
 
 
 @dataclass(frozen=True)
@@ -264,16 +267,61 @@ def spans_at(catalog: Catalog, document_id: int, position: int, kind: str | None
 def positions_of_ranges(tokens: DataFrame, ranges: DataFrame) -> DataFrame:
     """Of ranges (document_id, range_id, start, end) of characters the positions p1 and p2 of the tokens that begin in them.
 
-    Ranges without tokens have nulls.  Tokens meet the ranges of their document by an equi join on the document and on
-    pages of characters that both are cut into, so a long document doesn't join each with each."""
-    page = 4096
-    cut = ranges.withColumn("__page", F.explode(F.sequence(F.floor(F.col("start") / page), F.floor(F.greatest("start", F.col("end") - 1) / page)))).select("document_id", "range_id", "start", "end", "__page")
-    t = tokens.filter("type = 'tok'").select("document_id", F.floor(F.col("index") / page).alias("__page"), "index", "p1", "p2")
-    found = t.join(cut, ["document_id", "__page"]).filter("index >= start and index < end")
-    by = found.groupBy("document_id", "range_id").agg(F.min("p1").alias("p1"), F.max("p2").alias("p2"))
+    Ranges without tokens have nulls.  Tokens meet the ranges of their document by an equi join on the document and on pages of
+    characters that both are cut into, so a long document doesn't join each with each; tokens of a page that follow each other
+    are one row of it."""
+    t = tokens.filter("type = 'tok' and document_id is not null and index is not null and p1 is not null and p2 is not null").select("document_id", "index", "p1", "p2")
+    ship(tokens.sparkSession)
+    return ranges_on_pages(t.mapInArrow(_runs, "document_id bigint, page bigint, low int, high int, p1 int, p2 int, indexes array<int>, p1s array<int>, p2s array<int>"), ranges)
+
+
+def ranges_on_pages(runs: DataFrame, ranges: DataFrame) -> DataFrame:
+    """As `positions_of_ranges`, of rows that have tokens of a page of PAGE characters (see `_runs`)."""
+    cut = ranges.withColumn("page", F.explode(F.sequence(F.floor(F.col("start") / PAGE), F.floor(F.greatest("start", F.col("end") - 1) / PAGE)))).select("document_id", "range_id", "start", "end", "page")
+    before, upto = F.size(F.filter("indexes", lambda x: x < F.col("start"))), F.size(F.filter("indexes", lambda x: x < F.col("end")))
+    each = F.filter(F.arrays_zip("indexes", "p1s", "p2s"), lambda x: (x["indexes"] >= F.col("start")) & (x["indexes"] < F.col("end")))
+    whole, plain = (F.col("low") >= F.col("start")) & (F.col("high") < F.col("end")), F.col("p1s").isNull()
+    first = F.when(whole, F.col("p1")).when(plain, F.when(upto > before, F.col("p1") + before)).otherwise(F.array_min(F.transform(each, lambda x: x["p1s"])))
+    last = F.when(whole, F.col("p2")).when(plain, F.when(upto > before, F.col("p1") + upto - 1)).otherwise(F.array_max(F.transform(each, lambda x: x["p2s"])))
+    found = runs.join(cut, ["document_id", "page"]).filter("low < end and high >= start")
+    by = found.select("document_id", "range_id", first.alias("p1"), last.alias("p2")).groupBy("document_id", "range_id").agg(F.min("p1").alias("p1"), F.max("p2").alias("p2"))
     return ranges.join(by, ["document_id", "range_id"], "left")
 
 
+#: Characters of a page.
+PAGE = 1024
+
+
+def _runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows for tokens of a page of a document that follow each other: the least and the greatest index and position, and the indexes in
+    order; the positions too, unless they are numbers that follow each other."""
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        document, index, p1, p2 = (c.to_numpy(zero_copy_only=False).astype(np.int64) for c in batch.columns)
+        page = index // PAGE
+        starts = np.flatnonzero(np.concatenate([[True], (np.diff(document) != 0) | (np.diff(page) != 0)]))
+        sizes = np.diff(np.append(starts, len(index)))
+        run = np.repeat(np.arange(len(starts)), sizes)
+        if (np.diff(index) < 0)[np.diff(run) == 0].any():
+            order = np.lexsort((index, run))
+            index, p1, p2 = index[order], p1[order], p2[order]
+        low, high, first, last = (f.reduceat(x, starts) for f, x in ((np.minimum, index), (np.maximum, index), (np.minimum, p1), (np.maximum, p2)))
+        expected = p1[starts][run] + np.arange(len(index)) - starts[run]
+        plain = np.logical_and.reduceat((p1 == expected) & (p2 == expected), starts)
+
+        def lists(x: np.ndarray, there: np.ndarray) -> pa.Array:
+            offsets = np.concatenate([[0], np.cumsum(np.where(there, sizes, 0))]).astype(np.int32)
+            return pa.ListArray.from_arrays(pa.array(offsets), pa.array(x[there[run]].astype(np.int32)), mask=pa.array(~there))
+
+        small = [pa.array(x.astype(np.int32)) for x in (low, high, first, last)]
+        every = np.ones(len(starts), bool)
+        yield pa.RecordBatch.from_arrays(
+            [pa.array(document[starts]), pa.array(page[starts]), *small, lists(index, every), lists(p1, ~plain), lists(p2, ~plain)],
+            ["document_id", "page", "low", "high", "p1", "p2", "indexes", "p1s", "p2s"],
+        )
+
+
 def add_span_attribute(catalog: Catalog, document_id: int, start: int, end: int, name: str, value: str, kind: int = TEXT, span_type: str = "tok") -> Catalog:
     """An attribute for all spans of a type within [start, end]; a privileged name sets the column instead."""
     c = catalog

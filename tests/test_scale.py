@@ -143,3 +143,28 @@ def test_bounded_inside_meets_on_pages(spark):
         found = locate(df, df, "INSIDE", args)
         assert sorted(r["id"] for r in found.collect()) == expected and "page" in plan(found)
         assert locate(df, df, "INSIDE", args, negated=True).count() == len(spans) - len(expected)
+
+
+def test_ranges_of_odd_tokens(spark):
+    random.seed(3)
+    tokens = [(d, "tok", i, i // 7 + random.choice([0, 0, 0, d]), i // 7 + random.choice([0, 0, 2 * d])) for d in (0, 1, 2) for i in sorted(random.sample(range(20000), 700))]
+    tokens += [(9, "tok", 10 * k, k + 1, k + 1) for k in range(1500)] + [(9, "par", 0, 1, 1500), (None, "tok", 1, 1, 1)]
+    mixed = random.sample(tokens, len(tokens))
+    ranges = [(d, k, a, a + n) for k, (d, a, n) in enumerate((random.choice([0, 1, 2, 9, 5]), random.randrange(21000), random.choice([0, 1, 30, 5000, 9000])) for _ in range(150))]
+    ddl = "document_id bigint, type string, index int, p1 int, p2 int"
+    for own in (tokens, mixed):
+        found = corpora.positions_of_ranges(spark.createDataFrame(own, ddl).coalesce(1), spark.createDataFrame(ranges, "document_id bigint, range_id int, start int, end int")).collect()
+        for r in found:
+            inside = [t for t in tokens if t[1] == "tok" and t[0] == r["document_id"] and r["start"] <= t[2] < r["end"]]
+            assert (r["p1"], r["p2"]) == ((min(t[3] for t in inside), max(t[4] for t in inside)) if inside else (None, None))
+        assert len(found) == len(ranges)
+    runs = list(corpora._runs(iter([pa.record_batch([pa.array([x[k] for x in tokens if x[0] == 9 and x[1] == "tok"]) for k in (0, 2, 3, 4)], ["d", "i", "p", "q"])])))
+    assert runs[0].num_rows == runs[0]["p1s"].null_count == -(-15000 // corpora.PAGE)  # a row for a page, without positions
+
+
+def test_ranges_of_texts_are_those_of_their_tokens(spark, tmp_path):
+    docs = spark.createDataFrame([*ODD, (7, "long words\n" * 900, "en")], ODD_DDL).withColumns({"source": F.lit("s"), "n_chars": F.length("text")})
+    x = index_over(spark, tmp_path, docs)
+    ranges = spark.createDataFrame([(d, k, 150 * k, 150 * k + 150) for d in (1, 2, 5, 7) for k in range(70)] + [(7, 99, 20, 9000)], "document_id bigint, range_id int, start int, end int")
+    one, general = ({(r["document_id"], r["range_id"]): (r["p1"], r["p2"]) for r in found.collect()} for found in (corpora.ranges_on_pages(x.pages(), ranges), corpora.positions_of_ranges(x.token_spans(), ranges)))
+    assert one == general and len(one) == 281 and one[7, 99] == (5, 1637)
